@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def largest(rows: DataFrame, n: int, *order) -> DataFrame:
+    """Exactly the first ``n`` rows of a total order; planned as a per-task top-n and a merge."""
+    return rows.orderBy(*order).limit(n)
+
+
 def rank_at_most(rows: DataFrame, metric: str, k: int, rank_name: str) -> DataFrame:
     """Rows whose ``RANK() OVER (ORDER BY metric DESC)`` is at most ``k``, ties included.
 
-    The rank of a row is one plus the number of rows with a larger metric, so it depends on the
-    metric value alone.  The ``k`` largest distinct values with their counts are enough to know
-    every rank up to ``k``; only those at most ``k`` rows go through the unpartitioned window, and
-    the ranks return to the rows through a broadcast of at most ``k`` rows.  Ties of any size stay
-    spread over the cluster.
+    A rank is one plus the number of rows with a larger metric, so a row ranks at most ``k`` exactly
+    when its metric occurs among the ``k`` largest rows, and its rank is the place where that metric
+    first occurs there.  Only those ``k`` rows go through the unpartitioned window; the ranks return
+    through a broadcast of at most ``k`` values, and a tie of any size stays spread over the cluster.
+    The order names every column so that both branches read the same exchange, which is reused.
     """
-    levels = rows.groupBy(metric).agg(F.count(F.lit(1)).alias("_n"))
-    top = levels.orderBy(F.col(metric).desc_nulls_last()).limit(k)
-    above = Window.orderBy(F.col(metric).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rank = (F.lit(1) + F.coalesce(F.sum("_n").over(above), F.lit(0))).cast("bigint")
-    ranked = top.select(F.col(metric).alias("_level"), rank.alias(rank_name)).where(F.col(rank_name) <= k)
-    return rows.join(F.broadcast(ranked), F.col(metric).eqNullSafe(F.col("_level")), "inner").drop("_level")
-
-
-def largest(rows: DataFrame, n: int, *order) -> DataFrame:
-    """Exactly the first ``n`` rows of a total order; planned as a per-task top-n and a merge."""
-    return rows.orderBy(*order).limit(n)
+    down = F.col(metric).desc_nulls_last()
+    others = [F.col(c).asc_nulls_last() for c in rows.columns if c != metric]
+    place = F.rank().over(Window.orderBy(F.col(metric).desc_nulls_last())).cast("bigint")
+    first = largest(rows, k, down, *others).select(F.col(metric).alias("_level"), place.alias(rank_name))
+    levels = F.broadcast(first.distinct())
+    return rows.join(levels, F.col(metric).eqNullSafe(F.col("_level")), "inner").drop("_level")

@@ -9,6 +9,7 @@ from caravel.functions.calendar import midnight, month_start, months_apart
 from caravel.functions.money import percent_of, rounded_money, safe_ratio
 from caravel.operators.joins import with_copies
 from caravel.operators.ranking import largest, rank_at_most
+from caravel.plans.staging import with_product
 
 PRODUCT_KEYS = ["product_id", "product_name", "category", "brand"]
 
@@ -33,7 +34,24 @@ def sales_by(items: DataFrame, orders: DataFrame, keys: list[str]) -> DataFrame:
     """Units and revenue of the lines of the given orders, per key."""
     lines = items.join(with_copies(orders, "order_id"), "order_id")
     units, revenue = F.sum(F.col("quantity") * F.col("copies")), F.sum(F.col("line_amount") * F.col("copies"))
-    return lines.groupBy(*keys).agg(units.alias("units_sold"), rounded_money(revenue).alias("revenue"))
+    return lines.groupBy(*keys).agg(units.alias("units_sold"), revenue.alias("revenue"))
+
+
+def product_sales(items: DataFrame, orders: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """Units and revenue per product with its name, category and brand.
+
+    STAGING lines carry those already.  Bare lines come with a ``catalogue``: then the sums are
+    formed per product id and the catalogue meets the sums, so no line shuffles by product.
+    """
+    if catalogue is None:
+        return sales_by(items, orders, PRODUCT_KEYS)
+    return regroup(with_product(sales_by(items, orders, ["product_id"]), catalogue), PRODUCT_KEYS)
+
+
+def regroup(sold: DataFrame, keys: list[str]) -> DataFrame:
+    """Sales added up to coarser keys."""
+    units, revenue = F.sum("units_sold").alias("units_sold"), rounded_money(F.sum("revenue")).alias("revenue")
+    return sold.groupBy(*keys).agg(units, revenue)
 
 
 def since_last(orders: DataFrame, days: int) -> DataFrame:
@@ -45,10 +63,13 @@ def since_last(orders: DataFrame, days: int) -> DataFrame:
     return orders.where(F.col("order_ts") >= midnight(newest))
 
 
-def top_products(items: DataFrame, orders: DataFrame, days: int = 30, k: int = 20) -> DataFrame:
+def top_products(
+    items: DataFrame, orders: DataFrame, catalogue: DataFrame | None = None, days: int = 30, k: int = 20
+) -> DataFrame:
     """Products with revenue rank up to ``k`` (ties included) over the last days of data."""
-    sold = sales_by(items, since_last(orders, days), PRODUCT_KEYS)
-    return rank_at_most(sold, "revenue", k, "revenue_rank")
+    sold = product_sales(items, since_last(orders, days), catalogue)
+    money = sold.withColumn("revenue", rounded_money(F.col("revenue")))
+    return rank_at_most(money, "revenue", k, "revenue_rank")
 
 
 def customer_cohorts(customers: DataFrame, orders: DataFrame) -> DataFrame:

@@ -59,16 +59,13 @@ def _write_months(days: DataFrame, path: str) -> None:
     writer.partitionBy(MONTH).parquet(path)
 
 
-def rebuild(lake: Lake, mart: str) -> None:
-    """Rebuild into a new folder; readers move to it once the refresh is logged."""
-    started = lake.clock()
-    number, position = _last(lake, mart)[0] + 1, _position(lake, mart)
+def _rebuild(lake: Lake, mart: str, number: int) -> None:
+    """Write the whole mart to a folder of its own."""
     rows = _define(lake, mart)
     if mart == DAILY:
         _write_months(rows, lake.mart(mart, number))
     else:
         rows.write.mode("overwrite").parquet(lake.mart(mart, number))
-    _record(lake, mart, number, FULL, position, started)
 
 
 def _recompute_months(lake: Lake, number: int, after: str) -> None:
@@ -83,20 +80,25 @@ def _recompute_months(lake: Lake, number: int, after: str) -> None:
     _write_months(_daily(again), lake.mart(DAILY, number))
 
 
-def refresh(lake: Lake, mart: str) -> str:
-    """Bring one mart up to date and say how: in full, in part, or not at all."""
+def refresh(lake: Lake, mart: str, full: bool = False) -> str:
+    """Bring one mart up to date and say how: in full, in part, or not at all.
+
+    A full refresh goes to a new folder and readers move to it once it is logged, so a refresh that
+    fails leaves the mart as it was.  A partial one replaces the affected months in place.
+    """
     started = lake.clock()
     number, seen = _last(lake, mart)
     position = _position(lake, mart)
-    if number and position == seen:
-        _record(lake, mart, number, NO_DATA, seen, started)
-        return NO_DATA
-    if number and mart == DAILY:
+    if number and position == seen and not full:
+        action = NO_DATA
+    elif number and mart == DAILY and not full:
+        action = INCREMENTAL
         _recompute_months(lake, number, seen.partition("=")[2])
-        _record(lake, mart, number, INCREMENTAL, position, started)
-        return INCREMENTAL
-    rebuild(lake, mart)
-    return FULL
+    else:
+        action, number = FULL, number + 1
+        _rebuild(lake, mart, number)
+    _record(lake, mart, number, action, position, started)
+    return action
 
 
 def refresh_all(lake: Lake) -> dict[str, str]:

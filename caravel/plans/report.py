@@ -16,7 +16,7 @@ from caravel.functions.calendar import midnight, month_label, period_start
 from caravel.functions.money import percent_of
 from caravel.functions.text import full_name
 from caravel.operators.ranking import largest
-from caravel.plans.marts import daily_figures, daily_revenue, sales_by, since_last
+from caravel.plans.marts import daily_figures, daily_revenue, product_sales, regroup, since_last
 
 # The steps of the purchase path, in order.
 FUNNEL_STEPS = ("page_view", "add_to_cart", "checkout", "purchase")
@@ -68,21 +68,29 @@ def unique_customers(orders: DataFrame, filters: ReportFilters) -> DataFrame:
 def kpis(orders: DataFrame, filters: ReportFilters) -> DataFrame:
     """Last day's figures, their change from the day with data before it, and period totals.
 
-    Only the two newest days go through the unpartitioned window.  No row when nothing was chosen.
+    The two newest days are found from the dates alone; only their orders are counted per day, and
+    only those two rows go through the unpartitioned window.  No row when nothing was chosen.
     """
-    days = daily_revenue(chosen_orders(orders, filters))
+    chosen = chosen_orders(orders, filters)
     newest_first = F.col("order_date").desc()
+    two_days = largest(chosen.select("order_date").distinct(), 2, newest_first)
+    since = two_days.agg(F.min("order_date")).scalar()
+    days = daily_revenue(chosen.where(F.col("order_ts") >= midnight(since)))
     before = Window.orderBy("order_date")
     figures = ("nb_orders", "avg_basket", "revenue")
     changes = [(F.col(c) - F.lag(c).over(before)).alias(f"{c}_delta") for c in figures]
     last = largest(days, 2, newest_first).select("order_date", *figures, *changes)
-    total = days.agg(F.sum("revenue").cast("decimal(18,2)")).scalar()
-    buyers = unique_customers(orders, filters).scalar()
+    period = chosen.agg(
+        F.struct(
+            F.sum("total_amount").cast("decimal(18,2)").alias("revenue"),
+            F.count_distinct(F.col("customer_id")).alias("customers"),
+        )
+    ).scalar()
     return largest(last, 1, newest_first).select(
         F.col("order_date").alias("last_day"),
         *[c for name in figures for c in (name, f"{name}_delta")],
-        total.alias("total_revenue"),
-        buyers.alias("unique_customers"),
+        period.getField("revenue").alias("total_revenue"),
+        period.getField("customers").alias("unique_customers"),
     )
 
 
@@ -99,22 +107,28 @@ def trend(orders: DataFrame, filters: ReportFilters) -> DataFrame:
     return periods.select("period", "nb_orders", "revenue").orderBy("period")
 
 
-def _chosen_sales(items: DataFrame, orders: DataFrame, filters: ReportFilters, keys: list[str]) -> DataFrame:
-    lines = items.where(any_of("category", filters.categories))
-    return sales_by(lines, chosen_orders(orders, filters), keys)
+def _chosen_sales(
+    items: DataFrame, orders: DataFrame, filters: ReportFilters, catalogue: DataFrame | None, keys: list[str]
+) -> DataFrame:
+    sold = product_sales(items, chosen_orders(orders, filters), catalogue)
+    return regroup(sold.where(any_of("category", filters.categories)), keys)
 
 
-def top_products(items: DataFrame, orders: DataFrame, filters: ReportFilters) -> DataFrame:
+def top_products(
+    items: DataFrame, orders: DataFrame, filters: ReportFilters, catalogue: DataFrame | None = None
+) -> DataFrame:
     """Best sellers by name (products that share name, category and brand are one row)."""
     keys = ["product_name", "category", "brand"]
-    sold = _chosen_sales(items, orders, filters, keys)
+    sold = _chosen_sales(items, orders, filters, catalogue, keys)
     return largest(
         sold, filters.top_n, F.col("revenue").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in keys]
     )
 
 
-def revenue_by_category(items: DataFrame, orders: DataFrame, filters: ReportFilters) -> DataFrame:
-    sold = _chosen_sales(items, orders, filters, ["category"])
+def revenue_by_category(
+    items: DataFrame, orders: DataFrame, filters: ReportFilters, catalogue: DataFrame | None = None
+) -> DataFrame:
+    sold = _chosen_sales(items, orders, filters, catalogue, ["category"])
     return sold.select("category", "revenue").orderBy(
         F.col("revenue").desc_nulls_last(), F.col("category").asc_nulls_last()
     )

@@ -56,21 +56,30 @@ def orders(raw: DataFrame) -> DataFrame:
     )
 
 
-def order_items(raw: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Valid lines with their amount and, where the product is known, its name, category, brand.
-
-    The catalogue is joined without a hint: Spark broadcasts it only while its measured size is
-    below the broadcast threshold, and otherwise shuffles, where AQE splits a hot product.
-    """
-    lines = raw.where((F.col("quantity") > 0) & (F.col("unit_price") >= 0)).select(
+def valid_lines(raw: DataFrame) -> DataFrame:
+    """Order lines with a positive quantity and a price, and their amount."""
+    kept = raw.where((F.col("quantity") > 0) & (F.col("unit_price") >= 0))
+    return kept.select(
         key_text(F.col("order_id")).alias("order_id"),
         key_text(F.col("product_id")).alias("product_id"),
         "quantity",
         "unit_price",
         line_amount(F.col("quantity"), F.col("unit_price")).alias("line_amount"),
     )
+
+
+def with_product(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Add name, category and brand where the product is known.
+
+    The catalogue is joined without a hint: Spark broadcasts it only while its measured size is
+    below the broadcast threshold, and otherwise shuffles, where AQE splits a hot product.
+    """
     details = catalogue.select("product_id", F.col("name").alias("product_name"), "category", "brand")
-    return lines.join(details, "product_id", "left").select(*schemas.STAGING["order_items"])
+    return rows.join(details, "product_id", "left")
+
+
+def order_items(raw: DataFrame, catalogue: DataFrame) -> DataFrame:
+    return with_product(valid_lines(raw), catalogue).select(*schemas.STAGING["order_items"])
 
 
 def web_events(raw: DataFrame) -> DataFrame:

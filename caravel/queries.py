@@ -81,6 +81,11 @@ class Shop:
     def items(self) -> DataFrame:
         return staging.order_items(self.raw_items, self.products)
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Valid lines before the catalogue is joined."""
+        return staging.valid_lines(self.raw_items)
+
     @cached_property
     def events(self) -> DataFrame:
         return self._frame(fx.typed_web_events)
@@ -91,7 +96,7 @@ class Shop:
 
     @cached_property
     def best_sellers(self) -> DataFrame:
-        return marts.top_products(self.items, self.orders)
+        return marts.top_products(self.lines, self.orders, self.products)
 
     def lake(self, label: str) -> Lake:
         return Lake(self.spark, scratch_folder(self.spark, label))
@@ -392,29 +397,28 @@ def restore_not_reprocessed(shop: Shop) -> DataFrame:
 # --- refresh of marts ----------------------------------------------------------------------------
 
 
-def _refreshed_twice(shop: Shop, label: str) -> Lake:
-    lake = _two_runs(shop, label, refresh.refresh_all)
-    refresh.refresh_all(lake)
-    return lake
-
-
-def _refreshed(mart: str) -> Callable[[Shop], DataFrame]:
-    return lambda shop: refresh.read(_refreshed_twice(shop, f"refresh-{mart}"), mart)
+def _refreshed(mart: str, fed: tuple[str, ...]) -> Callable[[Shop], DataFrame]:
+    """Both deliveries through the feeds a mart depends on, each followed by a refresh."""
 
+    def build(shop: Shop) -> DataFrame:
+        lake = shop.lake(f"refresh-{mart}")
+        _append_reference(shop, lake)
+        runs.refresh_products(lake)
+        runs.refresh_customers(lake)
+        for batch in ("j1", "j2"):
+            for feed in fed:
+                _append_batch(shop, lake, feed, batch)
+                feeds.consume(lake, feed)
+            refresh.refresh(lake, mart)
+        return refresh.read(lake, mart)
 
-def refresh_daily_incremental(shop: Shop) -> DataFrame:
-    """Daily revenue built from the first delivery, then brought up to date where the second fell."""
-    lake = shop.lake("refresh-daily")
-    for batch in ("j1", "j2"):
-        _append_batch(shop, lake, "orders", batch)
-        feeds.consume(lake, "orders")
-        refresh.refresh(lake, refresh.DAILY)
-    return refresh.read(lake, refresh.DAILY)
+    return build
 
 
 def refresh_history(shop: Shop) -> DataFrame:
     """A full build, an update after the second delivery, and a refresh that finds nothing new."""
-    lake = _refreshed_twice(shop, "refresh-history")
+    lake = _two_runs(shop, "refresh-history", refresh.refresh_all)
+    refresh.refresh_all(lake)
     refresh.refresh_all(lake)
     return refresh.history(lake).select("mart", "action", "state")
 
@@ -492,10 +496,10 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "revenue_by_day": _trend("day"),
     "revenue_by_week": _trend("week"),
     "revenue_by_month": _trend("month"),
-    "report_top_products": lambda s: report.top_products(s.items, s.orders, EVERYTHING),
-    "report_top_products_filtered": lambda s: report.top_products(s.items, s.orders, CHOSEN),
-    "revenue_by_category": lambda s: report.revenue_by_category(s.items, s.orders, EVERYTHING),
-    "revenue_by_category_filtered": lambda s: report.revenue_by_category(s.items, s.orders, CHOSEN),
+    "report_top_products": lambda s: report.top_products(s.lines, s.orders, EVERYTHING, s.products),
+    "report_top_products_filtered": lambda s: report.top_products(s.lines, s.orders, CHOSEN, s.products),
+    "revenue_by_category": lambda s: report.revenue_by_category(s.lines, s.orders, EVERYTHING, s.products),
+    "revenue_by_category_filtered": lambda s: report.revenue_by_category(s.lines, s.orders, CHOSEN, s.products),
     "conversion_funnel": lambda s: report.funnel(s.events, EVERYTHING, FIXTURE_STEPS),
     "conversion_funnel_filtered": lambda s: report.funnel(s.events, CHOSEN_EVENTS, FIXTURE_STEPS),
     "events_by_device": lambda s: report.events_by_device(s.events, EVERYTHING),
@@ -514,9 +518,9 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "run_history": run_history,
     "restore_not_reprocessed": restore_not_reprocessed,
     # refresh of marts
-    "refresh_daily_incremental": refresh_daily_incremental,
-    "refresh_marts": _refreshed(refresh.TOP),
-    "refresh_cohorts": _refreshed(refresh.COHORTS),
+    "refresh_daily_incremental": _refreshed(refresh.DAILY, ("orders",)),
+    "refresh_marts": _refreshed(refresh.TOP, ("orders", "order_items")),
+    "refresh_cohorts": _refreshed(refresh.COHORTS, ("orders",)),
     "refresh_history": refresh_history,
     # recovery
     "delete_first_n": delete_first_n,

@@ -37,39 +37,47 @@ class FeedRun:
     batches: int
 
 
-def generation(lake: Lake, feed: str) -> tuple[int, int]:
-    """Current generation of a feed and the RAW version it started after."""
-    found = lake.log("feeds").where(F.col("feed") == feed)
-    last = found.orderBy(F.col("generation").desc()).select("generation", "start_version").first()
-    return (last[0], last[1]) if last else (0, 0)
+@dataclass(frozen=True)
+class Position:
+    """Where a feed stands: its generation, the RAW version it started after, the last one it took
+    in, the newest one, and the newest that added rows."""
+
+    generation: int
+    start_version: int
+    consumed: int
+    newest: int
+    newest_rows: int
+
+    @property
+    def has_data(self) -> bool:
+        """Whether rows were added that the feed has not seen; known from the logs alone."""
+        return self.newest_rows > self.consumed
+
+
+def position(lake: Lake, feed: str) -> Position:
+    """Read a feed's position from the logs.  Looking does not move it."""
+    started = lake.log("feeds").where(F.col("feed") == feed)
+    begin = started.agg(F.max(F.struct("generation", "start_version"))).first()[0]
+    number, start = tuple(begin) if begin else (0, 0)
+    runs = lake.log("runs").where((F.col("job") == feed) & (F.col("state") == "SUCCEEDED"))
+    taken = runs.where(F.col("generation") == number).agg(F.max("through_version")).first()[0]
+    adds = F.col("action").isin(versions.INSERT, versions.RESTORE)
+    newest = versions.commits(lake, feed).agg(F.max("version"), F.max(F.when(adds, F.col("version")))).first()
+    return Position(number, start, start if taken is None else taken, newest[0] or 0, newest[1] or 0)
 
 
 def restart(lake: Lake, feed: str) -> int:
     """Forget the feed's position and start again from now; what is in RAW already is skipped."""
-    new = generation(lake, feed)[0] + 1
-    start = versions.current_version(lake, feed)
-    lake.append_log("feeds", feed=feed, generation=new, start_version=start, created_at=now())
-    return new
-
-
-def consumed_version(lake: Lake, feed: str) -> int:
-    """Last RAW version the feed has taken in, from the log of successful runs."""
-    number, start = generation(lake, feed)
-    runs = lake.log("runs").where((F.col("job") == feed) & (F.col("state") == "SUCCEEDED"))
-    done = runs.where(F.col("generation") == number)
-    return done.agg(F.coalesce(F.max("through_version"), F.lit(start))).first()[0]
+    at = position(lake, feed)
+    lake.append_log(
+        "feeds", feed=feed, generation=at.generation + 1, start_version=at.newest, created_at=now()
+    )
+    return at.generation + 1
 
 
 def pending(lake: Lake, feed: str, kind: str = versions.INSERT) -> DataFrame:
-    """Rows the next run would take in.  Looking does not move the position."""
-    return versions.changes(lake, feed, kind).where(F.col("_version") > consumed_version(lake, feed))
-
-
-def has_data(lake: Lake, feed: str) -> bool:
-    """Whether a write has happened that the feed has not seen; reads the log only."""
-    kinds = F.col("action").isin(versions.INSERT, versions.RESTORE)
-    unseen = versions.commits(lake, feed).where(kinds & (F.col("version") > consumed_version(lake, feed)))
-    return not unseen.isEmpty()
+    """Rows the next run would take in."""
+    return versions.changes(lake, feed, kind).where(F.col("_version") > position(lake, feed).consumed)
 
 
 def pending_changes(lake: Lake) -> DataFrame:
@@ -134,31 +142,31 @@ def _batch_writer(lake: Lake, feed: str, number: int, staged_rows: list[int]) ->
     return write
 
 
-def _start(lake: Lake, feed: str, max_files: int | None, staged_rows: list[int], **trigger):
-    number, start = generation(lake, feed)
+def _start(lake: Lake, feed: str, at: Position, max_files: int | None, staged_rows: list[int], **trigger):
     return (
-        _new_rows(lake, feed, start, max_files)
-        .writeStream.foreachBatch(_batch_writer(lake, feed, number, staged_rows))
-        .option("checkpointLocation", lake.checkpoint(feed, number))
+        _new_rows(lake, feed, at.start_version, max_files)
+        .writeStream.foreachBatch(_batch_writer(lake, feed, at.generation, staged_rows))
+        .option("checkpointLocation", lake.checkpoint(feed, at.generation))
         .trigger(**trigger)
         .start()
     )
 
 
-def consume(lake: Lake, feed: str, run_id: int | None = None, max_files: int | None = None) -> FeedRun:
+def consume(
+    lake: Lake, feed: str, run_id: int | None = None, at: Position | None = None, max_files: int | None = None
+) -> FeedRun:
     """Take in everything that waits, log the run, and stop.  Without new files no batch runs."""
     started = lake.clock()
-    through = versions.current_version(lake, feed)
-    number = generation(lake, feed)[0]
+    at = at or position(lake, feed)
     staged_rows: list[int] = []
-    _start(lake, feed, max_files, staged_rows, availableNow=True).awaitTermination()
+    _start(lake, feed, at, max_files, staged_rows, availableNow=True).awaitTermination()
     lake.append_log(
-        "runs", run_id=run_id, job=feed, state="SUCCEEDED", generation=number, through_version=through,
+        "runs", run_id=run_id, job=feed, state="SUCCEEDED", generation=at.generation, through_version=at.newest,
         row_count=sum(staged_rows), scheduled_time=started, completed_time=now(),
     )
-    return FeedRun(feed, number, through, sum(staged_rows), len(staged_rows))
+    return FeedRun(feed, at.generation, at.newest, sum(staged_rows), len(staged_rows))
 
 
 def follow(lake: Lake, feed: str, every: str = "5 minutes"):
     """Keep taking in new rows on a timer; returns the running query."""
-    return _start(lake, feed, None, [], processingTime=every)
+    return _start(lake, feed, position(lake, feed), None, [], processingTime=every)

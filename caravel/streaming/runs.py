@@ -36,9 +36,10 @@ def _load(lake: Lake, job: str, run_id: int, max_files: int | None) -> str | Non
     if job == "products":
         refresh_products(lake)
         return "SUCCEEDED"
-    if not feeds.has_data(lake, job):
+    at = feeds.position(lake, job)
+    if not at.has_data:
         return "SKIPPED"
-    feeds.consume(lake, job, run_id, max_files)
+    feeds.consume(lake, job, run_id, at, max_files)
     return None
 
 
