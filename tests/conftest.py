@@ -1,0 +1,57 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parents[1]
+for folder in (ROOT, ROOT / "tests"):
+    if str(folder) not in sys.path:
+        sys.path.insert(0, str(folder))
+
+from caravel.lake import Lake  # noqa: E402
+from caravel.workspace import local_session, scratch_folder  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session(4, app="caravel-tests")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def lake(spark):
+    return Lake(spark, scratch_folder(spark, "test"))
+
+
+@pytest.fixture
+def rows(spark):
+    """Build a frame from tuples and a DDL schema; values may be given as text."""
+
+    def build(ddl, *tuples):
+        fields = [field.rsplit(" ", 1) for field in ddl.split(", ")]
+        texts = [tuple(None if v is None else str(v) for v in t) for t in tuples]
+        frame = spark.createDataFrame(texts, ", ".join(f"{name} string" for name, _ in fields))
+        return frame.selectExpr(*[f"cast({name} as {kind}) as {name}" for name, kind in fields])
+
+    return build
+
+
+@pytest.fixture
+def documents(spark):
+    """Build a VARIANT frame from JSON texts."""
+
+    def build(*texts):
+        frame = spark.createDataFrame([(t,) for t in texts], "value string")
+        return frame.selectExpr("parse_json(value) AS data")
+
+    return build
+
+
+def values(frame):
+    """All rows as plain tuples, sorted."""
+    return sorted((tuple(r) for r in frame.collect()), key=lambda t: tuple((v is None, str(v)) for v in t))

@@ -1,0 +1,142 @@
+"""Marts and ranks against plain Python on small tables."""
+
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+from datetime import date, timedelta
+from decimal import ROUND_HALF_UP, Decimal
+
+import pytest
+from conftest import SMALL, values
+
+from caravel import fixtures
+from caravel.operators.joins import first_keys, without_match
+from caravel.operators.ranking import rank_at_most
+from caravel.plans import marts, staging
+
+ORDERS = "order_id string, customer_id string, order_ts timestamp_ntz, order_date date, status string, total_amount decimal(12,2)"
+ITEMS = (
+    "order_id string, product_id string, quantity bigint, unit_price decimal(12,2), line_amount decimal(14,2), "
+    "product_name string, category string, brand string"
+)
+CUSTOMERS = "customer_id string, signup_date date"
+
+
+def order(oid, cid, day, amount="1.00", status="paid"):
+    return (oid, cid, None if day is None else f"{day} 12:30:00", day, status, amount)
+
+
+def item(oid, pid, quantity, amount, name="n", category="c", brand="b"):
+    return (oid, pid, quantity, amount, amount, name, category, brand)
+
+
+def cents(total, n):
+    return (Decimal(total) / n).quantize(Decimal("0.01"), ROUND_HALF_UP)
+
+
+def test_daily_revenue_adds_repeated_rows_but_counts_ids_once(rows):
+    orders = rows(
+        ORDERS,
+        order("O1", "C1", "2026-01-01", "10.00"), order("O1", "C1", "2026-01-01", "10.00"),
+        order("O2", "C1", "2026-01-01", "0.01"), order("O3", "C1", None, "5.00"), order("O4", "C1", "2026-01-02", None),
+    )
+    got = {r.order_date: (r.nb_orders, r.revenue, r.avg_basket) for r in marts.daily_revenue(orders).collect()}
+    assert got == {
+        date(2026, 1, 1): (2, Decimal("20.01"), Decimal("10.01")),
+        date(2026, 1, 2): (1, None, None),
+        None: (1, Decimal("5.00"), Decimal("5.00")),
+    }
+
+
+@pytest.mark.parametrize("k", [1, 3, 20, 1000])
+def test_rank_at_most_equals_rank_with_ties_and_nulls(rows, k):
+    rng = random.Random(k)
+    data = [(f"p{i}", rng.choice([None, 1, 2, 2, 3, 5, 8, 8, 8])) for i in range(60)]
+    got = rank_at_most(rows("id string, m decimal(18,2)", *data), "m", k, "place")
+    number = lambda v: float("-inf") if v is None else v
+    want = sorted(
+        (i, 1 + sum(number(w) > number(v) for _, w in data))
+        for i, v in data
+        if 1 + sum(number(w) > number(v) for _, w in data) <= k
+    )
+    assert sorted((r.id, r.place) for r in got.collect()) == want
+
+
+def test_rank_at_most_of_nothing(rows):
+    assert rank_at_most(rows("id string, m bigint"), "m", 3, "place").isEmpty()
+
+
+def test_top_products_window_is_anchored_on_the_newest_order(rows):
+    orders = rows(
+        ORDERS, order("O1", "C", "2026-06-30"), order("O2", "C", "2026-05-31"), order("O3", "C", "2026-05-30")
+    )
+    items = rows(ITEMS, item("O1", "P1", 1, "5.00"), item("O2", "P2", 2, "7.00"), item("O3", "P3", 9, "99.00"))
+    got = marts.top_products(items, orders).collect()
+    assert sorted((r.product_id, r.units_sold, str(r.revenue), r.revenue_rank) for r in got) == [
+        ("P1", 1, "5.00", 2), ("P2", 2, "7.00", 1),
+    ]
+
+
+def test_repeated_orders_multiply_lines_as_a_join_would(rows):
+    orders = rows(ORDERS, *[order("O1", "C", "2026-01-01")] * 3, order("O2", "C", "2026-01-01"))
+    items = rows(ITEMS, *[item("O1", "P1", 2, "4.00")] * 2, item("O2", "P1", 1, "1.00"))
+    row = marts.product_sales(items, orders).first()
+    assert (row.units_sold, row.revenue) == (2 * 2 * 3 + 1, Decimal("25.00"))
+
+
+def test_catalogue_after_the_sums_equals_enriched_lines(spark, rows):
+    orders = staging.orders(fixtures.raw_orders(spark, SMALL))
+    raw, products = fixtures.raw_order_items(spark, SMALL), fixtures.typed_products(spark, SMALL)
+    twice = products.unionByName(products.limit(7)).unionByName(
+        products.limit(3).selectExpr("product_id", "'other' as name", "category", "brand", "price", "color",
+                                     "warranty_months", "weight_g", "nb_tags")
+    )
+    enriched = marts.product_sales(staging.order_items(raw, twice), orders)
+    late = marts.product_sales(staging.valid_lines(raw), orders, twice)
+    as_money = "product_id", "product_name", "category", "brand", "units_sold", "cast(revenue as decimal(18,2)) r"
+    assert values(enriched.selectExpr(*as_money)) == values(late.selectExpr(*as_money))
+
+
+def brute_cohorts(customers, orders):
+    month = lambda d: d.replace(day=1)
+    signed = [(c, month(d)) for c, d in customers if d]
+    size, active = defaultdict(int), defaultdict(set)
+    for _, start in signed:
+        size[start] += 1
+    for c, start in signed:
+        for oc, day in orders:
+            if oc == c and day and day >= start:
+                active[start, (day.year - start.year) * 12 + day.month - start.month].add(oc)
+    return sorted(
+        (start, offset, size[start], len(who), cents(100 * len(who), size[start]))
+        for (start, offset), who in active.items()
+    )
+
+
+def test_cohorts_against_brute_force_with_repeated_customers(rows):
+    rng = random.Random(7)
+    day = lambda: date(2026, 1, 1) + timedelta(days=rng.randrange(200))
+    customers = [(f"C{rng.randrange(25)}", rng.choice([None, day(), day(), day()])) for _ in range(40)]
+    orders = [(f"C{rng.randrange(30)}", rng.choice([None, *[day()] * 9])) for _ in range(300)]
+    orders += [("C1", day()) for _ in range(200)] + [(None, day())]
+    got = marts.customer_cohorts(
+        rows(CUSTOMERS, *customers),
+        rows(ORDERS, *[order(f"O{i}", c, d) for i, (c, d) in enumerate(orders)]),
+    )
+    assert sorted(tuple(r) for r in got.collect()) == brute_cohorts(customers, orders)
+
+
+def test_order_earlier_in_the_signup_month_counts_as_month_zero(rows):
+    got = marts.customer_cohorts(
+        rows(CUSTOMERS, ("C1", "2026-03-20"), ("C2", "2026-03-01")),
+        rows(ORDERS, order("O1", "C1", "2026-03-02"), order("O2", "C1", "2026-02-28")),
+    )
+    assert [(r.months_since_signup, r.active_customers, str(r.retention_pct)) for r in got.collect()] == [(0, 1, "50.00")]
+
+
+def test_anti_join_and_first_keys(rows):
+    lines = rows("order_id string", ("a",), ("b",), (None,), ("b",))
+    orders = rows("order_id string", ("a",), ("a",), (None,))
+    assert values(without_match(lines, orders, "order_id")) == [("b",), ("b",), (None,)]
+    assert [r.order_id for r in first_keys(lines, "order_id", 3).collect()] == ["a", "b", "b"]

@@ -1,0 +1,31 @@
+"""Every registered query against its SQL on the supplied tables."""
+
+from __future__ import annotations
+
+import pytest
+
+from __spark_entry__ import entry, oracle_sql, queries
+from conftest import SMALL
+from oracle_check import differences
+
+QUERIES, ORACLES = queries(), oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, name):
+    assert differences(QUERIES[name](spark, SMALL), SMALL, ORACLES[name]) is None
+
+
+def test_every_oracle_has_a_query():
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == {"landing_files"}
+
+
+def test_landing_files_lists_every_entity(spark):
+    paths = [r.path for r in QUERIES["landing_files"](spark, SMALL).collect()]
+    for name in ("orders.csv", "order_items.csv", "customers.parquet", "products.json", "web_events.json"):
+        assert any(p.startswith(f"j1/{name}/") for p in paths), name
+
+
+def test_entry(spark):
+    assert entry(spark).count() >= 20
