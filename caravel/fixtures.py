@@ -15,30 +15,50 @@ SECOND_BATCH = {"orders": "2001-07-02", "order_items": "2001-07-02", "web_events
 
 CATALOGUE_CHUNK = 5000
 
+# Columns of the supplied tables that are used, so that no footer is read to find them out.
+SUPPLIED = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_shipdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SUPPLIED[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _padded(prefix: str, key: Column, width: int) -> Column:
+def _padded(prefix: Column | str, key: Column, width: int, blanks: Column | None = None) -> Column:
+    """Prefix and zero-padded key; where ``blanks`` holds, with a blank before and two after."""
     digits = key.cast("string")
-    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
+    number = F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))
+    start = F.lit(prefix) if isinstance(prefix, str) else prefix
+    if blanks is None:
+        return F.concat(start, number)
+    return F.concat(_either(blanks, " ", ""), start, number, _either(blanks, "  ", ""))
+
+
+def _either(condition: Column, yes: str, no: str) -> Column:
+    return F.when(condition, F.lit(yes)).otherwise(F.lit(no))
 
 
-def order_id(key: Column) -> Column:
-    return _padded("O", key, 7)
+def order_id(key: Column, blanks: Column | None = None) -> Column:
+    return _padded("O", key, 7, blanks)
 
 
-def customer_id(key: Column) -> Column:
-    return _padded("C", key, 6)
+def customer_id(key: Column, blanks: Column | None = None) -> Column:
+    return _padded("C", key, 6, blanks)
 
 
 def product_id(key: Column) -> Column:
     return _padded("P", key, 6)
 
 
-def _with_blanks(text: Column, when: Column) -> Column:
-    return F.when(when, F.concat(F.lit(" "), text, F.lit("  "))).otherwise(text)
+def _with_blanks(text: Column, blanks: Column) -> Column:
+    return F.concat(_either(blanks, " ", ""), text, _either(blanks, "  ", ""))
 
 
 def _batch(rows: DataFrame, moment: str, source: str, batch: str | None) -> DataFrame:
@@ -53,8 +73,8 @@ def raw_orders(spark: SparkSession, sf_dir: str, batch: str | None = None) -> Da
     source = _batch(table(spark, sf_dir, "orders"), "o_orderdate", "orders", batch)
     key = F.col("o_orderkey")
     return source.select(
-        F.when(key % 101 != 0, _with_blanks(order_id(key), key % 4 == 0)).alias("order_id"),
-        _with_blanks(customer_id(F.col("o_custkey")), key % 6 == 0).alias("customer_id"),
+        F.when(key % 101 != 0, order_id(key, key % 4 == 0)).alias("order_id"),
+        customer_id(F.col("o_custkey"), key % 6 == 0).alias("customer_id"),
         F.col("o_orderdate").alias("order_date"),
         _with_blanks(F.col("o_orderstatus"), key % 5 == 0).alias("status"),
         F.col("o_totalprice").cast("decimal(12,2)").alias("total_amount"),
@@ -65,11 +85,9 @@ def raw_order_items(spark: SparkSession, sf_dir: str, batch: str | None = None)
     source = _batch(table(spark, sf_dir, "lineitem"), "l_shipdate", "order_items", batch)
     order, part = F.col("l_orderkey"), F.col("l_partkey")
     price = F.col("l_extendedprice").cast("decimal(12,2)")
-    stray_order = F.when(order % 89 == 0, _padded("Z", order, 7)).otherwise(order_id(order))
-    stray_part = F.when(part % 37 == 0, _padded("X", part, 6)).otherwise(product_id(part))
     return source.select(
-        _with_blanks(stray_order, order % 4 == 0).alias("order_id"),
-        _with_blanks(stray_part, F.col("l_linenumber") % 2 == 0).alias("product_id"),
+        _padded(_either(order % 89 == 0, "Z", "O"), order, 7, order % 4 == 0).alias("order_id"),
+        _padded(_either(part % 37 == 0, "X", "P"), part, 6, F.col("l_linenumber") % 2 == 0).alias("product_id"),
         F.when(part % 50 == 0, F.lit(0)).otherwise(F.col("l_quantity")).cast("bigint").alias("quantity"),
         F.when(part % 41 == 0, -price).otherwise(price).cast("decimal(12,2)").alias("unit_price"),
     )
@@ -84,7 +102,7 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "customer")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .select(
-            F.when(key % 89 != 0, _with_blanks(customer_id(key), key % 4 == 0)).alias("customer_id"),
+            F.when(key % 89 != 0, customer_id(key, key % 4 == 0)).alias("customer_id"),
             F.when(key % 3 == 0, _with_blanks(F.upper(email), key % 2 == 0)).otherwise(email).alias("email"),
             F.col("c_name").alias("first_name"),
             F.when(key % 53 != 0, F.col("c_mktsegment")).alias("last_name"),
@@ -156,8 +174,7 @@ def web_event_fields(spark: SparkSession, sf_dir: str, batch: str | None = None)
     """Fields of an event document.  Of the anonymous ones half lack ``user_id``, half have ``null``."""
     source = _event_source(spark, sf_dir, batch)
     event, k = F.col("event_id"), F.col("k")
-    quoted = F.concat(F.lit('"'), customer_id(F.col("user_id")), F.lit('"'))
-    user = F.when(F.col("user_id") % 5 != 0, F.parse_json(quoted))
+    user = F.when(F.col("user_id") % 5 != 0, customer_id(F.col("user_id")).cast("variant"))
     user = user.when(event % 2 == 0, F.parse_json(F.lit("null")))
     return source.select(
         _event_id().alias("event_id"),
@@ -176,8 +193,9 @@ def web_event_fields(spark: SparkSession, sf_dir: str, batch: str | None = None)
 
 
 def raw_web_events(spark: SparkSession, sf_dir: str, batch: str | None = None) -> DataFrame:
+    """Event documents as RAW holds them.  Here a missing field is a null one; the files have both."""
     fields = web_event_fields(spark, sf_dir, batch)
-    return fields.select(F.parse_json(F.to_json(F.struct(*fields.columns))).alias("data"))
+    return fields.select(F.to_variant_object(F.struct(*fields.columns)).alias("data"))
 
 
 def typed_products(spark: SparkSession, sf_dir: str) -> DataFrame:

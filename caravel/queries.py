@@ -265,6 +265,13 @@ def _incremental(feed: str) -> Callable[[Shop], DataFrame]:
     return build
 
 
+def stg_web_events(shop: Shop) -> DataFrame:
+    """From the RAW table as stored: documents are built once and only read here."""
+    lake = shop.lake("stg-events")
+    _append_batch(shop, lake, "web_events", None)
+    return staging.web_events(versions.as_of(lake, "web_events"))
+
+
 def backfill_equals_incremental(shop: Shop) -> DataFrame:
     """STAGING orders from one run over all history and from two runs, side by side."""
     at_once = shop.lake("backfill")
@@ -451,7 +458,7 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "stg_customers": lambda s: s.customers,
     "stg_orders": lambda s: s.orders,
     "stg_order_items": lambda s: s.items,
-    "stg_web_events": lambda s: staging.web_events(s.raw_events),
+    "stg_web_events": stg_web_events,
     # documents
     "product_attributes": lambda s: catalogue.product_attributes(s.raw_products),
     "category_price_stats": lambda s: catalogue.category_price_stats(s.raw_products),
