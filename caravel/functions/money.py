@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
-PERCENT = "decimal(8,2)"
+# Totals get all the digits there are: a third of a few trillion lines no longer fits decimal(18,2).
+MONEY = "decimal(38,2)"
+PERCENT = "decimal(18,2)"
 
 
 def rounded_money(total: Column) -> Column:

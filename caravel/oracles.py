@@ -20,11 +20,11 @@ def _blanks(text: str, when: str) -> str:
 def _ratio(cents: str, n: str) -> str:
     """cents / n in money, rounded half up; NULL when n is 0 (cents not negative)."""
     whole = f"((2 * CAST({cents} AS HUGEINT) + ({n})) // (2 * nullif({n}, 0)))"
-    return f"CAST(CAST({whole} AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2))"
+    return f"CAST(CAST({whole} AS DECIMAL(18,0)) * 0.01 AS DECIMAL(38,2))"
 
 
 def _percent(part: str, whole: str) -> str:
-    return f"CAST(CAST((20000 * CAST({part} AS HUGEINT) + ({whole})) // (2 * nullif({whole}, 0)) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(8,2))"
+    return f"CAST(CAST((20000 * CAST({part} AS HUGEINT) + ({whole})) // (2 * nullif({whole}, 0)) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2))"
 
 
 def _cents(total: str) -> str:
@@ -102,12 +102,12 @@ FRAMES = {
         FROM raw_events WHERE event_id IS NOT NULL""",
     "per_day": f"""
         SELECT order_date, CAST(count(DISTINCT order_id) AS BIGINT) AS nb_orders,
-               CAST(sum(total_amount) AS DECIMAL(18,2)) AS revenue,
+               CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue,
                {_ratio(_cents('sum(total_amount)'), 'count(DISTINCT order_id)')} AS avg_basket
         FROM stg_orders GROUP BY order_date""",
     "sold_recently": """
         SELECT product_id, product_name, category, brand, CAST(sum(quantity) AS BIGINT) AS units_sold,
-               CAST(sum(line_amount) AS DECIMAL(18,2)) AS revenue
+               CAST(sum(line_amount) AS DECIMAL(38,2)) AS revenue
         FROM stg_items JOIN stg_orders USING (order_id)
         WHERE order_date >= (SELECT max(order_date) - 30 FROM stg_orders)
         GROUP BY ALL""",
@@ -187,7 +187,7 @@ def _daily_report(where: str) -> str:
     return _with(
         ["stg_orders"],
         f"""SELECT order_date, CAST(count(DISTINCT order_id) AS BIGINT) AS nb_orders,
-               CAST(sum(total_amount) AS DECIMAL(18,2)) AS revenue,
+               CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue,
                {_ratio(_cents('sum(total_amount)'), 'count(DISTINCT order_id)')} AS avg_basket
             FROM stg_orders WHERE {where} GROUP BY order_date""",
     )
@@ -197,7 +197,7 @@ def _by_period(unit: str) -> str:
     return _with(
         ["stg_orders"],
         f"""SELECT CAST(date_trunc('{unit}', order_date) AS DATE) AS period,
-               CAST(count(DISTINCT order_id) AS BIGINT) AS nb_orders, CAST(sum(total_amount) AS DECIMAL(18,2)) AS revenue
+               CAST(count(DISTINCT order_id) AS BIGINT) AS nb_orders, CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue
             FROM stg_orders WHERE order_date IS NOT NULL GROUP BY 1""",
     )
 
@@ -206,7 +206,7 @@ def _best_by_name(where: str, n: int) -> str:
     return _with(
         ["stg_items", "stg_orders"],
         f"""SELECT product_name, category, brand, CAST(sum(quantity) AS BIGINT) AS units_sold,
-               CAST(sum(line_amount) AS DECIMAL(18,2)) AS revenue
+               CAST(sum(line_amount) AS DECIMAL(38,2)) AS revenue
             FROM stg_items JOIN stg_orders USING (order_id) WHERE {where}
             GROUP BY product_name, category, brand
             ORDER BY revenue DESC NULLS LAST, product_name NULLS LAST, category NULLS LAST, brand NULLS LAST LIMIT {n}""",
@@ -216,7 +216,7 @@ def _best_by_name(where: str, n: int) -> str:
 def _category_revenue(where: str) -> str:
     return _with(
         ["stg_items", "stg_orders"],
-        f"""SELECT category, CAST(sum(line_amount) AS DECIMAL(18,2)) AS revenue
+        f"""SELECT category, CAST(sum(line_amount) AS DECIMAL(38,2)) AS revenue
             FROM stg_items JOIN stg_orders USING (order_id) WHERE {where} GROUP BY category""",
     )
 
@@ -227,11 +227,11 @@ def _kpis(where: str) -> str:
         f"""SELECT order_date AS last_day, nb_orders, nb_orders_delta, avg_basket, avg_basket_delta, revenue, revenue_delta,
                total_revenue, (SELECT CAST(count(DISTINCT customer_id) AS BIGINT) FROM stg_orders WHERE {where}) AS unique_customers
             FROM (SELECT *, CAST(nb_orders - lag(nb_orders) OVER byday AS BIGINT) AS nb_orders_delta,
-                         CAST(avg_basket - lag(avg_basket) OVER byday AS DECIMAL(18,2)) AS avg_basket_delta,
-                         CAST(revenue - lag(revenue) OVER byday AS DECIMAL(18,2)) AS revenue_delta,
-                         CAST(sum(revenue) OVER () AS DECIMAL(18,2)) AS total_revenue
+                         CAST(avg_basket - lag(avg_basket) OVER byday AS DECIMAL(38,2)) AS avg_basket_delta,
+                         CAST(revenue - lag(revenue) OVER byday AS DECIMAL(38,2)) AS revenue_delta,
+                         CAST(sum(revenue) OVER () AS DECIMAL(38,2)) AS total_revenue
                   FROM (SELECT order_date, CAST(count(DISTINCT order_id) AS BIGINT) AS nb_orders,
-                               CAST(sum(total_amount) AS DECIMAL(18,2)) AS revenue,
+                               CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue,
                                {_ratio(_cents('sum(total_amount)'), 'count(DISTINCT order_id)')} AS avg_basket
                         FROM stg_orders WHERE {where} GROUP BY order_date)
                   WINDOW byday AS (ORDER BY order_date))

@@ -40,64 +40,63 @@ def _position(lake: Lake, mart: str) -> str:
     return named.agg(F.array_join(F.array_sort(F.collect_list("p")), ";")).first()[0]
 
 
-def _daily(orders: DataFrame) -> DataFrame:
-    """Daily revenue with its month, which is the unit of storage; rows per day, so few."""
-    return marts.daily_figures(orders, MONTH, "order_date").repartition(MONTH)
-
-
 def _define(lake: Lake, mart: str) -> DataFrame:
     if mart == DAILY:
-        return _daily(_staged_orders(lake))
+        return marts.daily_revenue(lake.staged("orders"))
     if mart == TOP:
         return marts.top_products(lake.staged("order_items"), lake.staged("orders"))
     return marts.customer_cohorts(lake.staged("customers"), lake.staged("orders"))
 
 
-def _write_months(days: DataFrame, path: str) -> None:
-    """Replace the months that occur in ``days`` and leave the others."""
-    writer = days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(MONTH).parquet(path)
+def _touched_days(lake: Lake, after: str) -> DataFrame:
+    """Days (with their month folder) that got orders in batches after the one named."""
+    fresh = _staged_orders(lake).where(F.col("_src_batch") > after)
+    return fresh.select(F.col(MONTH).alias("_month"), F.col("order_date").alias("_day")).distinct()
 
 
-def _rebuild(lake: Lake, mart: str, number: int) -> None:
-    """Write the whole mart to a folder of its own."""
-    rows = _define(lake, mart)
-    if mart == DAILY:
-        _write_months(rows, lake.mart(mart, number))
-    else:
-        rows.write.mode("overwrite").parquet(lake.mart(mart, number))
+def orders_of_touched_days(lake: Lake, after: str) -> DataFrame:
+    """All orders of the days that got new ones.
+
+    The month is a folder column, so the join prunes folders at run time; the day bounds let the
+    scan skip row groups, as the files are sorted by day.
+    """
+    touched = _touched_days(lake, after)
+    first, last = touched.agg(F.min("_day")).scalar(), touched.agg(F.max("_day")).scalar()
+    orders = _staged_orders(lake).where(F.col("order_date").isNull() | F.col("order_date").between(first, last))
+    same_day = (F.col(MONTH) == F.col("_month")) & F.col("order_date").eqNullSafe(F.col("_day"))
+    return orders.join(touched, same_day, "left_semi")
 
 
-def _recompute_months(lake: Lake, number: int, after: str) -> None:
-    """Recompute the months that got orders in batches after the one named.
+def _daily_updated(lake: Lake, number: int, after: str) -> DataFrame:
+    """The current daily mart with the touched days computed again.
 
-    Distinct counts cannot be added up, so an affected month is computed again from all its orders;
-    the month folders of STAGING keep the others unread.
+    Distinct counts cannot be added up, so a touched day is recomputed from all its orders.  The
+    other days are carried over: the mart has one row per day, so copying it costs nothing.
     """
-    orders = _staged_orders(lake)
-    touched = orders.where(F.col("_src_batch") > after).select(MONTH).distinct()
-    again = orders.join(touched, MONTH, "left_semi")
-    _write_months(_daily(again), lake.mart(DAILY, number))
+    days = _touched_days(lake, after).select("_day").distinct()
+    current = lake.spark.read.parquet(lake.mart(DAILY, number))
+    kept = current.join(days, F.col("order_date").eqNullSafe(F.col("_day")), "left_anti")
+    return kept.unionByName(marts.daily_revenue(orders_of_touched_days(lake, after)))
 
 
 def refresh(lake: Lake, mart: str, full: bool = False) -> str:
     """Bring one mart up to date and say how: in full, in part, or not at all.
 
-    A full refresh goes to a new folder and readers move to it once it is logged, so a refresh that
-    fails leaves the mart as it was.  A partial one replaces the affected months in place.
+    Every refresh writes a new folder and readers move to it once it is logged, so a refresh that
+    fails leaves the mart as it was.
     """
     started = lake.clock()
     number, seen = _last(lake, mart)
     position = _position(lake, mart)
     if number and position == seen and not full:
-        action = NO_DATA
-    elif number and mart == DAILY and not full:
-        action = INCREMENTAL
-        _recompute_months(lake, number, seen.partition("=")[2])
+        _record(lake, mart, number, NO_DATA, position, started)
+        return NO_DATA
+    if number and mart == DAILY and not full:
+        action, rows = INCREMENTAL, _daily_updated(lake, number, seen.partition("=")[2])
     else:
-        action, number = FULL, number + 1
-        _rebuild(lake, mart, number)
-    _record(lake, mart, number, action, position, started)
+        action, rows = FULL, _define(lake, mart)
+    rows.write.mode("overwrite").parquet(lake.mart(mart, number + 1))
+    _record(lake, mart, number + 1, action, position, started)
     return action
 
 
@@ -118,7 +117,7 @@ def read(lake: Lake, mart: str) -> DataFrame:
     number = _last(lake, mart)[0]
     if number == 0:
         raise ValueError(f"{mart} has not been refreshed yet")
-    return lake.spark.read.parquet(lake.mart(mart, number)).drop(MONTH)
+    return lake.spark.read.parquet(lake.mart(mart, number))
 
 
 def history(lake: Lake, rows: int = 50) -> DataFrame:

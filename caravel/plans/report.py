@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravel.functions.calendar import midnight, month_label, period_start
-from caravel.functions.money import percent_of
+from caravel.functions.money import percent_of, rounded_money
 from caravel.functions.text import full_name
 from caravel.operators.ranking import largest
 from caravel.plans.marts import daily_figures, daily_revenue, product_sales, regroup, since_last
@@ -82,7 +82,7 @@ def kpis(orders: DataFrame, filters: ReportFilters) -> DataFrame:
     last = largest(days, 2, newest_first).select("order_date", *figures, *changes)
     period = chosen.agg(
         F.struct(
-            F.sum("total_amount").cast("decimal(18,2)").alias("revenue"),
+            rounded_money(F.sum("total_amount")).alias("revenue"),
             F.count_distinct(F.col("customer_id")).alias("customers"),
         )
     ).scalar()

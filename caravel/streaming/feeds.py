@@ -22,7 +22,7 @@ from caravel.sources import versions
 
 FEEDS = ("orders", "order_items", "web_events")
 
-# STAGING orders are laid out by month, so that marts can be refreshed month by month.
+# STAGING orders are laid out by month; this is the folder of orders without a date.
 NO_MONTH = "none"
 
 
@@ -91,25 +91,29 @@ def pending_changes(lake: Lake) -> DataFrame:
 
 
 def _new_rows(lake: Lake, feed: str, after: int, max_files: int | None) -> DataFrame:
-    """The stream of inserted rows.  Both filters are on folder columns and prune files."""
+    """The stream of inserted rows, business columns only.  Both filters are on folder columns and
+    prune files; columns are cut here because a micro-batch cannot push that back into the scan."""
     columns = schemas.ddl(schemas.RAW[feed], schemas.AUDIT, schemas.VERSIONED)
     reader = lake.spark.readStream.schema(columns)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     stream = reader.parquet(lake.raw(feed))
-    return stream.where((F.col("_change") == versions.INSERT) & (F.col("_version") > after))
+    wanted = (F.col("_change") == versions.INSERT) & (F.col("_version") > after)
+    return stream.where(wanted).select(*schemas.RAW[feed])
 
 
 def write_batch(feed: str, staged: DataFrame, path: str) -> int:
     """Write one batch over whatever an earlier try left, and return its number of rows.
 
-    Orders are written by month; rebalancing sizes the files and splits a heavy month.
+    Orders are written by month and sorted by day, so that readers of a few days skip the rest;
+    rebalancing sizes the files and splits a heavy month.
     """
     counted = Observation()
     n = F.count(F.lit(1)).alias("n")
     if feed == "orders":
         month = F.coalesce(month_label(F.col("order_date")), F.lit(NO_MONTH))
-        by_month = staged.withColumn("order_month", month).hint("rebalance", "order_month").observe(counted, n)
+        by_month = staged.withColumn("order_month", month).hint("rebalance", "order_month")
+        by_month = by_month.sortWithinPartitions("order_month", "order_date").observe(counted, n)
         by_month.write.mode("overwrite").partitionBy("order_month").parquet(path)
     else:
         staged.observe(counted, n).write.mode("overwrite").parquet(path)
