@@ -62,7 +62,8 @@ class Lake:
         return self.spark.read.schema(ddl).parquet(path)
 
     def log(self, name: str) -> DataFrame:
-        return self.read_or_empty(self.log_path(name), schemas.ddl(schemas.LOGS[name]))
+        """A log as one partition: one short row per load or run, so aggregates need no shuffle."""
+        return self.read_or_empty(self.log_path(name), schemas.ddl(schemas.LOGS[name])).coalesce(1)
 
     def append_log(self, name: str, **values: Any) -> None:
         """Add one row to a log; columns not given stay NULL."""

@@ -409,9 +409,12 @@ def _refreshed(mart: str, fed: tuple[str, ...]) -> Callable[[Shop], DataFrame]:
 
     def build(shop: Shop) -> DataFrame:
         lake = shop.lake(f"refresh-{mart}")
-        _append_reference(shop, lake)
-        runs.refresh_products(lake)
-        runs.refresh_customers(lake)
+        if mart == refresh.TOP:
+            versions.append(lake, "products", shop.raw_products, "j1/products")
+            runs.refresh_products(lake)
+        if mart == refresh.COHORTS:
+            versions.append(lake, "customers", shop.raw_customers, "j1/customers")
+            runs.refresh_customers(lake)
         for batch in ("j1", "j2"):
             for feed in fed:
                 _append_batch(shop, lake, feed, batch)
