@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 # First instant that belongs to the second delivery, per table.
 SECOND_BATCH = {"orders": "2001-07-02", "order_items": "2001-07-02", "web_events": "2024-01-24"}
 
-CATALOGUE_CHUNK = 5000
-
 # Columns of the supplied tables that are used, so that no footer is read to find them out.
 SUPPLIED = {
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz",
@@ -136,10 +134,9 @@ def product_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product documents as JSON text, with the catalogue chunk each belongs to."""
+    """Product documents as JSON text."""
     fields = product_fields(spark, sf_dir)
-    chunk = F.floor(F.regexp_extract("product_id", r"(\d+)", 1).cast("bigint") / CATALOGUE_CHUNK)
-    return fields.select(F.to_json(F.struct(*fields.columns)).alias("value"), chunk.alias("chunk"))
+    return fields.select(F.to_json(F.struct(*fields.columns)).alias("value"))
 
 
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:

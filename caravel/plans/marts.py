@@ -80,22 +80,24 @@ def top_products(
 def customer_cohorts(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """Retention in long form: one row per signup month and month offset with activity.
 
-    Orders shrink to distinct (customer, month) before the join, so a customer with very many
-    orders costs one row per month; both join sides being distinct, the active customers are then
-    a plain count and need no second distinct.  Cohort size counts customer rows.
+    Both sides shrink to one row per customer with the set of its months (as many as the calendar
+    has, whatever the number of orders) before they meet, so each is shuffled once, on the join key,
+    and a customer with very many orders is no heavier than any other.  Every (customer, cohort,
+    month) then occurs once and active customers are a plain count.  Cohort size counts customer rows.
     """
     signed = customers.where(F.col("signup_date").isNotNull()).select(
         "customer_id", month_start(F.col("signup_date")).alias("cohort_month")
     )
     size = signed.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
-    active = orders.select("customer_id", month_start(F.col("order_date")).alias("_month")).distinct()
-    seen = signed.distinct().join(active, "customer_id").where(F.col("_month") >= F.col("cohort_month"))
-    offset = months_apart(F.col("cohort_month"), F.col("_month"))
-    kept = seen.groupBy("cohort_month", offset.alias("months_since_signup")).agg(
-        F.count(F.lit(1)).alias("active_customers")
-    )
+    member = signed.groupBy("customer_id").agg(F.collect_set("cohort_month").alias("_cohorts"))
+    active = orders.groupBy("customer_id").agg(F.collect_set(month_start(F.col("order_date"))).alias("_months"))
+    both = member.join(active, "customer_id").select(F.explode("_cohorts").alias("cohort_month"), "_months")
+    seen = both.select("cohort_month", F.explode("_months").alias("_month"))
+    offset = months_apart(F.col("cohort_month"), F.col("_month")).alias("months_since_signup")
+    kept = seen.where(F.col("_month") >= F.col("cohort_month")).groupBy("cohort_month", offset)
+    counted = kept.agg(F.count(F.lit(1)).alias("active_customers"))
     rate = percent_of(F.col("active_customers"), F.col("cohort_size"))
-    return kept.join(size, "cohort_month").select(
+    return counted.join(size, "cohort_month").select(
         "cohort_month", "months_since_signup", "cohort_size", "active_customers", rate.alias("retention_pct")
     )
 

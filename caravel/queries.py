@@ -124,7 +124,7 @@ def _land(shop: Shop, lake: Lake, table: str, batch: str | None = None) -> str:
     if table == "customers":
         return landing.put_parquet(lake, shop.raw_customers, name)
     if table == "products":
-        return landing.put_json_arrays(lake, fx.product_json(spark, sf_dir), name, F.col("chunk"))
+        return landing.put_json_arrays(lake, fx.product_json(spark, sf_dir), name)
     return landing.put_json_lines(lake, fx.web_event_fields(spark, sf_dir, batch), name)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel.lake import Lake
@@ -35,12 +35,15 @@ def put_json_lines(lake: Lake, documents: DataFrame, name: str) -> str:
     return name
 
 
-def put_json_arrays(lake: Lake, documents: DataFrame, name: str, chunk: Column) -> str:
-    """JSON text of column ``value`` as array files, one file per value of ``chunk``.
+def put_json_arrays(lake: Lake, documents: DataFrame, name: str, per_file: int = 5000) -> str:
+    """JSON text of column ``value`` as array files of at most ``per_file`` documents each.
 
-    The caller picks a chunk that holds a bounded number of documents.
+    Rows are numbered consecutively within each task, so a chunk never holds more than that,
+    whatever the documents look like.
     """
+    chunk = F.floor(F.monotonically_increasing_id() / per_file).alias("part")
     body = F.concat_ws(",\n", F.collect_list("value"))
-    arrays = documents.groupBy(chunk.alias("part")).agg(F.concat(F.lit("["), body, F.lit("]")).alias("value"))
-    arrays.write.mode("overwrite").partitionBy("part").text(lake.landing(name))
+    arrays = documents.select("value", chunk).groupBy("part")
+    whole = arrays.agg(F.concat(F.lit("["), body, F.lit("]")).alias("value"))
+    whole.write.mode("overwrite").partitionBy("part").text(lake.landing(name))
     return name

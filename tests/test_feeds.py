@@ -231,3 +231,12 @@ def test_shared_folder_is_the_one_the_cluster_names(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert scratch_folder(spark, "x").startswith(shared_folder(spark))
     assert isinstance(Lake(spark, scratch_folder(spark, "y")).clock().year, int)
+
+
+def test_batches_in_which_no_row_is_valid(lake, rows):
+    v.append(lake, "orders", rows(ORDERS, raw_order(None)), "f1")
+    done = feeds.consume(lake, "orders")
+    assert (done.rows_staged, done.batches) == (0, 1)
+    assert lake.staged("orders").isEmpty()
+    assert refresh.refresh(lake, refresh.DAILY) == "FULL"
+    assert refresh.read(lake, refresh.DAILY).isEmpty()

@@ -154,3 +154,13 @@ def test_preview_and_listing(spark, lake):
     assert formats.preview(text).count() == 10
     assert values(landing.list_files(lake, "j2").select("path")) == [("j2/orders.csv",)]
     assert landing.list_files(lake).count() == 2
+
+
+def test_array_files_hold_a_bounded_number_of_documents(spark, lake):
+    documents = spark.range(0, 25, 1, 3).selectExpr("concat('{\"n\":', id % 2, '}') AS value")
+    landing.put_json_arrays(lake, documents, "j1/products.json", per_file=4)
+    sizes = spark.read.text(lake.landing("j1/products.json"), wholetext=True).selectExpr(
+        "size(from_json(value, 'array<variant>')) AS n"
+    )
+    assert max(r.n for r in sizes.collect()) <= 4
+    assert formats.read_json_array(spark, lake.landing("j1/products.json")).count() == 25

@@ -106,3 +106,14 @@ def test_point_in_time_join_is_an_equi_join(spark, lake, orders, keys):
         plan = v.as_of(lake, "orders")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_writes_without_rows(lake, orders, keys):
+    assert v.append(lake, "orders", orders(), "empty") == 1
+    assert v.append(lake, "orders", orders("a").where("order_id = 'zzz'"), "none left") == 2
+    v.append(lake, "orders", orders("a"), "f1")
+    v.remove(lake, "orders", keys("not there"))
+    v.restore(lake, "orders", 3)
+    assert ids(v.as_of(lake, "orders")) == ["a"]
+    logged = {r.version: r.row_count for r in v.commits(lake, "orders").collect()}
+    assert logged == {1: 0, 2: 0, 3: 1, 4: None, 5: 0}
