@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm import bpe
+from caravel.llm import bpe, language, simhash, warc
 from caravel.llm.frames import table
 
 
@@ -23,8 +23,56 @@ def token_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold, read back through the capture index."""
+    folder, directory = warc.archive(spark, table(spark, sf_dir, "pages"))
+    records = warc.read_archives(directory, folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def remainder(key: str, of: int) -> Column:
+    """crc32 of the key as text, modulo ``of``; a null key belongs to no fold."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % of
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document, learned from two of the three folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, learn=F.coalesce(remainder("doc_id", 3) != 1, F.lit(False)))
+    judged = language.predict(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return judged.select("doc_id", held_out, "language.lang_pred", "language.score", "language.rejected")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every whole document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
+    return found.select("doc_id", digits, "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_warc": op3_warc,
+    "op4_language_id": op4_language_id,
+    "op5_simhash": op5_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # Five hex digits make four base-32 digits.
+    "op3_warc": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        digests AS (
+            SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex,
+                   max(page_id) OVER (PARTITION BY payload) AS holder
+            FROM payloads)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda j:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                          CAST((CAST('0x' || substr(hex, CAST(i * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * j AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '')), '')
+                   AS payload_digest,
+               CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
+        FROM digests
+    """,
+}
