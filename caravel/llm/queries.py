@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm import bpe, language, simhash, warc
+from caravel.llm import bpe, language, simhash, vectors, warc
 from caravel.llm.frames import table
 
 
@@ -51,11 +51,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits, "component_id")
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.9 or more."""
+    found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLES: dict[str, str] = {
