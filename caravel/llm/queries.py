@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm import bpe, language, simhash, vectors, warc
+from caravel.llm import bpe, decontaminate, language, licenses, lines, quality, simhash, vectors, warc
 from caravel.llm.frames import table
 
 
@@ -51,6 +51,30 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits, "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that each document loses to earlier ones, the documents it was aligned with, and a digest of what is left."""
+    found = lines.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "dedup.n_lines", "dedup.n_removed", "dedup.partners", F.sha2(F.coalesce("dedup.text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, word for word or with other numbers, names or units."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices found in the documents, with coverage and span."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document, learned from three of the four folds."""
+    learn = F.coalesce(remainder("doc_id", 4) != 2, F.lit(False))
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=learn)
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at a cosine of 0.9 or more."""
     found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
@@ -62,6 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op8_license_scan": op8_license_scan,
+    "op9_quality": op9_quality,
     "op10_embeddings": op10_embeddings,
 }
 
