@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm import bpe, decontaminate, language, licenses, lines, quality, simhash, vectors, warc
+from caravel.llm import bpe, decontaminate, language, licenses, lines, quality, simhash, suffixes, vectors, warc
 from caravel.llm.frames import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every whole document loses to 50-byte strings of earlier documents, and a digest of what is left."""
+    found = suffixes.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and of the bytes decoded from them, for every whole document."""
     return token_digests(table(spark, sf_dir, "documents"))
@@ -82,6 +90,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
