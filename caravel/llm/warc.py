@@ -35,6 +35,7 @@ from caravel.workspace import scratch_folder
 
 LEAST_REVISIT = 0
 BLOCK_LINES = 1000
+BLOCKS_PER_TASK = 16
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_DATE = "2024-01-01T00:00:00Z"  # a fixed value: pages carry no capture time
@@ -227,8 +228,10 @@ def read_archives(directory: DataFrame, folder: str, read_bytes: int = 4 << 20)
                         found, held = [], 0
                 yield _record_rows(found)
 
+    # A directory row is a few bytes that stand for a thousand records: a stated number of partitions is not merged by size.
     blocks = directory.select("file", "offset", "length")
-    return blocks.repartition(F.xxhash64("file", "offset")).mapInArrow(run, RECORDS)
+    tasks = max(directory.sparkSession.sparkContext.defaultParallelism, directory.count() // BLOCKS_PER_TASK)
+    return blocks.repartition(tasks, "file", "offset").mapInArrow(run, RECORDS)
 
 
 def lookup(directory: DataFrame, folder: str, urls: DataFrame, url: str = "url") -> DataFrame:
