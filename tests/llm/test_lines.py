@@ -1,0 +1,120 @@
+from __future__ import annotations
+
+import hashlib
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from caravel.llm import lines, queries
+from llm.conftest import words
+
+A, B, C, D, E = (f"{name} is a line of its own with enough words {name * 3}" for name in "ABCDE")
+
+
+def simple_patience(a, b):
+    """Patience diff as usually told: equal ends, then anchors that are unique on both sides, recursively."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in simple_patience(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return simple_patience(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    pairs = [(a.index(x), b.index(x)) for x in a if a.count(x) == 1 and b.count(x) == 1]
+    best = [1] * len(pairs)
+    for n in range(len(pairs)):
+        best[n] = 1 + max((best[m] for m in range(n) if pairs[m][1] < pairs[n][1]), default=0)
+    if not pairs:
+        return []
+    return max(best), pairs
+
+
+@given(st.lists(st.integers(0, 9), max_size=14), st.lists(st.integers(0, 9), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_patience(a, b):
+    blocks = lines.patience(a, b)
+    for i, j, n in blocks:
+        assert n > 0 and a[i : i + n] == b[j : j + n]
+    for (i, j, n), (k, m, _) in zip(blocks, blocks[1:]):
+        assert i + n <= k and j + n <= m and (i + n, j + n) != (k, m)
+    told = simple_patience(a, b)
+    if isinstance(told, tuple):  # no equal ends: the first step is the longest run of anchors
+        run = lines.anchors(a, b, 0, len(a), 0, len(b))
+        assert len(run) == told[0] and set(run) <= set(told[1]) and run == sorted(run) and sorted(j for _, j in run) == [j for _, j in run]
+    elif a == b:
+        assert blocks == ([(0, 0, len(a))] if a else [])
+
+
+def test_anchors_keep_order_and_gaps_are_aligned_again():
+    assert lines.patience([1, 2, 3, 4, 9, 9, 5], [0, 2, 3, 9, 9, 5, 7]) == [(1, 1, 2), (4, 3, 3)]
+    assert lines.patience([1, 2], [2, 1]) in ([(0, 1, 1)], [(1, 0, 1)])
+
+
+def brute(rows, least=lines.LEAST_CHARS):
+    """First holders by a plain dictionary; pairs aligned one after another."""
+    told = [(d, [x.strip(lines.BLANKS) for x in t.split("\n")]) for d, t in rows if d is not None and t is not None]
+    first = {}
+    for d, ls in told:
+        for x in filter(None, ls):
+            first[x] = min(d, first.get(x, d))
+    out = []
+    for d, t in rows:
+        gone, by = set(), set()
+        mine = [x.strip(lines.BLANKS) for x in (t or "").split("\n")]
+        if d is not None and t is not None:
+            for e in {first[x] for x in filter(None, mine)} - {d}:
+                for f, theirs in told:
+                    if f == e:
+                        for _, j, n in lines.patience(theirs, mine):
+                            if sum(map(len, mine[j : j + n])) >= least:
+                                gone |= set(range(j, j + n))
+                                by.add(e)
+        kept = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t
+        out.append((str(d), 0 if t is None else t.count("\n") + 1, len(gone), tuple(sorted(by)), kept))
+    return sorted(out, key=str)
+
+
+def found(frame):
+    rows = lines.deduplicate(frame).select("doc_id", "dedup.*").collect()
+    return sorted(((str(r["doc_id"]), r["n_lines"], r["n_removed"], tuple(sorted(r["partners"])), r["text"]) for r in rows), key=str)
+
+
+ROWS = [
+    (5, "\n".join([A, B, C])), (9, "\n".join([D, A, B, E])), (7, "\n".join([C, "", A])), (12, "\n".join([" " + E + "\t", D, "Les."])), (13, "Les."),
+    (2, "Les.\n\n\n"), (20, "\n".join([A, B, C])), (21, None), (22, ""), (23, "\n\n"), (24, words(300)), (25, words(300) + "\n" + words(20, 700)),
+    (None, "\n".join([A, B])), (9, "\n".join([A, "x"])), (30, "\n".join([A, "first", A, "second", A])), (31, "a\n" + A + "\r\nb"),
+]
+
+
+def test_equals_brute_force(docs_of):
+    assert found(docs_of(*ROWS, clashing=True)) == brute(ROWS)
+
+
+def test_blocks_go_from_the_later_document_only(docs_of):
+    got = {r[0]: r for r in found(docs_of(*ROWS[:3]))}
+    assert got["5"][2] == 0 and got["9"][4] == "\n".join([D, E]) and got["9"][3] == (5,)
+
+
+def test_a_line_that_all_share_makes_one_pair_each(docs_of):
+    rows = [(i, f"{A}\nown line number {i} that stays as it is") for i in range(300)]
+    told = lines.sequences(docs_of(*rows), "doc_id", "text")
+    assert lines.partners(told).count() == 299
+    assert found(docs_of(*rows)) == brute(rows)
+
+
+def test_rarest_shared_line_comes_first(docs_of):
+    rows = [(1, A), (2, B), (3, A), (4, A), (9, f"{A}\n{B}")]
+    (row,) = lines.repeated_lines(docs_of(*rows)).where("doc = 9").collect()
+    assert row["partners"] == [2, 1] and row["gone"] == [0, 1]
+
+
+def test_other_columns_stay_and_empty_tables_give_nothing(docs_of):
+    frame = docs_of(*ROWS, clashing=True)
+    out = lines.deduplicate(frame)
+    assert out.columns == [*frame.columns, "dedup"] and out.count() == len(ROWS)
+    assert found(docs_of((1, "x")).where("false")) == []
+
+
+def test_query_equals_brute_force(spark, small):
+    rows = [(r["doc_id"], r["text"]) for r in small("documents").collect()]
+    got = sorted(((str(r[0]), r[1], r[2], tuple(sorted(r[3])), r[4]) for r in queries.op6_line_dedup(spark, "/root/testdata/sf0.001").collect()), key=str)
+    assert got == sorted(((*r[:4], hashlib.sha256((r[4] or "").encode()).hexdigest()) for r in brute(rows)), key=str)

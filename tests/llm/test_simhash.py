@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import xxhash
+
+from caravel.llm import queries, simhash
+from caravel.llm.components import connected_components, roots
+from llm.conftest import words
+
+
+def print_of(text):
+    """Fingerprint by the definition, shingle by shingle and bit by bit."""
+    parts = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not parts:
+        return 0
+    shingles = [" ".join(parts[i : i + 3]) for i in range(max(1, len(parts) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def brute(rows):
+    prints = [print_of(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                label[top(i)] = top(j)
+    smallest = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            smallest[top(i)] = min(d, smallest.get(top(i), d))
+    return sorted((str(d), f"{p:016x}", smallest.get(top(i))) for i, ((d, _), p) in enumerate(zip(rows, prints)))
+
+
+def found(frame):
+    rows = simhash.near_duplicates(frame).collect()
+    return sorted((str(r["doc_id"]), f"{r['fingerprint'] & (1 << 64) - 1:016x}", r["component_id"]) for r in rows)
+
+
+def test_fingerprint_of_odd_texts():
+    for text in (None, "", " \t\n\x0b", "One", "one TWO", "a b c", "É É é x y", "a b c d e", words(500), "für " * 300, "x" * 10_000):
+        assert simhash.fingerprint(text) & (1 << 64) - 1 == print_of(text)
+
+
+def test_long_texts_are_tallied_in_parts(monkeypatch):
+    text = words(1000)
+    monkeypatch.setattr(simhash, "TALLY_CHUNK", 7)
+    assert simhash.fingerprint(text) & (1 << 64) - 1 == print_of(text)
+
+
+def test_equals_brute_force(docs_of):
+    base = words(400)
+    rows = [(7, base), (3, base.upper()), (5, base + " more"), (6, base.replace("w0 ", "w00 ")), (9, None), (8, ""), (10, " \n"), (1, "a b"), (2, "A  B"), (4, words(300, 5000)), (4, words(300, 5000)), (None, base)]
+    assert found(docs_of(*rows, clashing=True)) == brute(rows)
+
+
+def test_postings_link_exactly_the_pairs_within_the_bits():
+    random = np.random.default_rng(5)
+    mask = simhash.byte_masks(2)[3]
+    free = [i for i in range(64) if not mask >> i & 1]
+    for size in (2, 40, 600):  # the last is looked up pattern by pattern
+        members = np.array([sum(1 << free[b] for b in np.flatnonzero(random.random(16) < 0.3)) for _ in range(size)], np.uint64)
+        a, b = simhash.posting_links(members, mask, 2)
+        got = {(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b)}
+        values = sorted({int(m) for m in members})
+        assert got == {(x, y) for i, x in enumerate(values) for y in values[i + 1 :] if (x ^ y).bit_count() <= 2}
+
+
+def test_chains_of_links_become_one_component(spark):
+    prints = [0, 1, 3, 7, 15, 31, 1 << 63, (1 << 63) | (1 << 40)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame([(p,) for p in signed], "fingerprint bigint")
+    grouped = {r["node"]: r["root"] for r in connected_components(simhash.links(frame)).collect()}
+    # one bit from zero: the top bit alone also links to zero
+    assert len(set(grouped.values())) == 1 and len(grouped) == 8
+
+
+def test_components_of_long_chains_stars_and_nothing(spark):
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 500)] + [(5000, 4999), (5000, 5000)]
+    frame = spark.createDataFrame(edges + [(None, 4)], "a bigint, b bigint").repartition(5)
+    grouped = {r["node"]: r["root"] for r in connected_components(frame).collect()}
+    assert {grouped[i] for i in range(301)} == {0} and {grouped[1000 + i] for i in range(500)} == {1000}
+    assert grouped[5000] == grouped[4999] == 4999 and len(grouped) == 301 + 500 + 2
+    assert connected_components(frame.where("false")).collect() == []
+    nodes, low = roots(np.array([3, 9, 5]), np.array([5, 8, 1]))
+    assert dict(zip(nodes.tolist(), low.tolist())) == {1: 1, 3: 1, 5: 1, 8: 8, 9: 8}
+
+
+def test_empty_table(docs_of):
+    assert found(docs_of((1, "x")).where("false")) == []
+
+
+def test_query_equals_brute_force(spark, small):
+    rows = [(r["doc_id"], r["text"]) for r in small("documents").collect()]
+    got = sorted((str(r[0]), r[1], r[2]) for r in queries.op5_simhash(spark, "/root/testdata/sf0.001").collect())
+    assert got == brute(rows)
