@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# First instant that belongs to the second delivery, per table.
-SECOND_BATCH = {"orders": "2001-07-02", "order_items": "2001-07-02", "web_events": "2024-01-24"}
+# Rows of the second delivery: by key, so that days, customers and products have rows in both.
+SECOND_BATCH = {"orders": ("o_orderkey", 5, 2), "order_items": ("l_partkey", 4, 1), "web_events": ("event_id", 5, 3)}
 
 # Columns of the supplied tables that are used, so that no footer is read to find them out.
 SUPPLIED = {
@@ -59,16 +59,17 @@ def _with_blanks(text: Column, blanks: Column) -> Column:
     return F.concat(_either(blanks, " ", ""), text, _either(blanks, "  ", ""))
 
 
-def _batch(rows: DataFrame, moment: str, source: str, batch: str | None) -> DataFrame:
+def _batch(rows: DataFrame, source: str, batch: str | None) -> DataFrame:
     """The first ("j1") or second ("j2") delivery, or both."""
     if batch is None:
         return rows
-    start = F.lit(SECOND_BATCH[source]).cast("timestamp_ntz")
-    return rows.where(F.col(moment) >= start if batch == "j2" else F.col(moment) < start)
+    key, of, rest = SECOND_BATCH[source]
+    second = F.col(key) % of == rest
+    return rows.where(second if batch == "j2" else ~second)
 
 
 def raw_orders(spark: SparkSession, sf_dir: str, batch: str | None = None) -> DataFrame:
-    source = _batch(table(spark, sf_dir, "orders"), "o_orderdate", "orders", batch)
+    source = _batch(table(spark, sf_dir, "orders"), "orders", batch)
     key = F.col("o_orderkey")
     return source.select(
         F.when(key % 101 != 0, order_id(key, key % 4 == 0)).alias("order_id"),
@@ -80,7 +81,7 @@ def raw_orders(spark: SparkSession, sf_dir: str, batch: str | None = None) -> Da
 
 
 def raw_order_items(spark: SparkSession, sf_dir: str, batch: str | None = None) -> DataFrame:
-    source = _batch(table(spark, sf_dir, "lineitem"), "l_shipdate", "order_items", batch)
+    source = _batch(table(spark, sf_dir, "lineitem"), "order_items", batch)
     order, part = F.col("l_orderkey"), F.col("l_partkey")
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     return source.select(
@@ -148,7 +149,7 @@ def _event_id() -> Column:
 
 
 def _event_source(spark: SparkSession, sf_dir: str, batch: str | None) -> DataFrame:
-    source = _batch(table(spark, sf_dir, "events"), "ts", "web_events", batch)
+    source = _batch(table(spark, sf_dir, "events"), "web_events", batch)
     return source.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
@@ -193,36 +194,3 @@ def raw_web_events(spark: SparkSession, sf_dir: str, batch: str | None = None) -
     """Event documents as RAW holds them.  Here a missing field is a null one; the files have both."""
     fields = web_event_fields(spark, sf_dir, batch)
     return fields.select(F.to_variant_object(F.struct(*fields.columns)).alias("data"))
-
-
-def typed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGING products straight from the columns, without the trip through documents."""
-    fields = product_fields(spark, sf_dir)
-    return fields.select(
-        "product_id", "name", "category", "brand", "price",
-        F.col("attributes.color"),
-        F.col("attributes.warranty_months").cast("bigint").alias("warranty_months"),
-        F.col("attributes.weight_g").cast("bigint").alias("weight_g"),
-        F.coalesce(F.array_size("tags"), F.lit(0)).cast("bigint").alias("nb_tags"),
-    )
-
-
-def typed_web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGING web events straight from the columns, so that filters reach the Parquet scan."""
-    source = _event_source(spark, sf_dir, None)
-    anonymous = F.col("user_id") % 5 == 0
-    typed = source.select(
-        _event_id().alias("event_id"),
-        F.when(~anonymous, customer_id(F.col("user_id"))).alias("user_id"),
-        anonymous.alias("is_anonymous"),
-        _event_session().alias("session_id"),
-        F.lower("event_type").alias("event_type"),
-        _event_product().alias("product_id"),
-        F.col("ts").alias("event_ts"),
-        F.col("ts").cast("date").alias("event_date"),
-        _event_device().alias("device"),
-        F.when(F.col("k") % 4 != 0, F.lit("search")).otherwise(F.lit("direct")).alias("referrer"),
-        F.concat(F.lit("10.0.0."), F.col("k").cast("string")).alias("ip"),
-    )
-    return typed.where(F.col("event_id").isNotNull())
-

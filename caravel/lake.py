@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import date, datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +23,15 @@ def ago(n: int, unit: str) -> Column:
     return (F.current_timestamp() - F.expr(f"INTERVAL {int(n)} {unit}")).cast("timestamp_ntz")
 
 
+def error_text(error: BaseException) -> str:
+    """Class and whole message of an error, whatever its message does."""
+    try:
+        message = str(error)
+    except Exception:
+        message = ""
+    return f"{type(error).__name__}: {message}" if message else type(error).__name__
+
+
 @dataclass(frozen=True)
 class Lake:
     """RAW, STAGING and MARTS as Parquet folders below ``root``."""
@@ -62,8 +71,8 @@ class Lake:
         return self.spark.read.schema(ddl).parquet(path)
 
     def log(self, name: str) -> DataFrame:
-        """A log as one partition: one short row per load or run, so aggregates need no shuffle."""
-        return self.read_or_empty(self.log_path(name), schemas.ddl(schemas.LOGS[name])).coalesce(1)
+        """A log: one short row per load, run, batch or refresh."""
+        return self.read_or_empty(self.log_path(name), schemas.ddl(schemas.LOGS[name]))
 
     def append_log(self, name: str, **values: Any) -> None:
         """Add one row to a log; columns not given stay NULL."""
@@ -71,7 +80,28 @@ class Lake:
         one_row = self.spark.range(0, 1, 1, 1).select(*columns)
         one_row.write.mode("append").parquet(self.log_path(name))
 
-    def staged(self, table: str) -> DataFrame:
-        """A STAGING table without its load stamp and folder columns."""
-        columns = schemas.STAGING[table]
-        return self.read_or_empty(self.staging(table), schemas.ddl(columns)).select(*columns)
+    def current_load(self, table: str) -> str | None:
+        """Name of the folder that holds a reference table's rows; the log says which, so readers never see half a load."""
+        newest = self.log("batches").where(F.col("table_name") == table).agg(F.max("src_batch"))
+        return newest.first()[0]
+
+    def staged(self, table: str, first: date | None = None, last: date | None = None) -> DataFrame:
+        """A STAGING table without its load stamp and folder columns.
+
+        Orders and events lie in month folders: with a first or last day only the months of the period are
+        listed and read, and the rows are cut to the period.
+        """
+        columns, path = schemas.STAGING[table], self.staging(table)
+        if table in schemas.REFERENCE:
+            name = self.current_load(table)
+            path = f"{path}/_load={name}"
+        layout = schemas.BY_MONTH.get(table)
+        if layout is None:
+            return self.read_or_empty(path, schemas.ddl(columns)).select(*columns)
+        folder, day = layout
+        rows = self.read_or_empty(path, schemas.ddl(columns, {folder: "string"}))
+        if first is not None:
+            rows = rows.where((F.col(folder) >= f"{first:%Y-%m}") & (F.col(day) >= F.lit(first)))
+        if last is not None:
+            rows = rows.where((F.col(folder) <= f"{last:%Y-%m}") & (F.col(day) <= F.lit(last)))
+        return rows.select(*columns)

@@ -1,4 +1,4 @@
-"""Joins shaped so that repeated keys do not multiply work."""
+"""Joins shaped so that repeated keys do not multiply work and hot keys can be split."""
 
 from __future__ import annotations
 
@@ -6,23 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def split_join(rows: DataFrame, others: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi join whose skewed partitions AQE can split although ``others`` comes out of an aggregate.
+
+    An aggregate leaves its rows partitioned by the key, and a join on the key alone takes that over;
+    AQE splits only where both inputs were shuffled for the join. The hash as a second join column makes
+    them so, at the price of shuffling the aggregated side once more.
+    """
+    mark = F.xxhash64(key).alias("_mark")
+    return rows.select("*", mark).join(others.select("*", mark), ["_mark", key], how).drop("_mark")
+
+
 def with_copies(rows: DataFrame, key: str) -> DataFrame:
     """One row per key with its number of copies.
 
     Joining this instead of the rows keeps the join one-to-many: a key with many copies on both
-    sides would otherwise give every pair.  Multiply by ``copies`` to get the same sums.  The
-    grouping partitions by the join key, so a shuffled join afterwards needs no second exchange.
+    sides would otherwise give every pair.  Multiply by ``copies`` to get the same sums.
     """
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def without_match(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """Rows whose key the other frame lacks (a NULL key has no match)."""
-    return rows.join(others.select(key).distinct(), key, "left_anti")
+    return split_join(rows, others.select(key).distinct(), key, "left_anti")
 
 
 def keep_keys(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
-    return rows.join(others.select(key).distinct(), key, "left_semi")
+    return split_join(rows, others.select(key).distinct(), key, "left_semi")
 
 
 def first_keys(rows: DataFrame, key: str, n: int) -> DataFrame:

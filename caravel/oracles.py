@@ -38,7 +38,7 @@ FRAMES = {
                o_orderdate AS order_date,
                {_blanks('o_orderstatus', 'o_orderkey % 5 = 0')} AS status,
                CAST(o_totalprice AS DECIMAL(12,2)) AS total_amount,
-               o_orderdate >= TIMESTAMP '2001-07-02' AS second_batch
+               o_orderkey % 5 = 2 AS second_batch
         FROM orders""",
     "raw_items": f"""
         SELECT {_blanks("CASE WHEN l_orderkey % 89 = 0 THEN " + _id('Z', 'l_orderkey', 7) + " ELSE " + _id('O', 'l_orderkey', 7) + " END", 'l_orderkey % 4 = 0')} AS order_id,
@@ -46,7 +46,7 @@ FRAMES = {
                CAST(CASE WHEN l_partkey % 50 = 0 THEN 0 ELSE l_quantity END AS BIGINT) AS quantity,
                CAST(CASE WHEN l_partkey % 41 = 0 THEN -CAST(l_extendedprice AS DECIMAL(12,2))
                          ELSE CAST(l_extendedprice AS DECIMAL(12,2)) END AS DECIMAL(12,2)) AS unit_price,
-               l_shipdate >= TIMESTAMP '2001-07-02' AS second_batch
+               l_partkey % 4 = 1 AS second_batch
         FROM lineitem""",
     "raw_customers": f"""
         SELECT CASE WHEN c_custkey % 89 <> 0 THEN {_blanks(_id('C', 'c_custkey', 6), 'c_custkey % 4 = 0')} END AS customer_id,
@@ -76,7 +76,7 @@ FRAMES = {
                CASE k % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END AS device,
                CASE WHEN k % 4 <> 0 THEN 'search' END AS referrer,
                '10.0.0.' || CAST(k AS VARCHAR) AS ip,
-               ts >= TIMESTAMP '2024-01-24' AS second_batch
+               event_id % 5 = 3 AS second_batch
         FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)""",
     "stg_orders": """
         SELECT trim(order_id) AS order_id, trim(customer_id) AS customer_id, order_date AS order_ts,
@@ -304,6 +304,17 @@ def _run_history() -> str:
     return _with(["stg_orders", "stg_items", "stg_events"], " UNION ALL ".join(parts))
 
 
+def _audit_files() -> str:
+    parts = [
+        f"""SELECT '{name}' AS table_name, CASE WHEN second_batch THEN 'j2' ELSE 'j1' END || '/{name}.{kind}' AS source_file,
+                   CAST(count(*) AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS without_stamp FROM {source} GROUP BY second_batch"""
+        for name, source, kind in (("orders", "raw_orders", "csv"), ("order_items", "raw_items", "csv"), ("web_events", "raw_events", "json"))
+    ]
+    parts.append("SELECT 'customers', 'j1/customers.parquet', count(*), 0 FROM raw_customers")
+    parts.append("SELECT 'products', 'j1/products.json', count(*), 0 FROM raw_products")
+    return _with(["raw_orders", "raw_items", "raw_customers", "raw_products", "raw_events"], " UNION ALL ".join(parts))
+
+
 def _load_history() -> str:
     raw = [("orders", "raw_orders", "csv"), ("order_items", "raw_items", "csv"), ("web_events", "raw_events", "json")]
     parts = []
@@ -332,13 +343,13 @@ def _quality() -> str:
         ("products_without_id", "count(*) FILTER (product_id IS NULL)", "raw_products"),
         ("events_without_id", "count(*) FILTER (event_id IS NULL)", "raw_events"),
     ]
-    allowed = {"orders_without_id": 1000}
+    shares = {"orders_without_id": "0.02"}
     parts = []
     for name, expression, source in checks:
-        limit = allowed.get(name, 0)
+        limit = f"CAST(floor(n * {shares[name]}) AS BIGINT)" if name in shares else "CAST(0 AS BIGINT)"
         parts.append(
-            f"SELECT '{name}' AS check_name, observed, CAST({limit} AS BIGINT) AS allowed, observed <= {limit} AS passed "
-            f"FROM (SELECT CAST({expression} AS BIGINT) AS observed FROM {source})"
+            f"SELECT '{name}' AS check_name, observed, {limit} AS allowed, observed <= {limit} AS passed "
+            f"FROM (SELECT CAST({expression} AS BIGINT) AS observed, count(*) AS n FROM {source})"
         )
     return _with(["raw_orders", "raw_items", "raw_products", "raw_events"], " UNION ALL ".join(parts))
 
@@ -378,6 +389,18 @@ ORACLES: dict[str, str] = {
     "ingest_products": _ATTRIBUTES,
     "ingest_idempotent": _RAW_ORDERS,
     "load_history": _load_history(),
+    "landing_files": _with(
+        ["raw_orders", "raw_items", "raw_customers", "raw_products", "raw_events"],
+        " UNION ALL ".join(
+            f"SELECT 'j1' AS delivery, '{name}' AS table_name, '{kind}' AS kind, count(*) > 0 AS has_data FROM {source}"
+            for name, kind, source in (
+                ("orders", "csv", "raw_orders"), ("order_items", "csv", "raw_items"), ("customers", "parquet", "raw_customers"),
+                ("products", "json", "raw_products"), ("web_events", "json", "raw_events"),
+            )
+        ),
+    ),
+    "reload_after_replace": _RAW_ORDERS,
+    "audit_files": _audit_files(),
     "events_in_place": _with(["raw_events"], f"SELECT {RAW_EVENT_COLUMNS} FROM raw_events"),
     "event_type_counts": _TYPE_COUNTS,
     "events_external": _TYPE_COUNTS,
@@ -488,6 +511,10 @@ ORACLES: dict[str, str] = {
             FROM retention WHERE months_since_signup BETWEEN 0 AND 12 GROUP BY cohort_month""",
     ),
     "latest_orders": _latest("o.order_date IS NOT NULL"),
+    "latest_orders_display": f"""
+        SELECT order_id AS "Commande", strftime(order_ts, '%d/%m/%Y %H:%M') AS "Date/heure", customer_id AS "ID client", client AS "Client",
+               status AS "Statut", CAST(total_amount AS VARCHAR) || ' €' AS "Montant"
+        FROM ({_latest("o.order_date IS NOT NULL")})""",
     # change feeds
     "inc_orders": _STG_ORDERS,
     "inc_order_items": _STG_ITEMS,
@@ -513,13 +540,16 @@ ORACLES: dict[str, str] = {
     "refresh_marts": _with(["best_sellers"], "SELECT * FROM best_sellers"),
     "refresh_cohorts": _with(["retention"], "SELECT * FROM retention"),
     "refresh_history": """
-        SELECT mart, unnest(CASE WHEN mart = 'daily_revenue' THEN ['FULL', 'INCREMENTAL', 'NO_DATA']
-                                 ELSE ['FULL', 'FULL', 'NO_DATA'] END) AS action, 'SUCCEEDED' AS state
-        FROM (VALUES ('daily_revenue'), ('top_products'), ('customer_cohorts')) AS m(mart)""",
+        WITH arrived AS (SELECT count(*) FILTER (o_orderkey % 5 <> 2) > 0 AS first, count(*) FILTER (o_orderkey % 5 = 2) > 0 AS second FROM orders)
+        SELECT mart, unnest([CASE WHEN first THEN 'FULL' ELSE 'NO_DATA' END,
+                             CASE WHEN NOT second THEN 'NO_DATA' WHEN mart = 'daily_revenue' THEN 'INCREMENTAL' ELSE 'FULL' END,
+                             'NO_DATA']) AS action, 'SUCCEEDED' AS state
+        FROM (VALUES ('daily_revenue'), ('top_products'), ('customer_cohorts')) AS m(mart), arrived""",
     # recovery
     "delete_first_n": _SURVIVORS,
     "as_of_before_delete": _RAW_ORDERS,
     "as_of_offset": _RAW_ORDERS,
+    "as_of_seconds_ago": _RAW_ORDERS,
     "restore_missing": _with(
         ["raw_orders", "first_ids"],
         f"SELECT DISTINCT {RAW_ORDER_COLUMNS} FROM raw_orders WHERE order_id IN (SELECT order_id FROM first_ids)",

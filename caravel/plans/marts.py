@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caravel.functions.calendar import midnight, month_start, months_apart
 from caravel.functions.money import percent_of, rounded_money, safe_ratio
-from caravel.operators.joins import with_copies
+from caravel.operators.joins import split_join, with_copies
 from caravel.operators.ranking import largest, rank_at_most
 from caravel.plans.staging import with_product
 
@@ -36,7 +36,7 @@ def sales_by(items: DataFrame, orders: DataFrame, keys: list[str]) -> DataFrame:
     Lines are added up per key and number of order copies, which is nearly always one, and
     multiplied afterwards: no wide-decimal product per line.
     """
-    lines = items.join(with_copies(orders, "order_id"), "order_id")
+    lines = split_join(items, with_copies(orders, "order_id"), "order_id")
     alike = lines.groupBy(*keys, "copies").agg(F.sum("quantity").alias("_units"), F.sum("line_amount").alias("_sum"))
     units, revenue = F.sum(F.col("_units") * F.col("copies")), F.sum(F.col("_sum") * F.col("copies"))
     return alike.groupBy(*keys).agg(units.alias("units_sold"), revenue.alias("revenue"))

@@ -11,15 +11,18 @@ from caravel.functions import documents as doc
 from caravel.operators.joins import without_match
 
 
-def _as_rows(one_row: DataFrame, allowed: dict[str, int]) -> DataFrame:
-    """Turn the columns of a one-row aggregate into check rows."""
+def _as_rows(one_row: DataFrame, shares: dict[str, str]) -> DataFrame:
+    """Turn the columns of a one-row aggregate (but for ``_rows``) into check rows."""
     checks = [
         F.struct(
             F.lit(name).alias("check_name"),
             F.col(name).cast("bigint").alias("observed"),
-            F.lit(allowed.get(name, 0)).cast("bigint").alias("allowed"),
+            (F.floor(F.col("_rows") * F.lit(shares[name]).cast("decimal(18,9)")) if name in shares else F.lit(0))
+            .cast("bigint")
+            .alias("allowed"),
         )
         for name in one_row.columns
+        if name != "_rows"
     ]
     rows = one_row.select(F.inline(F.array(*checks)))
     return rows.withColumn("passed", F.col("observed") <= F.col("allowed"))
@@ -35,33 +38,37 @@ def quality_report(
     items: DataFrame,
     products: DataFrame,
     events: DataFrame,
-    allowed: dict[str, int] | None = None,
+    shares: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Checks on the RAW tables: observed defects against the number allowed (0 unless given).
+    """Checks on the RAW tables: observed defects against the share of rows allowed (none unless given).
 
-    One aggregate per table answers all its checks, so each table is read once; only the orphan
-    check joins.
+    One aggregate per table answers all its checks but the orphan check, which joins lines and
+    orders and so reads these two once more.
     """
-    allowed = allowed or {}
+    shares = shares or {}
+    total = F.count(F.lit(1)).alias("_rows")
     on_orders = orders.agg(
         _extra_copies("order_id").alias("orders_repeated_id"),
         F.count_if(F.col("order_id").isNull()).alias("orders_without_id"),
         F.count_if(F.col("order_date").isNull()).alias("orders_without_date"),
+        total,
     )
     on_items = items.agg(
         F.count_if(~F.coalesce(F.col("quantity") > 0, F.lit(False))).alias("items_bad_quantity"),
         F.count_if(~F.coalesce(F.col("unit_price") >= 0, F.lit(False))).alias("items_bad_price"),
+        total,
     )
-    orphans = without_match(items, orders, "order_id").agg(F.count(F.lit(1)).alias("items_without_order"))
+    orphans = without_match(items, orders, "order_id").agg(F.count(F.lit(1)).alias("items_without_order"), total)
     ids = products.select(doc.text_at(F.col("data"), "product_id").alias("product_id"))
     on_products = ids.agg(
         _extra_copies("product_id").alias("products_repeated_id"),
         F.count_if(F.col("product_id").isNull()).alias("products_without_id"),
+        total,
     )
     event_ids = events.select(doc.text_at(F.col("data"), "event_id").alias("event_id"))
-    on_events = event_ids.agg(F.count_if(F.col("event_id").isNull()).alias("events_without_id"))
+    on_events = event_ids.agg(F.count_if(F.col("event_id").isNull()).alias("events_without_id"), total)
     parts = [on_orders, on_items, orphans, on_products, on_events]
-    return reduce(DataFrame.unionByName, [_as_rows(p, allowed) for p in parts])
+    return reduce(DataFrame.unionByName, [_as_rows(p, shares) for p in parts])
 
 
 def failures(report: DataFrame) -> DataFrame:

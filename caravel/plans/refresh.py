@@ -57,14 +57,13 @@ def _touched_days(lake: Lake, after: str) -> DataFrame:
 def orders_of_touched_days(lake: Lake, after: str) -> DataFrame:
     """All orders of the days that got new ones.
 
-    The month is a folder column, so the join prunes folders at run time; the day bounds let the
-    scan skip row groups, as the files are sorted by day.
+    The touched months, of which there are no more than the calendar has, are fetched and name the
+    folders to read, so that pruning does not hang on a broadcast; the days are then met by a join.
     """
     touched = _touched_days(lake, after)
-    first, last = touched.agg(F.min("_day")).scalar(), touched.agg(F.max("_day")).scalar()
-    orders = _staged_orders(lake).where(F.col("order_date").isNull() | F.col("order_date").between(first, last))
-    same_day = (F.col(MONTH) == F.col("_month")) & F.col("order_date").eqNullSafe(F.col("_day"))
-    return orders.join(touched, same_day, "left_semi")
+    months = [row[0] for row in touched.select("_month").distinct().collect()]
+    orders = _staged_orders(lake).where(F.col(MONTH).isin(months))
+    return orders.join(touched.select("_day").distinct(), F.col("order_date").eqNullSafe(F.col("_day")), "left_semi")
 
 
 def _daily_updated(lake: Lake, number: int, after: str) -> DataFrame:

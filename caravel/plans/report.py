@@ -197,6 +197,19 @@ def latest_orders(orders: DataFrame, customers: DataFrame, filters: ReportFilter
     return largest(shown, n, *order, F.col("client").asc_nulls_last())
 
 
+def display_orders(latest: DataFrame) -> DataFrame:
+    """Latest orders with the column names and texts that the dashboard shows; amounts in cents, rounded half up as stored."""
+    cents = F.translate(F.format_number(F.col("total_amount"), 2), ",", "")
+    return latest.select(
+        F.col("order_id").alias("Commande"),
+        F.date_format("order_ts", "dd/MM/yyyy HH:mm").alias("Date/heure"),
+        F.col("customer_id").alias("ID client"),
+        F.col("client").alias("Client"),
+        F.col("status").alias("Statut"),
+        F.concat(cents, F.lit(" €")).alias("Montant"),
+    )
+
+
 def money_text(amount: Column) -> Column:
     """Whole euros for display, a dash when there is no amount."""
     grouped = F.translate(F.format_number(F.round(amount, 0).cast("decimal(38,0)"), 0), ",", " ")

@@ -6,9 +6,10 @@ whole tables, and return what the operation left there.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import date
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ class Shop:
 
     @cached_property
     def products(self) -> DataFrame:
-        return self._frame(fx.typed_products)
+        return staging.products(self.raw_products)
 
     @cached_property
     def items(self) -> DataFrame:
@@ -88,7 +89,7 @@ class Shop:
 
     @cached_property
     def events(self) -> DataFrame:
-        return self._frame(fx.typed_web_events)
+        return staging.web_events(self.raw_events)
 
     @cached_property
     def cohorts(self) -> DataFrame:
@@ -157,7 +158,7 @@ def csv_validate(shop: Shop) -> DataFrame:
         F.when(bad_amount, F.lit("n/a")).otherwise(F.col("total_amount").cast("string")).alias("total_amount"),
     )
     path = lake.landing(landing.put_csv(lake, spoilt, "j1/orders.csv"))
-    return formats.csv_faults(formats.read_csv_text(shop.spark, path, "orders"), "orders")
+    return formats.csv_faults(formats.read_csv_text(shop.spark, path, "orders", keep_broken=True), "orders")
 
 
 def json_scan(shop: Shop) -> DataFrame:
@@ -189,18 +190,46 @@ def ingest_idempotent(shop: Shop) -> DataFrame:
     return versions.as_of(lake, "orders")
 
 
+def reload_after_replace(shop: Shop) -> DataFrame:
+    """A file is loaded, its table replaced, and the same file loaded again."""
+    lake = shop.lake("reload")
+    name = _land(shop, lake, "orders")
+    loads.load(lake, "orders", name)
+    feeds.replace_table(lake, "orders")
+    loads.load(lake, "orders", name)
+    return versions.as_of(lake, "orders")
+
+
+def audit_files(shop: Shop) -> DataFrame:
+    """Rows of each RAW table by the file they came from."""
+    lake = shop.lake("audit")
+    for batch in ("j1", "j2"):
+        _deliver(shop, lake, batch)
+    counts = [
+        versions.as_of(lake, table, audit=True).groupBy(F.lit(table).alias("table_name"), "_source_file")
+        .agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("_loaded_at").isNull()).alias("without_stamp"))
+        for table in FILE_KINDS
+    ]
+    return reduce(DataFrame.unionByName, counts).withColumnRenamed("_source_file", "source_file")
+
+
 def load_history(shop: Shop) -> DataFrame:
     lake = shop.lake("load-history")
     _deliver(shop, lake, "j1")
     _deliver(shop, lake, "j2")
-    return loads.history(lake, hours=2).drop("committed_at")
+    return loads.history(lake, since=lake.log("commits").agg(F.min("committed_at")).first()[0]).drop("committed_at")
 
 
 def landing_files(shop: Shop) -> DataFrame:
     lake = shop.lake("landing-files")
     for table in FILE_KINDS:
         _land(shop, lake, table)
-    return landing.list_files(lake, "j1").select("path", "bytes")
+    found = landing.list_files(lake, "j1").where(~F.col("path").rlike("/[_.][^/]*$"))
+    parts = F.split("path", "/")
+    name = F.split(F.element_at(parts, 2), r"\.")
+    return found.groupBy(
+        F.element_at(parts, 1).alias("delivery"), F.element_at(name, 1).alias("table_name"), F.element_at(name, 2).alias("kind")
+    ).agg((F.sum("bytes") > 0).alias("has_data"))
 
 
 def _events_file(shop: Shop, label: str) -> DataFrame:
@@ -329,7 +358,8 @@ def run_loads(shop: Shop) -> DataFrame:
 def run_history(shop: Shop) -> DataFrame:
     lake = _two_runs(shop, "run-history")
     runs.run_loads(lake)
-    return runs.history(lake).select("run_id", "job", "state", "row_count")
+    first = lake.log("runs").agg(F.min("scheduled_time")).first()[0]
+    return runs.history(lake, rows=None, since=first).select("run_id", "job", "state", "row_count")
 
 
 # --- versions and recovery -----------------------------------------------------------------------
@@ -360,6 +390,18 @@ def as_of_offset(shop: Shop) -> DataFrame:
     return versions.as_of(lake, "orders", versions.version_at(lake, "orders", first_commit))
 
 
+def as_of_seconds_ago(shop: Shop) -> DataFrame:
+    """The table a number of seconds back: after its first write and before the delete that followed."""
+    lake = shop.lake("seconds-ago")
+    _append_batch(shop, lake, "orders", None)
+    time.sleep(3)  # the two commits must lie whole seconds apart
+    gone = first_keys(versions.as_of(lake, "orders"), "order_id", REMOVED_ROWS)
+    removal = versions.remove(lake, "orders", gone)
+    deleted = versions.commits(lake, "orders").where(F.col("version") == removal).first()["committed_at"]
+    seconds = int((lake.clock() - deleted).total_seconds()) + 2
+    return versions.as_of(lake, "orders", versions.seconds_ago(lake, "orders", seconds))
+
+
 def restore_missing(shop: Shop) -> DataFrame:
     lake, removal = _with_first_rows_removed(shop, "restore")
     versions.restore(lake, "orders", removal - 1)
@@ -451,6 +493,8 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "ingest_products": ingest_products,
     "ingest_idempotent": ingest_idempotent,
     "load_history": load_history,
+    "reload_after_replace": reload_after_replace,
+    "audit_files": audit_files,
     "landing_files": landing_files,
     "events_in_place": lambda s: catalogue.events_in_place(_events_file(s, "events-in-place")),
     "event_type_counts": lambda s: catalogue.event_type_counts(_events_file(s, "event-types")),
@@ -484,7 +528,7 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
         F.count(F.lit(1)).alias("orphan_items")
     ),
     "quality_report": lambda s: quality.quality_report(
-        s.raw_orders, s.raw_items, s.raw_products, s.raw_events, {"orders_without_id": 1000}
+        s.raw_orders, s.raw_items, s.raw_products, s.raw_events, {"orders_without_id": "0.02"}
     ),
     # marts
     "dt_daily_revenue": lambda s: marts.daily_revenue(s.orders),
@@ -515,6 +559,7 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "events_by_device": lambda s: report.events_by_device(s.events, EVERYTHING),
     "events_by_device_filtered": lambda s: report.events_by_device(s.events, CHOSEN_EVENTS),
     "cohort_heatmap": lambda s: report.cohort_heatmap(s.cohorts),
+    "latest_orders_display": lambda s: report.display_orders(report.latest_orders(s.orders, s.customers, EVERYTHING)),
     "latest_orders": lambda s: report.latest_orders(s.orders, s.customers, EVERYTHING),
     # change feeds
     "inc_orders": _incremental("orders"),
@@ -536,6 +581,7 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "delete_first_n": delete_first_n,
     "as_of_before_delete": as_of_before_delete,
     "as_of_offset": as_of_offset,
+    "as_of_seconds_ago": as_of_seconds_ago,
     "restore_missing": restore_missing,
     "recovery_counts": recovery_counts,
     "snapshot_copy": snapshot_copy,

@@ -87,6 +87,12 @@ STAGING = {
     },
 }
 
+# STAGING tables that each load replaces as a whole.
+REFERENCE = ("products", "customers")
+
+# STAGING tables laid out by month: the folder column and the day it follows from.
+BY_MONTH = {"orders": ("order_month", "order_date"), "web_events": ("event_month", "event_date")}
+
 STAMP = {"stg_loaded_at": "timestamp_ntz"}
 
 LOGS = {
@@ -104,8 +110,15 @@ LOGS = {
     },
     # one row per (re)start of a change feed
     "feeds": {"feed": "string", "generation": "int", "start_version": "int", "created_at": "timestamp_ntz"},
-    # one row per micro-batch written to STAGING
-    "batches": {"table_name": "string", "src_batch": "string", "row_count": "bigint", "written_at": "timestamp_ntz"},
+    # one row per micro-batch of a feed (without src_batch when its commits brought no new rows) and per load of a reference table
+    "batches": {
+        "table_name": "string",
+        "src_batch": "string",
+        "row_count": "bigint",
+        "written_at": "timestamp_ntz",
+        "generation": "int",
+        "through_version": "int",
+    },
     # one row per job of an ordered run
     "runs": {
         "run_id": "int",

@@ -21,15 +21,38 @@ CSV_FORMAT = {
 }
 
 
-def read_csv_text(spark: SparkSession, path: str, table: str) -> DataFrame:
+# A line that is part of a record with a line break inside quotes; only in a frame that is to be validated.
+BROKEN = "_broken_line"
+
+
+# The longest string of a JVM.
+MOST_STRING_BYTES = (1 << 31) - 16
+
+
+def read_csv_text(
+    spark: SparkSession, path: str, table: str, multi_line: bool = False, keep_broken: bool = False
+) -> DataFrame:
     """All columns of a delimited file as text, by position, null tokens turned into NULL.
 
     A short row gets NULL for what it lacks and the extra fields of a long row are dropped.
     Reading text first keeps a value that does not fit its type visible instead of losing it.
+
+    A line break inside quotes leaves lines with an odd number of quotes, the last of them too short. They
+    stop the job; ``keep_broken`` shows them in a column of their own instead, and ``multi_line`` reads
+    such records whole, at the price of one task per file.
     """
     columns = schemas.names(schemas.RAW[table])
-    text = spark.read.options(**CSV_FORMAT).schema(schemas.ddl(dict.fromkeys(columns, "string"))).csv(path)
-    return text.select(*[blank_to_null(F.col(c)).alias(c) for c in columns])
+    # Only a line that is parsed whole can be found broken.
+    options = CSV_FORMAT | {"columnNameOfCorruptRecord": BROKEN, "columnPruning": "false", "multiLine": str(multi_line).lower()}
+    text = spark.read.options(**options).schema(schemas.ddl(dict.fromkeys([*columns, BROKEN], "string"))).csv(path)
+    odd = F.length(F.col(BROKEN)) - F.length(F.replace(F.col(BROKEN), F.lit('"'), F.lit("")))
+    line = F.when(odd % 2 == 1, F.col(BROKEN)) if not multi_line else F.lit(None).cast("string")
+    fields = [blank_to_null(F.col(c)).alias(c) for c in columns]
+    if keep_broken:
+        return text.select(*fields, line.alias(BROKEN))
+    stop = F.raise_error(F.concat(F.lit("line break inside quotes, read with multi_line: "), line)).cast("string")
+    first = F.when(line.isNotNull(), stop).otherwise(blank_to_null(F.col(columns[0]))).alias(columns[0])
+    return text.select(first, *fields[1:])
 
 
 def typed_csv(text: DataFrame, table: str) -> DataFrame:
@@ -51,9 +74,11 @@ def csv_faults(text: DataFrame, table: str) -> DataFrame:
     """Dry run of a delimited load: one row per value that would stop it, nothing is written."""
     kinds = schemas.RAW[table]
     key = next(iter(kinds))
-    faults = F.filter(
-        F.array(*[_cast_fault(c, k) for c, k in kinds.items() if k != "string"]), lambda f: f.isNotNull()
-    )
+    found = [_cast_fault(c, k) for c, k in kinds.items() if k != "string"]
+    if BROKEN in text.columns:
+        cut = F.struct(F.lit(None).cast("string").alias("column_name"), F.col(BROKEN).alias("value"), F.lit("line break inside quotes").alias("error"))
+        found.append(F.when(F.col(BROKEN).isNotNull(), cut))
+    faults = F.filter(F.array(*found), lambda f: f.isNotNull())
     return text.select(F.col(key).alias("row_key"), F.inline(faults))
 
 
@@ -62,12 +87,22 @@ def read_json_lines(spark: SparkSession, path: str, **options: str) -> DataFrame
     return spark.read.options(singleVariantColumn="data", mode="FAILFAST", **options).json(path)
 
 
+def _refuse_large_files(spark: SparkSession, path: str) -> None:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = found.where(F.col("length") > MOST_STRING_BYTES).select("path", "length").first()
+    if large is not None:
+        raise ValueError(f"{large['path']} has {large['length']} bytes: a JSON array file of more than 2 GB must land as several files")
+
+
 def read_json_array(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Files that each hold one JSON array: one row per element, as VARIANT ``data``.
 
     Such a file cannot be split, so each is one task; a large catalogue lands as many files.
     Elements are separated while parsing the text, so only one element has to fit a VARIANT.
+    A file is one string while it is parsed: one above the most that a string can hold is refused
+    before its task starts.
     """
+    _refuse_large_files(spark, path)
     whole = spark.read.options(**options).text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "array<variant>", {"mode": "FAILFAST"})).alias("data"))
 

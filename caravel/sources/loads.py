@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ def _read_landed(lake: Lake, table: str, path: str) -> DataFrame:
     return formats.read_json_lines(spark, path)
 
 
-def history(lake: Lake, table: str | None = None, hours: int | None = None) -> DataFrame:
-    """Load history: file, outcome, rows, first error; optionally of one table or the last hours.
+def history(lake: Lake, table: str | None = None, hours: int | None = None, since: datetime | None = None) -> DataFrame:
+    """Load history: file, outcome, rows, first error; optionally of one table, the last hours or since a moment.
 
     A replaced table starts a new history.
     """
@@ -36,6 +38,8 @@ def history(lake: Lake, table: str | None = None, hours: int | None = None) -> D
     )
     if hours is not None:
         kept = kept.where(F.col("committed_at") >= ago(hours, "HOURS"))
+    if since is not None:
+        kept = kept.where(F.col("committed_at") >= F.lit(since).cast("timestamp_ntz"))
     return kept.select(
         "table_name", "file_name", "status", "row_count", "row_parsed", "first_error_message", "committed_at"
     )

@@ -4,7 +4,7 @@ Each write goes to its own ``_version=N/_change=K`` folder and is listed in the
 a delete writes the removed keys instead of touching rows.  A table at version ``v`` is then its
 rows up to ``v`` anti-joined with the keys removed after the row came and up to ``v``: an equi
 join with a residual, never a scan of old copies.  One writer per table; a write that failed
-before it was logged is overwritten by the next write, because it gets the same number.
+before it was logged is not read, and is overwritten by the next write, because that gets the same number.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from caravel import schemas
-from caravel.lake import Lake, ago, now
+from caravel.lake import Lake, ago, error_text, now
+from caravel.operators.joins import split_join
 
 INSERT, RESTORE, DELETE, RESET = "insert", "restore", "delete", "reset"
 
@@ -58,9 +59,8 @@ def append(lake: Lake, table: str, rows: DataFrame, source_file: str, change: st
     try:
         stamped.write.mode("overwrite").parquet(f"{lake.raw(table)}/_version={version}/_change={change}")
     except Exception as error:
-        reason = str(error).splitlines()[0][:500]
         lake.append_log(
-            "commits", **entry, status="LOAD_FAILED", committed_at=now(), row_count=0, first_error_message=reason
+            "commits", **entry, status="LOAD_FAILED", committed_at=now(), row_count=0, first_error_message=error_text(error)
         )
         raise
     n = counted.get["n"]
@@ -83,7 +83,7 @@ def remove(lake: Lake, table: str, keys: DataFrame) -> int:
 def replace_table(lake: Lake, table: str) -> int:
     """Empty the table and forget its load history, so that its files can be loaded again.
 
-    Feeds that read the table must be restarted (see ``streaming.feeds.restart``).
+    ``streaming.feeds.replace_table`` does this and starts the table's feed again.
     """
     version = current_version(lake, table) + 1
     nothing = lake.spark.createDataFrame([], schemas.ddl(schemas.RAW[table], schemas.AUDIT, schemas.VERSIONED))
@@ -94,15 +94,37 @@ def replace_table(lake: Lake, table: str) -> int:
     return version
 
 
-def recorded(lake: Lake, table: str) -> DataFrame:
-    """Every row ever written, with its version and kind of change."""
+def writes(lake: Lake, table: str, kinds: tuple[str, ...] = (INSERT, RESTORE), after: int = 0, through: int | None = None) -> list[tuple[int, str]]:
+    """Version and kind of the committed writes that added rows, since the table was last replaced.
+
+    One short entry per write.  A folder that no entry names is what a failed write left, and is not read.
+    """
+    found = commits(lake, table).select("version", "action").distinct().collect()
+    start = max([after, *(r["version"] for r in found if r["action"] == RESET)])
+    return sorted(
+        (r["version"], r["action"])
+        for r in found
+        if r["action"] in kinds and r["version"] > start and (through is None or r["version"] <= through)
+    )
+
+
+def rows_of(lake: Lake, table: str, chosen: list[tuple[int, str]]) -> DataFrame:
+    """Rows of the given writes with version and kind of change; only their folders are listed."""
     columns = schemas.ddl(schemas.RAW[table], schemas.AUDIT, schemas.VERSIONED)
-    return lake.read_or_empty(lake.raw(table), columns)
+    if not chosen:
+        return lake.spark.createDataFrame([], columns)
+    paths = [f"{lake.raw(table)}/_version={version}/_change={kind}" for version, kind in chosen]
+    return lake.spark.read.schema(columns).option("basePath", lake.raw(table)).parquet(*paths)
+
+
+def recorded(lake: Lake, table: str, through: int | None = None) -> DataFrame:
+    """Every committed row (up to a version), with its version and kind of change."""
+    return rows_of(lake, table, writes(lake, table, through=through))
 
 
-def changes(lake: Lake, table: str, kind: str = INSERT) -> DataFrame:
-    """Recorded rows of one kind of change; the folder filter prunes the others."""
-    return recorded(lake, table).where(F.col("_change") == kind)
+def changes(lake: Lake, table: str, kind: str = INSERT, after: int = 0) -> DataFrame:
+    """Committed rows of one kind of change."""
+    return rows_of(lake, table, writes(lake, table, (kind,), after))
 
 
 def removals(lake: Lake, table: str) -> DataFrame:
@@ -119,7 +141,7 @@ def _surviving(rows: DataFrame, gone: DataFrame, key: str, version: int) -> Data
 def as_of(lake: Lake, table: str, version: int | None = None, audit: bool = False) -> DataFrame:
     """The table as it was right after ``version`` (default: now)."""
     version = current_version(lake, table) if version is None else version
-    rows = recorded(lake, table).where(F.col("_version") <= version)
+    rows = recorded(lake, table, version)
     if table in KEYS:
         rows = _surviving(rows, removals(lake, table), KEYS[table], version)
     columns = schemas.names(schemas.RAW[table]) + (schemas.names(schemas.AUDIT) if audit else [])
@@ -142,8 +164,8 @@ def lost_rows(lake: Lake, table: str, past: int, bag: bool = False, audit: bool
     key = KEYS[table]
     touched = removals(lake, table).where((F.col("_gone_version") > past) & (F.col("_gone_version") <= now))
     touched = touched.select(F.col("_gone_key").alias(key)).distinct()
-    then_rows = as_of(lake, table, past, audit).join(touched, key, "left_semi")
-    now_rows = as_of(lake, table, now, audit).join(touched, key, "left_semi")
+    then_rows = split_join(as_of(lake, table, past, audit), touched, key, "left_semi")
+    now_rows = split_join(as_of(lake, table, now, audit), touched, key, "left_semi")
     return then_rows.exceptAll(now_rows) if bag else then_rows.subtract(now_rows)
 
 

@@ -1,9 +1,10 @@
 """Change feeds: new RAW rows flow into STAGING exactly once.
 
-A feed is a file stream over a RAW table's version folders; its checkpoint is its position.  Each
-micro-batch goes through the same STAGING transform as a batch load and is written to a folder
-named after the feed's generation and the batch number, so a batch that is retried after a failure
-replaces its own output instead of adding to it.
+A feed is a file stream over the log of commits; its checkpoint is its position.  Each micro-batch reads
+the RAW folders that its commits name, so rows of a write that was never committed are not seen, and
+no old folder is listed.  Rows go through the same STAGING transform as a batch load and are written to a
+folder named after the feed's generation and the batch number, so a batch that is retried after a
+failure replaces its own output instead of adding to it.  Every batch logs the version it reached.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from caravel.functions.calendar import month_label
 from caravel.lake import Lake, now
 from caravel.plans import staging
 from caravel.sources import versions
+from caravel.workspace import path_exists
 
 FEEDS = ("orders", "order_items", "web_events")
 
-# STAGING orders are laid out by month; this is the folder of orders without a date.
+# STAGING orders and events are laid out by month; this is the folder of rows without a date.
 NO_MONTH = "none"
 
 
@@ -59,8 +61,8 @@ def position(lake: Lake, feed: str) -> Position:
     started = lake.log("feeds").where(F.col("feed") == feed)
     begin = started.agg(F.max(F.struct("generation", "start_version"))).first()[0]
     number, start = tuple(begin) if begin else (0, 0)
-    runs = lake.log("runs").where((F.col("job") == feed) & (F.col("state") == "SUCCEEDED"))
-    taken = runs.where(F.col("generation") == number).agg(F.max("through_version")).first()[0]
+    batches = lake.log("batches").where((F.col("table_name") == feed) & (F.col("generation") == number))
+    taken = batches.agg(F.max("through_version")).first()[0]
     adds = F.col("action").isin(versions.INSERT, versions.RESTORE)
     newest = versions.commits(lake, feed).agg(F.max("version"), F.max(F.when(adds, F.col("version")))).first()
     return Position(number, start, start if taken is None else taken, newest[0] or 0, newest[1] or 0)
@@ -75,9 +77,17 @@ def restart(lake: Lake, feed: str) -> int:
     return at.generation + 1
 
 
+def replace_table(lake: Lake, table: str) -> int:
+    """Empty a RAW table and start its feed again: what is loaded afterwards is new to the feed."""
+    version = versions.replace_table(lake, table)
+    if table in FEEDS:
+        restart(lake, table)
+    return version
+
+
 def pending(lake: Lake, feed: str, kind: str = versions.INSERT) -> DataFrame:
     """Rows the next run would take in."""
-    return versions.changes(lake, feed, kind).where(F.col("_version") > position(lake, feed).consumed)
+    return versions.changes(lake, feed, kind, after=position(lake, feed).consumed)
 
 
 def pending_changes(lake: Lake) -> DataFrame:
@@ -90,31 +100,32 @@ def pending_changes(lake: Lake) -> DataFrame:
     return together.withColumn("has_data", F.col("nb_changes") > 0)
 
 
-def _new_rows(lake: Lake, feed: str, after: int, max_files: int | None) -> DataFrame:
-    """The stream of inserted rows, business columns only.  Both filters are on folder columns and
-    prune files; columns are cut here because a micro-batch cannot push that back into the scan."""
-    columns = schemas.ddl(schemas.RAW[feed], schemas.AUDIT, schemas.VERSIONED)
-    reader = lake.spark.readStream.schema(columns)
+def _new_commits(lake: Lake, feed: str, after: int, max_files: int | None) -> DataFrame:
+    """The stream of commits to the feed's RAW table."""
+    path = lake.log_path("commits")
+    if not path_exists(lake.spark, path):
+        lake.spark.createDataFrame([], schemas.ddl(schemas.LOGS["commits"])).write.mode("append").parquet(path)
+    reader = lake.spark.readStream.schema(schemas.ddl(schemas.LOGS["commits"]))
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.parquet(lake.raw(feed))
-    wanted = (F.col("_change") == versions.INSERT) & (F.col("_version") > after)
-    return stream.where(wanted).select(*schemas.RAW[feed])
+    mine = (F.col("table_name") == feed) & (F.col("status") == "LOADED") & (F.col("version") > after)
+    return reader.parquet(path).where(mine).select("version", "action")
 
 
 def write_batch(feed: str, staged: DataFrame, path: str) -> int:
     """Write one batch over whatever an earlier try left, and return its number of rows.
 
-    Orders are written by month and sorted by day, so that readers of a few days skip the rest;
-    rebalancing sizes the files and splits a heavy month.
+    Orders and events are written by month and sorted by day, so that readers of a few days skip the
+    rest; rebalancing sizes the files and splits a heavy month.
     """
     counted = Observation()
     n = F.count(F.lit(1)).alias("n")
-    if feed == "orders":
-        month = F.coalesce(month_label(F.col("order_date")), F.lit(NO_MONTH))
-        by_month = staged.withColumn("order_month", month).hint("rebalance", "order_month")
-        by_month = by_month.sortWithinPartitions("order_month", "order_date").observe(counted, n)
-        by_month.write.mode("overwrite").partitionBy("order_month").parquet(path)
+    if feed in schemas.BY_MONTH:
+        folder, day = schemas.BY_MONTH[feed]
+        month = F.coalesce(month_label(F.col(day)), F.lit(NO_MONTH))
+        by_month = staged.withColumn(folder, month).hint("rebalance", folder)
+        by_month = by_month.sortWithinPartitions(folder, day).observe(counted, n)
+        by_month.write.mode("overwrite").partitionBy(folder).parquet(path)
     else:
         staged.observe(counted, n).write.mode("overwrite").parquet(path)
     return counted.get["n"]
@@ -134,22 +145,34 @@ def batch_name(number: int, epoch: int) -> str:
     return f"g{number:04d}b{epoch:08d}"
 
 
-def _batch_writer(lake: Lake, feed: str, number: int, staged_rows: list[int]) -> Callable[[DataFrame, int], None]:
-    def write(rows: DataFrame, epoch: int) -> None:
-        here = Lake(rows.sparkSession, lake.root)
-        name = batch_name(number, epoch)
-        staged = staging.stamped(transform(here, feed, rows))
-        n = write_batch(feed, staged, f"{lake.staging(feed)}/_src_batch={name}")
-        lake.append_log("batches", table_name=feed, src_batch=name, row_count=n, written_at=now())
-        staged_rows.append(n)
+def _batch_writer(lake: Lake, feed: str, number: int, done: list[tuple[int, int, bool]]) -> Callable[[DataFrame, int], None]:
+    """Writes a micro-batch of commits; ``done`` gets the rows staged, the version reached and whether a folder was written."""
+
+    def write(commits: DataFrame, epoch: int) -> None:
+        here = Lake(commits.sparkSession, lake.root)
+        found = {(r["version"], r["action"]) for r in commits.collect()}  # one short entry per write
+        if not found:
+            return
+        emptied = max((version for version, action in found if action == versions.RESET), default=0)
+        chosen = sorted((v, a) for v, a in found if a == versions.INSERT and v > emptied)
+        n, name = 0, None
+        if chosen:
+            name = batch_name(number, epoch)
+            rows = versions.rows_of(here, feed, chosen).select(*schemas.RAW[feed])
+            n = write_batch(feed, staging.stamped(transform(here, feed, rows)), f"{lake.staging(feed)}/_src_batch={name}")
+        reached = max(version for version, _ in found)
+        lake.append_log(
+            "batches", table_name=feed, src_batch=name, row_count=n, written_at=now(), generation=number, through_version=reached
+        )
+        done.append((n, reached, name is not None))
 
     return write
 
 
-def _start(lake: Lake, feed: str, at: Position, max_files: int | None, staged_rows: list[int], **trigger):
+def _start(lake: Lake, feed: str, at: Position, max_files: int | None, done: list[tuple[int, int, bool]], **trigger):
     return (
-        _new_rows(lake, feed, at.start_version, max_files)
-        .writeStream.foreachBatch(_batch_writer(lake, feed, at.generation, staged_rows))
+        _new_commits(lake, feed, at.start_version, max_files)
+        .writeStream.foreachBatch(_batch_writer(lake, feed, at.generation, done))
         .option("checkpointLocation", lake.checkpoint(feed, at.generation))
         .trigger(**trigger)
         .start()
@@ -159,18 +182,19 @@ def _start(lake: Lake, feed: str, at: Position, max_files: int | None, staged_ro
 def consume(
     lake: Lake, feed: str, run_id: int | None = None, at: Position | None = None, max_files: int | None = None
 ) -> FeedRun:
-    """Take in everything that waits, log the run, and stop.  Without new files no batch runs."""
+    """Take in everything that waits, log the run, and stop.  Without new commits no batch runs."""
     started = lake.clock()
     at = at or position(lake, feed)
-    staged_rows: list[int] = []
-    _start(lake, feed, at, max_files, staged_rows, availableNow=True).awaitTermination()
+    done: list[tuple[int, int, bool]] = []
+    _start(lake, feed, at, max_files, done, availableNow=True).awaitTermination()
+    staged, reached = sum(n for n, *_ in done), max([at.consumed, *(version for _, version, _ in done)])
     lake.append_log(
-        "runs", run_id=run_id, job=feed, state="SUCCEEDED", generation=at.generation, through_version=at.newest,
-        row_count=sum(staged_rows), scheduled_time=started, completed_time=now(),
+        "runs", run_id=run_id, job=feed, state="SUCCEEDED", generation=at.generation, through_version=reached,
+        row_count=staged, scheduled_time=started, completed_time=now(),
     )
-    return FeedRun(feed, at.generation, at.newest, sum(staged_rows), len(staged_rows))
+    return FeedRun(feed, at.generation, reached, staged, sum(wrote for *_, wrote in done))
 
 
 def follow(lake: Lake, feed: str, every: str = "5 minutes"):
-    """Keep taking in new rows on a timer; returns the running query."""
+    """Keep taking in new rows on a timer, every batch logged; returns the running query."""
     return _start(lake, feed, position(lake, feed), None, [], processingTime=every)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caravel.lake import Lake, ago, now
+from caravel.lake import Lake, ago, error_text, now
 from caravel.operators.profile import tagged_counts
 from caravel.plans import staging
 from caravel.sources import versions
@@ -17,18 +20,26 @@ AFTER = {"products": None, "orders": "products", "order_items": "orders", "web_e
 STAGED = ("customers", "products", "orders", "order_items", "web_events")
 
 
+def _refresh_reference(lake: Lake, table: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace a reference table as a whole: a new folder, to which readers move once it is logged.
+
+    A load that fails leaves the old one in place.  Rows of a version that is in already are not written again.
+    """
+    version = versions.current_version(lake, table)
+    name = f"v{version:08d}"
+    if lake.current_load(table) == name:
+        return
+    rows = staging.stamped(build(versions.as_of(lake, table, version)))
+    rows.write.mode("overwrite").parquet(f"{lake.staging(table)}/_load={name}")
+    lake.append_log("batches", table_name=table, src_batch=name, written_at=now(), through_version=version)
+
+
 def refresh_products(lake: Lake) -> None:
-    """Reference data is replaced as a whole."""
-    rows = staging.stamped(staging.products(versions.as_of(lake, "products")))
-    rows.write.mode("overwrite").parquet(lake.staging("products"))
+    _refresh_reference(lake, "products", staging.products)
 
 
 def refresh_customers(lake: Lake) -> None:
-    """Customers are a snapshot, loaded when a new one arrives."""
-    rows = staging.stamped(staging.customers(versions.as_of(lake, "customers")))
-    rows.write.mode("overwrite").parquet(lake.staging("customers"))
-    name = f"v{versions.current_version(lake, 'customers'):08d}"
-    lake.append_log("batches", table_name="customers", src_batch=name, written_at=now())
+    _refresh_reference(lake, "customers", staging.customers)
 
 
 def _load(lake: Lake, job: str, run_id: int, max_files: int | None) -> str | None:
@@ -63,7 +74,7 @@ def run_loads(lake: Lake, max_files: int | None = None) -> int:
                 state = _load(lake, job, run_id, max_files)
             except Exception as error:
                 errors.append(error)
-                state, message = "FAILED", str(error).splitlines()[0][:500]
+                state, message = "FAILED", error_text(error)
         if state in ("CANCELLED", "FAILED"):
             stopped.add(job)
         if state is not None:
@@ -76,10 +87,12 @@ def run_loads(lake: Lake, max_files: int | None = None) -> int:
     return run_id
 
 
-def history(lake: Lake, hours: int = 1, rows: int = 20) -> DataFrame:
-    """Newest jobs of the last hours."""
-    recent = lake.log("runs").where(F.col("scheduled_time") >= ago(hours, "HOURS"))
-    return recent.orderBy(F.col("scheduled_time").desc(), F.col("job")).limit(rows)
+def history(lake: Lake, hours: int = 1, rows: int | None = 20, since: datetime | None = None) -> DataFrame:
+    """Newest jobs of the last hours, or since a moment; all of them where ``rows`` is None."""
+    start = ago(hours, "HOURS") if since is None else F.lit(since).cast("timestamp_ntz")
+    recent = lake.log("runs").where(F.col("scheduled_time") >= start)
+    ordered = recent.orderBy(F.col("scheduled_time").desc(), F.col("job"))
+    return ordered if rows is None else ordered.limit(rows)
 
 
 def staged_counts(lake: Lake, phase: str, tables: tuple[str, ...] = feeds.FEEDS) -> DataFrame:

@@ -35,7 +35,7 @@ def cluster_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
     About 256 MB per reduce task keeps sorts and hash maps in memory; AQE merges what turns out
     smaller and splits what turns out larger, so the initial count errs on the high side.
     """
-    partitions = max(cores, min(100_000, -(-shuffle_bytes // (256 << 20))))
+    partitions = max(cores, -(-shuffle_bytes // (256 << 20)))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",

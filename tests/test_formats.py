@@ -164,3 +164,28 @@ def test_array_files_hold_a_bounded_number_of_documents(spark, lake):
     )
     assert max(r.n for r in sizes.collect()) <= 4
     assert formats.read_json_array(spark, lake.landing("j1/products.json")).count() == 25
+
+
+def test_a_line_break_inside_quotes_is_reported_never_loaded_wrong(lake, spark):
+    import os
+
+    for name, body in {"middle": 'O1,"C\n1",2026-01-01 00:00:00,new,1.00', "last": 'O1,C1,2026-01-01 00:00:00,new,"1\n.00"'}.items():
+        folder = lake.landing(f"j1/{name}.csv")
+        os.makedirs(folder.removeprefix("file:"))
+        with open(f"{folder.removeprefix('file:')}/part.csv", "w") as out:
+            out.write(f'order_id,customer_id,order_date,status,total_amount\nO0,"a ""quoted"" name",2026-01-01 00:00:00,new,2.00\n{body}\n')
+        text = formats.read_csv_text(spark, folder, "orders", keep_broken=True)
+        assert "line break inside quotes" in {r.error for r in formats.csv_faults(text, "orders").collect()}
+        with pytest.raises(Exception, match="line break inside quotes"):
+            formats.read_csv_text(spark, folder, "orders").collect()
+        whole = formats.read_csv_text(spark, folder, "orders", multi_line=True).collect()
+        assert [r.order_id for r in whole] == ["O0", "O1"] and "\n" in (whole[1].customer_id + whole[1].total_amount)
+
+
+def test_a_json_array_file_that_is_too_large_is_refused(lake, spark, monkeypatch):
+    landing.put_json_arrays(lake, spark.sql("""SELECT '{"product_id":"P1"}' AS value"""), "j1/products.json")
+    path = lake.landing("j1/products.json")
+    assert formats.read_json_array(spark, path).count() == 1
+    monkeypatch.setattr(formats, "MOST_STRING_BYTES", 5)
+    with pytest.raises(ValueError, match="several files"):
+        formats.read_json_array(spark, path)

@@ -87,7 +87,7 @@ def test_repeated_orders_multiply_lines_as_a_join_would(rows):
 
 def test_catalogue_after_the_sums_equals_enriched_lines(spark, rows):
     orders = staging.orders(fixtures.raw_orders(spark, SMALL))
-    raw, products = fixtures.raw_order_items(spark, SMALL), fixtures.typed_products(spark, SMALL)
+    raw, products = fixtures.raw_order_items(spark, SMALL), staging.products(fixtures.raw_products(spark, SMALL))
     twice = products.unionByName(products.limit(7)).unionByName(
         products.limit(3).selectExpr("product_id", "'other' as name", "category", "brand", "price", "color",
                                      "warranty_months", "weight_g", "nb_tags")

@@ -44,10 +44,50 @@ def test_sums_are_shuffled_by_product_and_reused_for_the_rank(no_broadcast):
     assert "ReusedExchange [product_id" in final
 
 
-def test_stream_columns_and_versions_are_pruned(spark):
-    plan = executed_plan(QUERIES["changes_inserts"](spark, SMALL))
-    assert "PartitionFilters: [isnotnull(_change" in plan
-    assert "_source_file" not in plan
+def test_changes_read_their_folders_and_columns_only(spark):
+    frame = QUERIES["changes_inserts"](spark, SMALL)
+    assert all("_change=insert" in path for path in frame.inputFiles())
+    assert "_source_file" not in executed_plan(frame)
+
+
+@pytest.fixture
+def small_splits(no_broadcast):
+    """A session that takes a few kilobytes for a large partition."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "12",
+    }
+    for key, value in settings.items():
+        no_broadcast.conf.set(key, value)
+    yield no_broadcast
+    for key in settings:
+        no_broadcast.conf.unset(key)
+
+
+@pytest.mark.parametrize("join", ["sales_by", "without_match", "keep_keys", "split_join"])
+def test_a_hot_key_is_split_although_one_side_is_aggregated(small_splits, join):
+    from pyspark.sql import functions as F
+
+    from caravel.operators import joins
+    from caravel.plans import marts
+
+    n = 60_000
+    hot = F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 500).cast("string")
+    lines = small_splits.range(0, n, 1, 12).select(
+        hot.alias("order_id"), F.md5(F.col("id").cast("string")).alias("product_id"), F.lit(1).alias("quantity"), F.lit(2).alias("line_amount")
+    )
+    orders = small_splits.range(0, 1000, 1, 4).select((F.col("id") % 500).cast("string").alias("order_id"))
+    frame = {
+        "sales_by": lambda: marts.sales_by(lines, orders, ["product_id"]).agg(F.sum("units_sold").alias("n")),
+        "without_match": lambda: joins.without_match(lines, orders.where("order_id <> '0'"), "order_id").agg(F.count("*").alias("n")),
+        "keep_keys": lambda: joins.keep_keys(lines, orders, "order_id").agg(F.count("*").alias("n")),
+        "split_join": lambda: joins.split_join(lines, joins.with_copies(orders, "order_id"), "order_id").agg(F.sum("copies").alias("n")),
+    }[join]()
+    total = frame.first()["n"]
+    plan = executed_plan(frame)
+    assert "skew=true" in plan
+    assert total == {"sales_by": 2 * n, "keep_keys": n, "split_join": 2 * n}.get(join, lines.where("order_id = '0'").count())
 
 
 def test_cluster_settings_follow_the_size_of_the_shuffle():

@@ -151,7 +151,7 @@ def test_quality_report_passes_and_fails(rows, documents):
     )
     found = quality.quality_report(
         orders, items, documents('{"product_id":"P"}', '{"product_id":"P"}', "{}"), documents('{"event_id":null}'),
-        {"orders_without_id": 1},
+        {"orders_without_id": "0.34"},
     )
     assert {r.check_name: (r.observed, r.passed) for r in found.collect()} == {
         "orders_repeated_id": (1, False), "orders_without_id": (1, True), "orders_without_date": (2, False),
