@@ -32,41 +32,50 @@ UNITS = (
     "w", "kw", "v", "hz", "j", "n",
 )
 
-SPACE = r"[ \t\n\x0B\f\r]+"
-NUMBER = r"[0-9]+([.,:/-][0-9]+)*"
-# A capital after a word that does not end a sentence starts a name. Two passes, as one match may hold the blank before the next.
-NAME = r"([^.!?:; ] )\p{Lu}[\p{L}'’-]*"
-SIGNS = r"[^\p{L}\p{N}< >]"
+# Every pattern starts with what is rare in a text, so that most places are passed over after one character.
+BLANKS = r"[<> \t\n\x0B\f\r]+"  # the placeholders' own signs count as blanks
+NUMBER = r"[0-9]+(?:[.,:/-][0-9]+)*"
+# A capital after a blank and a word that does not end a sentence starts a name, unless the word is all capitals.
+NAME = r"\p{Lu}(?<=[^.!?:; ] \p{Lu})(?!\p{Lu})[\p{L}'’-]*"
+SIGNS = r"[!-/:;=?@\[-`{-~«»“”‘’„–—…]+"
 NUM, UNIT, PERSON = "<0>", "<1>", "<2>"  # digits, so that no later pass takes a placeholder for a word
 
 
 def word_text(text: Column) -> Column:
-    """The text with single blanks between words; placeholders' own signs are taken out of it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[<>]", ""), SPACE, " "))
+    """The text with single blanks between words."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " "))
 
 
 def template_text(words: Column) -> Column:
     """Words turned into template tokens one for one, blanks kept."""
     units = "|".join(sorted((u.replace("$", r"\$") for u in UNITS), key=len, reverse=True))
-    out = F.regexp_replace(words, NAME, f"$1{PERSON}")
-    out = F.regexp_replace(out, NAME, f"$1{PERSON}")
-    out = F.regexp_replace(F.lower(out), r"(^|[^<0-9])" + NUMBER, f"$1{NUM}")
-    out = F.regexp_replace(out, rf"({NUM} ?)({units})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$3")
-    return F.regexp_replace(out, SIGNS, "")
+    out = F.lower(F.regexp_replace(F.regexp_replace(words, NUMBER, NUM), NAME, PERSON))
+    return F.regexp_replace(F.regexp_replace(out, rf"({NUM} ?)(?:{units})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"), SIGNS, "")
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Columns key, words and tokens (arrays of one length); texts shorter than a window are left out."""
+    """Columns key, words and tokens (arrays of one length)."""
     rows = pick(df, key=key, text=text).where("key is not null")
     cut = rows.select("key", word_text(F.col("text")).alias("plain"))
     return cut.select("key", F.split("plain", " ").alias("words"), F.split(template_text(F.col("plain")), " ").alias("tokens"))
 
 
 def windows(told: DataFrame, size: int) -> DataFrame:
-    """Columns key, at and window (hash of the tokens) for every window of the templates."""
-    starts = F.sequence(F.lit(1), F.size("tokens") - size + 1)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("tokens", i, size)))
-    return told.where(F.size("tokens") >= size).select("key", F.posexplode(hashes).alias("at", "window"))
+    """Columns key, at and window (hash of ``size`` template tokens) for every window of the templates.
+
+    Windows are hashed from windows half as long, two overlapping ones for a size that is no power of two, so the
+    work is linear in the text: a slice per window would copy the whole array each time. Each level is a
+    column of its own, which the next one uses twice.
+    """
+    found = told.select("key", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    held = 1
+    while held < size:
+        step = min(held, size - held)
+        pairs = F.zip_with("hashes", F.slice("hashes", step + 1, F.col("n")), lambda a, b: F.xxhash64(a, b))
+        found = found.select("key", "n", pairs.alias("hashes"))
+        held += step
+    whole = F.slice("hashes", 1, F.greatest(F.col("n") - size + 1, F.lit(0)))
+    return found.select("key", F.posexplode(whole).alias("at", "window"))
 
 
 def slots(first: Column, size: Column) -> Column:
@@ -96,7 +105,8 @@ def contaminated(
     enough = written(spans.join(totals, "item").where(F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows"))), "spans")
     of_item = items.select(F.col("key").alias("item"), "tokens", F.col("words").alias("item_words"))
     asked = enough.join(of_item, "item").withColumn("places", slots(F.col("first"), F.col("end") - F.col("first"))).drop("tokens")
-    in_docs = pick(docs, key=key, text=text).select("key", F.split(word_text(F.col("text")), " ").alias("words"))
+    hit = pick(docs, key=key, text=text).join(enough.select("key").distinct(), "key", "left_semi")
+    in_docs = hit.select("key", F.split(word_text(F.col("text")), " ").alias("words"))
     value = F.transform("places", lambda i: F.lower(F.element_at("item_words", i + 1)))
     found = F.transform("places", lambda i: F.lower(F.try_element_at("words", (i + F.col("offset") + 1).cast("int"))))
     held = in_docs.join(asked, "key").select(
