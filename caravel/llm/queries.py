@@ -102,6 +102,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embeddings": op10_embeddings,
 }
 
+def decontamination_sql() -> str:
+    """Templates, windows and slot checks as the operator has them, in patterns that need no look-around."""
+    units = "|".join(sorted((u.replace("$", r"\$") for u in decontaminate.UNITS), key=len, reverse=True))
+    size, least, literals = decontaminate.SIZE, decontaminate.LEAST, decontaminate.LITERALS
+
+    def replaced(text: str, pattern: str, by: str) -> str:
+        quoted = pattern.replace("'", "''")
+        return f"regexp_replace({text}, '{quoted}', '{by}', 'g')"
+
+    def words(text: str) -> str:
+        blanks = r"[<> \t\n\x0B\f\r]+"
+        return f"trim({replaced(f'coalesce({text}, {chr(39) * 2})', blanks, ' ')}, ' ')"
+
+    name = r"([^.!?:; ] )\p{Lu}(?:[\p{Ll}\p{Lt}\p{Lm}\p{Lo}'’-][\p{L}'’-]*)?([^\p{L}'’-]|$)"
+    template = replaced("plain", decontaminate.NUMBER, "<0>")
+    for _ in range(2):  # a match takes the blank that the next name needs
+        template = replaced(template, name, r"\1<2>\2")
+    template = f"lower({template})"
+    for _ in range(2):
+        template = replaced(template, rf"(<0> ?)(?:{units})([^\p{{L}}\p{{N}}]|$)", r"\1<1>\2")
+    template = replaced(template, decontaminate.SIGNS, "")
+    window = f"tokens[i + 1 : i + {size}]"
+    places = f"unnest(range(CAST(len(tokens) - {size} + 1 AS BIGINT)))"
+    return f"""
+        WITH item_words AS (SELECT item_id, {words('text')} AS plain FROM benchmark WHERE item_id IS NOT NULL),
+        items AS (SELECT item_id, string_split(plain, ' ') AS words, string_split({template}, ' ') AS tokens FROM item_words),
+        item_places AS (SELECT item_id, tokens, {places} AS i FROM items),
+        telling AS (
+            SELECT item_id, i, {window} AS w FROM item_places
+            WHERE len(list_filter({window}, lambda t: t <> '' AND NOT contains(t, '<'))) >= {literals}),
+        totals AS (SELECT item_id, count(DISTINCT i) AS item_windows FROM telling GROUP BY item_id),
+        doc_words AS (SELECT doc_id, {words('text')} AS plain FROM documents WHERE doc_id IS NOT NULL),
+        docs AS (SELECT doc_id, string_split(plain, ' ') AS words, string_split({template}, ' ') AS tokens FROM doc_words),
+        doc_places AS (SELECT doc_id, tokens, {places} AS i FROM docs),
+        met AS (
+            SELECT d.doc_id, t.item_id, d.i - t.i AS shift, t.i AS item_at
+            FROM (SELECT doc_id, i, {window} AS w FROM doc_places) d JOIN telling t ON d.w = t.w),
+        spans AS (
+            SELECT doc_id, item_id, shift, count(DISTINCT item_at) AS n_windows, min(item_at) AS low, max(item_at) + {size} AS high
+            FROM met GROUP BY doc_id, item_id, shift),
+        enough AS (SELECT * FROM spans JOIN totals USING (item_id) WHERE n_windows >= least({least}, item_windows)),
+        slots AS (
+            SELECT e.doc_id, e.item_id, e.n_windows, e.item_windows,
+                   list_transform(list_filter(range(low, high), lambda j: contains(i.tokens[j + 1], '<')),
+                                  lambda j: [lower(i.words[j + 1]), lower(d.words[j + shift + 1])]) AS pairs
+            FROM enough e JOIN items i USING (item_id) JOIN docs d USING (doc_id)),
+        checked AS (
+            SELECT *, len(list_distinct(pairs)) AS n, len(list_distinct(list_transform(pairs, lambda p: p[1]))) AS asked,
+                   len(list_distinct(list_transform(pairs, lambda p: p[2]))) AS found
+            FROM slots)
+        SELECT doc_id, item_id, CAST(max(n_windows) AS BIGINT) AS n_windows, CAST(max(item_windows) AS BIGINT) AS item_windows,
+               CAST(min(len(pairs)) AS BIGINT) AS n_slots,
+               CAST(min(len(list_filter(pairs, lambda p: p[1] <> p[2]))) AS BIGINT) AS changed_slots
+        FROM checked WHERE n = asked AND n = found GROUP BY doc_id, item_id
+    """
+
+
 ORACLES: dict[str, str] = {
     # Five hex digits make four base-32 digits.
     "op3_warc": """
@@ -119,4 +176,17 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
         FROM digests
     """,
+    "op7_decontamination": decontamination_sql(),
+    "op10_embeddings": """
+        WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+            WHERE isfinite(list_cosine_similarity(a.v, b.v)) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+        reached(vec_id, root) AS (
+            SELECT vec_id, vec_id FROM vectors UNION SELECT links.b, reached.root FROM reached JOIN links ON links.a = reached.vec_id),
+        components AS (SELECT vec_id, min(root) AS component_id FROM reached GROUP BY vec_id)
+        SELECT vec_id, CAST((SELECT count(*) FROM links WHERE a = c.vec_id) AS BIGINT) AS n_links, component_id,
+               vec_id = component_id AS kept
+        FROM components c
+    """,
 }
