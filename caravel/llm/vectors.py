@@ -1,11 +1,14 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Equal vectors are one class. Every tree splits its nodes along random directions at the quartiles, which
-Spark aggregates per node; a vector within ``spill`` of a boundary goes to both sides. Nodes of at most
-``leaf`` classes are compared in full, in double precision. A node that splitting cannot make smaller,
-because it holds a dense group, is compared block against block instead, so no vector loses a partner.
-A pair that shares several leaves counts in the first of them only; leaves therefore return a number of links
-and a spanning star per vector, never pairs.
+Equal vectors are one class. Every tree splits its nodes along random directions at the quartiles; a vector
+within ``spill`` of a boundary goes to both sides. The upper levels take their quartiles from a sample of
+``SAMPLE`` classes at most (expected, chosen by hash), and one pass takes every vector down to where the sample
+ends; a node that still holds more than ``leaf`` classes is split further at quartiles that Spark
+aggregates from all its rows. Nodes of at most ``leaf`` classes are compared in full: candidates in
+single, links in double precision. A node that splitting cannot make smaller, because it holds a dense
+group, is compared block against block instead, so no vector loses a partner. A pair that shares
+several leaves counts in the first of them only; leaves therefore return a number of links and a
+spanning star per vector, never pairs.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do rows without
 an id. Vectors of different lengths are never compared. Rows with the same id and vector are one vector,
@@ -25,12 +28,12 @@ from pyspark.sql import functions as F
 from caravel.llm.components import connected_components, roots
 from caravel.llm.frames import pick, written
 
-TREES, LEAF, SPILL, SEED = 5, 2048, 0.5, 7
+TREES, LEAF, SPILL, SEED = 5, 4096, 0.5, 7
+SAMPLE, LEAST_SAMPLED = 1 << 14, 64
 FAN_OUT = 4
 DENSE = 3.0  # a node whose quartiles lie within so many margins is not split further
 MOST_SHRINK = 0.75  # nor one that holds more than this part of its parent
 ROWS, PAIRS = 512, 1 << 18
-ROW = "node bigint, rep bigint, v array<double>, above bigint, place double"
 
 
 def usable(vector: str) -> Column:
@@ -64,39 +67,100 @@ def _project(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "place"])
 
 
-def leaves(classes: DataFrame, least: float, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
+def margin(least: float, spill: float, size: int) -> float:
+    """Overlap of both sides: the distance of linked vectors is sqrt(2 - 2 least) at most, along a random direction that over sqrt(size)."""
+    return spill * math.sqrt(max(2 - 2 * least, 0) / size)
+
+
+def sides(place: np.ndarray, cuts: np.ndarray, overlap: float) -> list[np.ndarray]:
+    """For each child the rows that fall into it or within the overlap of its boundaries."""
+    low, high = np.append(-np.inf, cuts), np.append(cuts, np.inf)
+    return [np.flatnonzero((place >= a - overlap) & (place <= b + overlap)) for a, b in zip(low, high)]
+
+
+def fit(sample: np.ndarray, scale: float, least: float, trees: int, leaf: int, spill: float) -> dict[int, np.ndarray]:
+    """Quartiles of the nodes worth splitting, from unit vectors that each stand for ``scale`` classes."""
+    cuts_of, size = {}, sample.shape[1]
+    overlap = margin(least, spill, size)
+    todo = [(64 + t, np.arange(len(sample))) for t in range(trees)]
+    while todo:
+        node, rows = todo.pop()
+        if len(rows) < LEAST_SAMPLED or len(rows) * scale <= leaf:
+            continue
+        place = sample[rows] @ direction(node, size)
+        cuts = np.quantile(place, [i / FAN_OUT for i in range(1, FAN_OUT)])
+        children = sides(place, cuts, overlap)
+        if cuts[-1] - cuts[0] < DENSE * overlap or max(map(len, children)) > MOST_SHRINK * len(rows):
+            continue
+        cuts_of[node] = cuts
+        todo += [(node * FAN_OUT + i, rows[held]) for i, held in enumerate(children)]
+    return cuts_of
+
+
+def _descend(cuts_of: dict[int, dict[int, np.ndarray]], least: float, trees: int, spill: float):
+    """Take every vector down all trees as far as they are fitted: rows (node, rep, v, above)."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch.column(1)).to_numpy()
+            for size in np.unique(sizes):
+                of_size = np.flatnonzero(sizes == size)
+                vectors, fitted = unit(batch.column(1).take(pa.array(of_size))), cuts_of.get(int(size), {})
+                found, todo = [], [(64 + t, np.arange(len(of_size))) for t in range(trees)]
+                while todo:
+                    node, rows = todo.pop()
+                    if node in fitted:
+                        held = sides(vectors[rows] @ direction(node, int(size)), fitted[node], margin(least, spill, int(size)))
+                        todo += [(node * FAN_OUT + i, rows[h]) for i, h in enumerate(held)]
+                    elif len(rows):
+                        found.append((np.full(len(rows), node), of_size[rows]))
+                nodes, rows = (np.concatenate(x) for x in zip(*found))
+                part = batch.take(pa.array(rows))
+                above = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), *part.columns, above], names=["node", "rep", "v", "above"])
+
+    return run
+
+
+def leaves(classes: DataFrame, least: float, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE) -> DataFrame:
     """Columns node, rep and blocks: the leaves of the forest, spilled vectors in several of them."""
-    first = F.explode(F.array(*[F.lit(64 + t).cast("bigint") for t in range(trees)])).alias("node")
-    whole = F.lit(None).cast("bigint").alias("above")
-    rows = classes.select(first, "rep", F.col("embedding").cast("array<double>").alias("v"), whole)
+    vectors = classes.select("rep", F.col("embedding").alias("v"))
+    kind = dict(vectors.dtypes)["v"]
+    count = max(classes.count(), 1)
+    chosen = vectors.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < min(1, sample / count) * (1 << 30)).orderBy("rep").toArrow().combine_chunks()
+    sizes = pa.compute.list_value_length(chosen["v"]).to_numpy()
+    cuts_of = {}
+    for size in np.unique(sizes).tolist():
+        some = chosen["v"].combine_chunks().take(pa.array(np.flatnonzero(sizes == size)))
+        cuts_of[size] = fit(unit(some.chunk(0) if isinstance(some, pa.ChunkedArray) else some), max(1, count / sample), least, trees, leaf, spill)
+    row = f"node bigint, rep bigint, v {kind}, above bigint"
+    rows = written(vectors.mapInArrow(_descend(cuts_of, least, trees, spill), row), "descended")
     done = []
-    # The distance of two linked vectors is at most sqrt(2 - 2 least); along a random direction it is spread by that over sqrt(size).
-    margin = F.lit(spill * math.sqrt(max(2 - 2 * least, 0))) / F.sqrt(F.size("v"))
     while True:
-        placed = rows.mapInArrow(_project, ROW)
-        placed = written(placed.withColumn("margin", margin), "placed")
-        nodes = written(
-            placed.groupBy("node").agg(
-                F.count("*").alias("n"), F.max("above").alias("parent"), F.max("margin").alias("widest"),
-                F.percentile_approx("place", [i / FAN_OUT for i in range(1, FAN_OUT)], 1000).alias("cuts"),
-            ).withColumn(
-                "final",
-                (F.col("n") <= leaf) | F.coalesce(F.col("n") > F.col("parent") * MOST_SHRINK, F.lit(False))
-                | (F.element_at("cuts", -1) - F.element_at("cuts", 1) < DENSE * F.col("widest")),
-            ),
-            "nodes",
-        )
-        known = placed.join(nodes.select("node", "n", "cuts", "final"), "node")
-        done.append(known.where("final").select("node", "rep", F.ceil(F.col("n") / leaf).cast("int").alias("blocks")))
-        if nodes.where("not final").isEmpty():
+        counts = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.max("above").alias("parent")), "counts")
+        known = rows.join(counts, "node")
+        stuck = F.coalesce(F.col("n") > F.col("parent") * MOST_SHRINK, F.lit(False))
+        final = (F.col("n") <= leaf) | stuck
+        leaf_rows = ("node", "rep", F.ceil(F.col("n") / leaf).cast("int").alias("blocks"))
+        done.append(known.where(final).select(*leaf_rows))
+        if counts.where(~final).isEmpty():
+            break
+        placed = known.where(~final).select("node", "rep", "v", F.col("n").alias("above")).mapInArrow(_project, row + ", place double")
+        placed = written(placed.withColumn("overlap", F.lit(spill * math.sqrt(max(2 - 2 * least, 0))) / F.sqrt(F.size("v"))), "placed")
+        quartiles = [i / FAN_OUT for i in range(1, FAN_OUT)]
+        cuts = placed.groupBy("node").agg(F.percentile_approx("place", quartiles, 1000).alias("cuts"), F.max("overlap").alias("widest"))
+        cuts = written(cuts.withColumn("dense", F.element_at("cuts", -1) - F.element_at("cuts", 1) < DENSE * F.col("widest")), "cuts")
+        cut = placed.join(cuts, "node")
+        done.append(cut.where("dense").withColumn("n", F.col("above")).select(*leaf_rows))
+        if cuts.where("not dense").isEmpty():
             break
-        sides = []
+        children = []
         for side in range(FAN_OUT):
-            above = F.col("place") >= F.element_at("cuts", side) - F.col("margin") if side else F.lit(True)
-            below = F.col("place") <= F.element_at("cuts", side + 1) + F.col("margin") if side < FAN_OUT - 1 else F.lit(True)
-            sides.append(F.when(above & below, F.col("node") * FAN_OUT + side))
-        split = known.where("not final").select(F.explode(F.array_compact(F.array(*sides))).alias("node"), "rep", "v", F.col("n").alias("above"))
-        rows = split
+            above = F.col("place") >= F.element_at("cuts", side) - F.col("overlap") if side else F.lit(True)
+            below = F.col("place") <= F.element_at("cuts", side + 1) + F.col("overlap") if side < FAN_OUT - 1 else F.lit(True)
+            children.append(F.when(above & below, F.col("node") * FAN_OUT + side))
+        split = cut.where("not dense").select(F.explode(F.array_compact(F.array(*children))).alias("node"), "rep", "v", "above")
+        rows = written(split, "split")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -127,13 +191,17 @@ def _same_size(members: pa.Table, node: int, low: int, high: int, least: float):
     home[np.arange(home.shape[1]) < lengths[:, None]] = np.asarray(homes.flatten())
     degree = np.zeros(len(rep), np.int64)
     left, right = [], []
+    rough = vectors.astype(np.float32)
+    slack = 4 * np.finfo(np.float32).eps * (vectors.shape[1] + 8)
     for at in range(0, len(rep), ROWS):
-        i, j = np.nonzero(vectors[at : at + ROWS] @ vectors[at:].T >= least)
+        i, j = np.nonzero(rough[at : at + ROWS] @ rough[at:].T >= least - slack)
         i, j = i + at, j + at
         wanted = (i < j) & ((block[i] != block[j]) if low != high else True)
         i, j = i[wanted], j[wanted]
         for cut in range(0, len(i), PAIRS):
             a, b = i[cut : cut + PAIRS], j[cut : cut + PAIRS]
+            exact = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= least
+            a, b = a[exact], b[exact]
             seen = np.zeros(len(a), bool)
             for k in range(home.shape[1]):
                 mine = home[a, k]
@@ -155,16 +223,19 @@ def _same_size(members: pa.Table, node: int, low: int, high: int, least: float):
 
 def near_duplicates(
     df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9,
-    trees: int = TREES, leaf: int = LEAF, spill: float = SPILL,
+    trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE,
 ) -> DataFrame:
     """Key, n_links (other vectors linked directly) and component_id (smallest key that links reach), a row per input row."""
-    rows = pick(df, key=key, embedding=vector).withColumn("usable", usable("embedding") & F.col("key").isNotNull())
+    rows = pick(df, key=key, embedding=vector)
+    if dict(rows.dtypes)["embedding"] != "array<float>":
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows = rows.withColumn("usable", usable("embedding") & F.col("key").isNotNull())
     good = rows.where("usable").select(F.col("key").cast("bigint").alias("key"), "embedding")
     classes = written(
         good.distinct().groupBy("embedding").agg(F.min("key").alias("rep"), F.count("*").alias("count")).withColumn("mark", F.xxhash64("embedding")),
         "classes",
     )
-    placed = written(leaves(classes, least, trees, leaf, spill), "leaves")
+    placed = written(leaves(classes, least, trees, leaf, spill, sample), "leaves")
     homes = placed.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("homes"))
     vectors = classes.join(homes, "rep").select("rep", "count", "homes", F.col("embedding").alias("v"))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))

@@ -56,8 +56,10 @@ def table(spark):
 def test_leaves_and_dense_blocks_equal_brute_force(table):
     rows = clustered(900, 40, 64, 0.15, 1, dense=300)
     rows += [(5000 + i, rows[0][1]) for i in range(3)] + [(6000, [2 * x for x in rows[0][1]])]
-    got, n = found(table(rows), leaf=60)
-    assert n == len(rows) and got == brute(rows)
+    want = brute(rows)
+    for sample in (1 << 14, 200, 0):  # all levels fitted, the upper ones, none
+        got, n = found(table(rows), leaf=60, sample=sample)
+        assert n == len(rows) and got == want
 
 
 def test_odd_vectors_link_with_nothing(table):
