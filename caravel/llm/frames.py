@@ -25,6 +25,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return apart.select(*[F.col(f"_{names.index(old)}").alias(new) for new, old in columns.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of the frame has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: later steps start from the files, whoever is lost."""
     path = scratch_folder(df.sparkSession, label)

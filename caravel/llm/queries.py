@@ -61,7 +61,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that each document loses to earlier ones, the documents it was aligned with, and a digest of what is left."""
-    found = lines.deduplicate(table(spark, sf_dir, "documents"))
+    found = lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "dedup.n_lines", "dedup.n_removed", "dedup.partners", F.sha2(F.coalesce("dedup.text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -5,7 +5,7 @@ import pytest
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 # Columns that the operators use inside; a caller's table may have any of them.
-CLASHING = "key doc at mark hash lines gone fingerprint component_id tokens words ids n_tokens label y x rep root node score".split()
+CLASHING = "_language _dedup key doc at mark hash lines gone fingerprint component_id tokens words ids n_tokens label y x rep root node score".split()
 
 
 @pytest.fixture
