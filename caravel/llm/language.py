@@ -30,7 +30,7 @@ UNKNOWN = 1
 FIRST_LETTER = 2
 UNDECIDED = "und"
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so that multiplying keeps codes apart
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18  # of text at once: the tables of a slice take about a hundred times as much
 LIMIT_QUANTILE, LIMIT_MARGIN, SHORT_ALLOWANCE, LEAST_SCORE = 0.999, 0.5, 6.0, 0.5
 
 
@@ -261,17 +261,14 @@ def calibrate(model: LanguageModels, held: DataFrame) -> None:
 def predict(df: DataFrame, model: LanguageModels, text: str = "text", into: str = "language") -> DataFrame:
     """All rows and columns with a struct column: lang_pred, score, cross_entropy and rejected."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        held = [t or "" for t in texts]
-        done, start, size = [], 0, 0
-        for i, t in enumerate(held + [""]):
-            if i == len(held) or (size and size + len(t) > SLICE_BYTES):
-                done.append(shared.value.predict(held[start:i]))
-                start, size = i, 0
-            size += len(t)
-        return pd.concat(done, ignore_index=True)
+    names = ["lang_pred", "score", "cross_entropy", "rejected"]
+
+    @F.arrow_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
+    def judge(texts: pa.Array) -> pa.Array:
+        done = [shared.value.predict([t or "" for t in part.column(0).to_pylist()]) for part in slices([pa.record_batch([texts], ["t"])], 0, SLICE_BYTES)]
+        found = pd.concat(done, ignore_index=True) if done else shared.value.predict([])
+        kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(found[c], k) for c, k in zip(names, kinds)], names=names)
 
     at = df.columns.index(text)
     apart = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
