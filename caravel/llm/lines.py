@@ -19,13 +19,12 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from caravel.llm.frames import pick, written
+from caravel.llm.frames import pick, slices, written
 
 LEAST_CHARS = 25
 BLANKS = " \t\r\x0b\x0c"
@@ -130,17 +129,19 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least
     )
 
 
-@F.pandas_udf(StringType())
-def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
     """The text without the given lines; null lists leave it as it is."""
 
     def cut(text, lines):
-        if lines is None or text is None or not len(lines):
+        if not lines or text is None:
             return text
         drop = set(lines)
         return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
 
-    return pd.Series([cut(t, g) for t, g in zip(texts, gone)], dtype=object)
+    parts = slices([pa.record_batch([texts, gone], ["text", "gone"])], 0)
+    done = [pa.array([cut(*row) for row in zip(p.column(0).to_pylist(), p.column(1).to_pylist())], pa.string()) for p in parts]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_CHARS, into: str = "dedup") -> DataFrame:
