@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from caravel.llm import shingles, simhash
+from llm.conftest import words
+
+
+def sets_of(text):
+    parts = (text or "").encode().lower().split()
+    return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def brute(rows, least=0.8):
+    """Every pair by plain Jaccard similarity of five-word shingles."""
+    told = [sets_of(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            either = len(told[i] | told[j])
+            if not either or len(told[i] & told[j]) >= least * either:
+                label = [label[j] if x == label[i] else x for x in label]
+    smallest = {}
+    for x, (d, _) in zip(label, rows):
+        if d is not None:
+            smallest[x] = min(d, smallest.get(x, d))
+    return sorted(((str(d), smallest.get(x)) for x, (d, _) in zip(label, rows)), key=str)
+
+
+def found(frame):
+    return sorted(((str(r["doc_id"]), r["component_id"]) for r in shingles.near_duplicates(frame).collect()), key=str)
+
+
+def edited(text, places, sign):
+    parts = text.split()
+    for p in places:
+        parts[p] = f"{sign}{p}"
+    return " ".join(parts)
+
+
+def cases():
+    base, dice = words(100), random.Random(7)
+    rows = [(9, base), (4, base.upper()), (7, None), (8, ""), (6, " \n"), (3, "a b"), (5, "A  B"), (None, base), (2, words(300, 5000)), (2, words(300, 5000))]
+    # 96 shingles, an edit in the middle changes five: two keep 86 of 106 (0.81), three 81 of 111 (0.73).
+    rows += [(20, edited(base, [10, 50], "x")), (21, edited(base, [10, 50, 80], "y")), (22, edited(base, [10, 50, 80, 90], "y"))]
+    # Copies of one text, edited in one place each: 0.9 to the text, 0.82 among themselves; and a passage that unlike texts share.
+    group = words(120, 9000)
+    rows += [(100 + i, edited(group, [dice.randrange(5, 115)], f"e{i}_")) for i in range(40)]
+    rows += [(200 + i, words(60, 30_000 + 100 * i) + " " + words(50, 20_000)) for i in range(40)]
+    # A chain: each links to its neighbour only.
+    chain = words(200, 50_000).split()
+    rows += [(300 + i, " ".join(chain[i * 8 : i * 8 + 100])) for i in range(12)]
+    return rows
+
+
+def test_equals_brute_force(docs_of):
+    rows = cases()
+    assert found(docs_of(*rows, clashing=True)) == brute(rows)
+    assert found(docs_of((1, "x")).where("false")) == []
+
+
+def test_prefixes_in_an_order_by_frequency_lose_nothing(docs_of, monkeypatch):
+    rows = cases()
+    monkeypatch.setattr(shingles, "SAMPLE", 5)
+    monkeypatch.setattr(shingles, "FREQUENT", 20)
+    assert found(docs_of(*rows)) == brute(rows)
+
+
+def test_stage_drops_edited_copies_that_fingerprints_keep_apart(spark, docs_of):
+    base = words(100)
+    copy = edited(base, [10, 50], "x")
+    assert (simhash.fingerprint(base) ^ simhash.fingerprint(copy)).bit_count() > 2
+    kept = corpus_pipeline.near_dedup(spark, docs_of((1, base), (2, copy), (3, words(100, 5000))), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3]
+
+
+def test_equals_brute_force_on_documents(small):
+    rows = [(r["doc_id"], r["text"]) for r in small("documents").collect()]
+    assert found(small("documents")) == brute(rows)
