@@ -5,13 +5,17 @@ of a text is token i of its template. Windows of ``size`` template tokens are ha
 windows of one item at one offset belong together; over the words they span, each slot value of the
 item must always stand for the same value in the document and the other way round. A document is
 contaminated by an item when at least ``least`` consistent windows (all of them, if the item has fewer) match
-at one offset: the passage itself, or the question with other numbers, names or units.
+at one offset: the passage itself, or the question with other numbers, names or units. The first word of an item
+counts as a word and as a name, since a document may have it in mid-sentence.
+
+Verbatim copies need no template: windows of plain words, whatever their case and the punctuation around them, count by
+themselves, and no other place of the document can speak against them. An item with fewer than ``least`` telling
+windows of plain words (short questions, arithmetic, lists) must be there as a whole, however short it is.
 
 Only DataFrame and SQL functions run here. The join carries no hint: Spark broadcasts the benchmark's
 windows while they are below its size threshold and shuffles both sides beyond it.
 
-A window that holds fewer than ``literals`` literal words says nothing and never matches, nor does an item
-shorter than a window. Null and empty texts have no windows; rows without an id are not reported. Rows
+A window of a template that holds fewer than ``literals`` literal words says nothing and never matches. Null and empty texts have no windows; rows without an id are not reported. Rows
 that share an id are one document: windows of any of them count, slots are compared within each. Empty
 tables give no rows.
 """
@@ -37,6 +41,8 @@ BLANKS = r"[<> \t\n\x0B\f\r]+"  # the placeholders' own signs count as blanks
 NUMBER = r"[0-9]+(?:[.,:/-][0-9]+)*"
 # A capital after a blank and a word that does not end a sentence starts a name, unless the word is all capitals.
 NAME = r"\p{Lu}(?<=[^.!?:; ] \p{Lu})(?!\p{Lu})[\p{L}'’-]*"
+OPENING, CLOSING = r"[\"'(\[{«„“‘]+", r"[.,!?:;\"')\]}»“”’…]+"  # what may stand around a word without being part of it
+PLAIN = r"^[^0-9]*\p{L}[^0-9]*$"
 SIGNS = r"[!-/:;=?@\[-`{-~«»“”‘’„–—…]+"
 NUM, UNIT, PERSON = "<0>", "<1>", "<2>"  # digits, so that no later pass takes a placeholder for a word
 
@@ -84,38 +90,100 @@ def slots(first: Column, size: Column) -> Column:
     return F.filter(places, lambda i: F.element_at("tokens", i + 1).contains("<"))
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    size: int = SIZE, least: int = LEAST, literals: int = LITERALS,
-) -> DataFrame:
-    """Columns key, item, n_windows, item_windows, n_slots and changed_slots for every contaminated pair.
-
-    changed_slots counts slots whose value in the document differs from the item's: zero for a plain copy.
-    """
-    items = written(tokens(benchmark, item, item_text), "items")
+def by_templates(docs: DataFrame, benchmark: DataFrame, size: int, least: int, literals: int) -> DataFrame:
+    """Pairs (key, item, n_windows, item_windows, n_slots, changed_slots) whose templates match, from frames (key, text)."""
+    items = written(tokens(benchmark, "key", "text"), "items")
     literal = F.size(F.filter(F.slice("tokens", F.col("at") + 1, size), lambda t: (t != "") & ~t.contains("<"))) >= literals
-    telling = windows(items, size).join(items, "key").where(literal)
-    counted = telling.select(F.col("key").alias("item"), F.col("at").alias("item_at"), "window").distinct()
+    telling = windows(items, size).join(items, "key").where(literal).select("key", "at", "window")
+    # The first word as it would be canonicalised behind another word.
+    within = F.split(template_text(F.concat(F.lit("a "), F.array_join("words", " "))), " ")
+    behind = items.select("key", F.slice(within, 2, F.size("tokens")).alias("tokens"))
+    opening = windows(behind, size).where("at = 0").join(telling.where("at = 0").select("key"), "key", "left_semi")
+    counted = telling.withColumn("behind", F.lit(False)).unionByName(opening.withColumn("behind", F.lit(True)))
+    counted = counted.groupBy(F.col("key").alias("item"), F.col("at").alias("item_at"), "window").agg(F.min("behind").alias("behind"))
     counted = written(counted, "windows")
-    totals = counted.groupBy("item").agg(F.count("*").alias("item_windows"))
-    met = windows(tokens(docs, key, text), size).join(counted, "window")
+    totals = counted.groupBy("item").agg(F.countDistinct("item_at").alias("item_windows"))
+    met = windows(tokens(docs, "key", "text"), size).join(counted, "window")
     spans = met.groupBy("key", "item", (F.col("at") - F.col("item_at")).alias("offset")).agg(
-        F.countDistinct("item_at").alias("n_windows"), F.min("item_at").alias("first"), (F.max("item_at") + size).alias("end")
+        F.collect_set("item_at").alias("ats"), F.countDistinct(F.when(~F.col("behind"), F.col("item_at"))).alias("as_it_stands")
+    )
+    spans = spans.select(
+        "key", "item", "offset", "ats", "as_it_stands", F.array_min("ats").alias("first"), (F.array_max("ats") + size).alias("end")
     )
-    enough = written(spans.join(totals, "item").where(F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows"))), "spans")
+    # The window with the first word as a name is counted only where it is needed.
+    needed = F.least(F.lit(least), F.col("item_windows"))
+    n_windows = F.when(F.col("as_it_stands") >= needed, F.col("as_it_stands")).otherwise(F.size("ats").cast("bigint"))
+    enough = written(spans.join(totals, "item").withColumn("n_windows", n_windows).where(F.col("n_windows") >= needed).drop("as_it_stands"), "spans")
     of_item = items.select(F.col("key").alias("item"), "tokens", F.col("words").alias("item_words"))
     asked = enough.join(of_item, "item").withColumn("places", slots(F.col("first"), F.col("end") - F.col("first"))).drop("tokens")
-    hit = pick(docs, key=key, text=text).join(enough.select("key").distinct(), "key", "left_semi")
+    hit = docs.join(enough.select("key").distinct(), "key", "left_semi")
     in_docs = hit.select("key", F.split(word_text(F.col("text")), " ").alias("words"))
     value = F.transform("places", lambda i: F.lower(F.element_at("item_words", i + 1)))
-    found = F.transform("places", lambda i: F.lower(F.try_element_at("words", (i + F.col("offset") + 1).cast("int"))))
+    met_value = F.transform("places", lambda i: F.lower(F.try_element_at("words", (i + F.col("offset") + 1).cast("int"))))
     held = in_docs.join(asked, "key").select(
-        "key", "item", "n_windows", "item_windows", F.arrays_zip(value.alias("asked"), found.alias("found")).alias("pairs")
+        "key", "item", "n_windows", "item_windows", F.arrays_zip(value.alias("asked"), met_value.alias("found")).alias("pairs")
     )
     kinds = [F.size(F.array_distinct(c)) for c in (F.col("pairs"), F.col("pairs.asked"), F.col("pairs.found"))]
     consistent = held.where((kinds[0] == kinds[1]) & (kinds[0] == kinds[2]))
     changed = F.size(F.filter("pairs", lambda p: ~p["asked"].eqNullSafe(p["found"])))
-    return consistent.groupBy(F.col("key").alias(key), F.col("item").alias(item)).agg(
+    return consistent.groupBy("key", "item").agg(
         F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"),
         F.min(F.size("pairs")).cast("bigint").alias("n_slots"), F.min(changed).cast("bigint").alias("changed_slots"),
     )
+
+
+def plain_words(df: DataFrame) -> DataFrame:
+    """Columns key (id and hash of the words) and tokens: lower-case words without the punctuation around them."""
+    plain = F.concat(F.lit(" "), word_text(F.col("text")), F.lit(" "))
+    plain = F.regexp_replace(F.regexp_replace(plain, f" {OPENING}", " "), f"{CLOSING}(?= )", "")
+    cut = df.where("key is not null").select("key", F.lower(F.trim(F.regexp_replace(plain, " +", " "))).alias("plain")).where("plain <> ''")
+    return cut.select(F.struct("key", F.xxhash64("plain").alias("mark")).alias("key"), F.split("plain", " ").alias("tokens"))
+
+
+def verbatim(docs: DataFrame, benchmark: DataFrame, size: int, least: int, literals: int) -> DataFrame:
+    """Pairs (key, item, n_windows, item_windows) that share enough windows of plain words, from frames (key, text)."""
+    items = written(plain_words(benchmark).distinct(), "plain-items")
+    width = F.least(F.size("tokens"), F.lit(size))
+    widths = sorted(r[0] for r in items.select(width.alias("width")).distinct().collect())  # no more than ``size``
+    told = plain_words(docs)
+    met = []
+    for n in widths:
+        words = F.size(F.filter(F.slice("tokens", F.col("at") + 1, n), lambda t: t.rlike(PLAIN)))
+        same = items.where(width == n)
+        cut = written(windows(same, n).join(same, "key").select(F.col("key").alias("item"), F.col("at").alias("item_at"), "window", (words >= literals).alias("telling")), "plain-windows")
+        totals = cut.groupBy("item").agg(F.count_if("telling").alias("n_telling"), F.count("*").alias("n_all"))
+        whole = F.col("n_telling") < least
+        counted = cut.join(totals, "item").where(whole | F.col("telling")).select(
+            "item", "item_at", "window", F.when(whole, F.col("n_all")).otherwise(F.col("n_telling")).alias("item_windows"),
+            F.when(whole, F.col("n_all")).otherwise(F.lit(least)).alias("needed"),
+        )
+        met.append(windows(told, n).join(written(counted, "plain-counted"), "window"))
+    if not met:
+        return docs.select("key", F.lit(None).cast(dict(benchmark.dtypes)["key"]).alias("item"), *[F.lit(0).cast("bigint").alias(c) for c in ("n_windows", "item_windows")]).where("false")
+    joined = met[0]
+    for more in met[1:]:
+        joined = joined.unionByName(more)
+    runs = joined.groupBy("key", "item", (F.col("at") - F.col("item_at")).alias("offset")).agg(
+        F.countDistinct("item_at").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("needed").alias("needed")
+    )
+    enough = runs.where("n_windows >= needed")
+    return enough.groupBy(F.col("key.key").alias("key"), F.col("item.key").alias("item")).agg(
+        F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows")
+    )
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+    size: int = SIZE, least: int = LEAST, literals: int = LITERALS,
+) -> DataFrame:
+    """Columns key, item, n_windows, item_windows, n_slots and changed_slots for every contaminated pair.
+
+    changed_slots counts slots whose value in the document differs from the item's: zero for a plain copy. A pair that
+    only its plain words show has the counts of their windows and no slots.
+    """
+    texts, asked = pick(docs, key=key, text=text), pick(benchmark, key=item, text=item_text)
+    found = written(by_templates(texts, asked, size, least, literals), "by-templates")
+    copied = verbatim(texts, asked, size, least, literals).join(found, ["key", "item"], "left_anti")
+    none = F.lit(0).cast("bigint")
+    both = found.unionByName(copied.withColumns({"n_slots": none, "changed_slots": none}))
+    return both.select(F.col("key").alias(key), F.col("item").alias(item), "n_windows", "item_windows", "n_slots", "changed_slots")

@@ -38,6 +38,29 @@ def test_copies_and_questions_with_other_values(docs_of, items):
     assert got[(11, 1)]["changed_slots"] > 4  # 12: the buyer's name changes half way, so the slots contradict each other
 
 
+SHORT = [
+    (1, "What is the capital of the old northern kingdom?"), (2, "Name three rivers"), (3, "Anna, Berta and Carl Olsen sold 12 of 40 boats to Dora."),
+    (4, "3 + 4 = ?"), (5, "12 17 23 31 45 52 68 71 89 94"), (6, "Anna Berg, Carl Dahl, Eva Falk, Gro Holm"), (7, "Which of the two twins Ada Lind and Mia Lind was born in 1950 then?"),
+]
+
+
+def test_short_items_in_mid_sentence_and_in_other_case(spark, docs_of):
+    items = spark.createDataFrame(SHORT, "item_id bigint, text string")
+    forms = {10: "see below {} and more", 20: "see below\n{}", 30: "{}"}
+    docs = [(100 * i + n, form.format(text)) for i, text in SHORT for n, form in forms.items()]
+    docs += [(100 * i + n, f"and then {text}, he said") for i, t in SHORT for n, text in ((40, t.lower()), (50, t.upper()))]
+    apart = [
+        (1, "what is the capital of the old southern kingdom"), (2, "name three lakes"), (3, "3 - 4 = ?"), (4, "12 17 23 31 45 52 68 71 89 95"),
+        (5, "Anna Berg, Carl Dahl, Eva Falk"), (6, "rivers three name"),
+    ]
+    assert set(found(docs_of(*docs, *apart), items)) == {(d, d // 100) for d, _ in docs}
+
+
+def test_first_word_is_alike_where_a_question_has_other_values(spark, docs_of):
+    items = spark.createDataFrame([(1, "Who sold the 12 old boats of the northern harbour to a trader")], "item_id bigint, text string")
+    assert set(found(docs_of((5, "see below Who sold the 90 old boats of the northern harbour to a trader")), items)) == {(5, 1)}
+
+
 def test_template_tokens_stand_for_words_one_for_one(docs_of):
     (row,) = d.tokens(docs_of((1, "He paid  $3.50 for 20kg,\nthen Mary-Ann O’Neil left. Then 5 % <b> rest 1,000.5!")), "doc_id", "text").collect()
     assert len(row["words"]) == len(row["tokens"])
