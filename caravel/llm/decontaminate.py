@@ -2,8 +2,8 @@
 
 Documents and benchmark items are cut into words at white space and each word is canonicalised, so word i
 of a text is token i of its template. Windows of ``size`` template tokens are hashed and joined. Joined
-windows of one item at one offset belong together; over the words they span, each slot value of the
-item must always stand for the same value in the document and the other way round. A document is
+windows of one item at one offset belong together; over the words that they hold, each slot value of the
+item must always stand for the same value in the document, punctuation around it aside. A document is
 contaminated by an item when at least ``least`` consistent windows (all of them, if the item has fewer) match
 at one offset: the passage itself, or the question with other numbers, names or units. The first word of an item
 counts as a word and as a name, since a document may have it in mid-sentence.
@@ -90,6 +90,11 @@ def slots(first: Column, size: Column) -> Column:
     return F.filter(places, lambda i: F.element_at("tokens", i + 1).contains("<"))
 
 
+def bare(word: Column) -> Column:
+    """A word in lower case without the punctuation around it."""
+    return F.lower(F.regexp_replace(word, f"^{OPENING}|{CLOSING}$", ""))
+
+
 def by_templates(docs: DataFrame, benchmark: DataFrame, size: int, least: int, literals: int) -> DataFrame:
     """Pairs (key, item, n_windows, item_windows, n_slots, changed_slots) whose templates match, from frames (key, text)."""
     items = written(tokens(benchmark, "key", "text"), "items")
@@ -118,13 +123,14 @@ def by_templates(docs: DataFrame, benchmark: DataFrame, size: int, least: int, l
     asked = enough.join(of_item, "item").withColumn("places", slots(F.col("first"), F.col("end") - F.col("first"))).drop("tokens")
     hit = docs.join(enough.select("key").distinct(), "key", "left_semi")
     in_docs = hit.select("key", F.split(word_text(F.col("text")), " ").alias("words"))
-    value = F.transform("places", lambda i: F.lower(F.element_at("item_words", i + 1)))
-    met_value = F.transform("places", lambda i: F.lower(F.try_element_at("words", (i + F.col("offset") + 1).cast("int"))))
-    held = in_docs.join(asked, "key").select(
-        "key", "item", "n_windows", "item_windows", F.arrays_zip(value.alias("asked"), met_value.alias("found")).alias("pairs")
-    )
-    kinds = [F.size(F.array_distinct(c)) for c in (F.col("pairs"), F.col("pairs.asked"), F.col("pairs.found"))]
-    consistent = held.where((kinds[0] == kinds[1]) & (kinds[0] == kinds[2]))
+    pairs = F.transform("places", lambda i: F.struct(
+        bare(F.element_at("item_words", i + 1)).alias("asked"),
+        bare(F.try_element_at("words", (i + F.col("offset") + 1).cast("int"))).alias("found"),
+        F.exists("ats", lambda a: (a <= i) & (i < a + size)).alias("matched"),
+    ))
+    held = in_docs.join(asked, "key").select("key", "item", "n_windows", "item_windows", pairs.alias("pairs"))
+    matched = F.filter("pairs", lambda p: p["matched"])
+    consistent = held.where(F.size(F.array_distinct(matched)) == F.size(F.array_distinct(F.transform(matched, lambda p: p["asked"]))))
     changed = F.size(F.filter("pairs", lambda p: ~p["asked"].eqNullSafe(p["found"])))
     return consistent.groupBy("key", "item").agg(
         F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"),

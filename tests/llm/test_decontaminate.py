@@ -61,6 +61,21 @@ def test_first_word_is_alike_where_a_question_has_other_values(spark, docs_of):
     assert set(found(docs_of((5, "see below Who sold the 90 old boats of the northern harbour to a trader")), items)) == {(5, 1)}
 
 
+def test_one_changed_value_does_not_hide_a_passage(docs_of, items):
+    long = QUESTION + " and how many coins of 2 euros will be left in the small red purse when the day at the market is over"
+    once = long.replace("of 5 kg does Anna Berg", "of 5 kg does Olga Berg")
+    got = found(docs_of((1, CLEAN + " " + once)), items.sparkSession.createDataFrame([(1, long)], "item_id bigint, text string"))
+    assert set(got) == {(1, 1)}
+
+
+def test_values_may_become_equal_and_carry_other_punctuation(docs_of, items):
+    docs = [
+        (1, QUESTION.replace("12", "8").replace("40", "8").replace("Anna Berg", "Lena Ode")),
+        (2, QUESTION.replace("12", "9").replace("Anna Berg need", "'Lena Ode', need").replace("Anna Berg", "Lena Ode")),
+    ]
+    assert set(found(docs_of(*docs), items)) == {(1, 1), (2, 1)}
+
+
 def test_template_tokens_stand_for_words_one_for_one(docs_of):
     (row,) = d.tokens(docs_of((1, "He paid  $3.50 for 20kg,\nthen Mary-Ann O’Neil left. Then 5 % <b> rest 1,000.5!")), "doc_id", "text").collect()
     assert len(row["words"]) == len(row["tokens"])
