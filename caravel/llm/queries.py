@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm import bpe, decontaminate, language, licenses, lines, quality, simhash, suffixes, vectors, warc
+from caravel.llm import bpe, centroids, decontaminate, language, licenses, lines, periods, pieces, quality, simhash, suffixes, vectors, warc
 from caravel.llm.frames import table
 
 
@@ -89,6 +89,62 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """Columns doc_id and text: in every tenth document, by the hash of its id, the words from some place on repeat with some period.
+
+    With h = crc32(doc_id) and g = floor(h / 10), word i >= a becomes word a + (i - a) % p, where a = g % n and
+    p = 1 + floor((n - a) / (3 + g % 8)). Texts without words and rows without an id stay as they are.
+    """
+    blanks = r"[\x20\x09-\x0D]+"
+    bare = F.trim("text", F.lit(periods.BLANKS.decode()))
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", hashed.alias("h"), bare.alias("bare")).selectExpr(
+        "doc_id", "text", "h div 10 AS g", f"if(h % 10 = 0 AND bare <> '', split(bare, r'{blanks}'), null) AS words"
+    )
+    rows = rows.selectExpr("*", "size(words) AS n", "cast(g % size(words) AS int) AS a").selectExpr(
+        "*", "cast(1 + (n - a) div (3 + g % 8) AS int) AS p"
+    )
+    repeated = "array_join(transform(sequence(0, n - 1), i -> words[if(i < a, i, a + (i - a) % p)]), ' ')"
+    return rows.selectExpr("doc_id", f"if(words IS NULL, text, {repeated}) AS text")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest periodic run of words in every whole document, and digests of all runs and of what is left without repeats."""
+    found = periods.find_runs(planted_repeats(table(spark, sf_dir, "documents")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids, of the text decoded from them and of the byte spans of all pieces, for every whole document."""
+    coded = pieces.encode(table(spark, sf_dir, "documents"))
+
+    def listed(name: str) -> Column:
+        return F.array_join(F.col(name).cast("array<string>"), ",")
+
+    spans = F.concat(listed("starts"), F.lit(";"), listed("ends"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2(listed("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(spans, 256).alias("spans_sha256"),
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 components after three rounds of exact integer means."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -100,8 +156,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_embeddings": op10_embeddings,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_piece_bpe": op12_piece_bpe,
+    "op13_centroids": op13_centroids,
 }
 
+
 def decontamination_sql() -> str:
     """Templates, windows and slot checks as the operator has them, in patterns that need no look-around."""
     units = "|".join(sorted((u.replace("$", r"\$") for u in decontaminate.UNITS), key=len, reverse=True))
@@ -159,7 +219,41 @@ def decontamination_sql() -> str:
     """
 
 
+def centroids_sql() -> str:
+    """Rounds written out one after the other; floor division of integers as SQL has it only towards zero."""
+    k, size, rounds = centroids.K, centroids.SIZE, centroids.ROUNDS
+    steps = [
+        f"""
+        WITH kept AS (
+            SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor({centroids.SCALE} * x) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+        drawn AS (SELECT v, row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id) NULLS LAST, v) - 1 AS cluster FROM kept),
+        c0 AS (SELECT cluster, v AS c FROM drawn WHERE cluster < {k}),
+        numbered AS (SELECT row_number() OVER () AS row, vec_id, v FROM kept)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        d{i} AS (
+            SELECT row, vec_id, v, cluster,
+                   list_sum(list_transform(range(1, {size + 1}), lambda j: (v[j] - c[j]) * (v[j] - c[j]))) AS distance
+            FROM numbered, c{i}),
+        a{i} AS (SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+        s{i} AS (
+            SELECT cluster, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, range(1, {size + 1}) r(j) GROUP BY cluster, j),
+        m{i} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM s{i} GROUP BY cluster),
+        c{i + 1} AS (SELECT cluster, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (cluster))""")
+    return ",".join(steps) + f"""
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+               CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (cluster)
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op13_centroids": centroids_sql(),
     # Five hex digits make four base-32 digits.
     "op3_warc": """
         WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
