@@ -11,62 +11,89 @@ from llm.conftest import words
 A, B, C, D, E = (f"{name} is a line of its own with enough words {name * 3}" for name in "ABCDE")
 
 
-def longest_run(a, b):
-    """Length of the longest increasing run of lines that are unique on both sides, by the quadratic rule."""
-    pairs = [(a.index(x), b.index(x)) for x in a if a.count(x) == 1 and b.count(x) == 1]
-    best = [1] * len(pairs)
-    for n in range(len(pairs)):
-        best[n] = 1 + max((best[m] for m in range(n) if pairs[m][1] < pairs[n][1]), default=0)
-    return max(best, default=0), pairs
-
-
-@given(st.lists(st.integers(0, 9), max_size=14), st.lists(st.integers(0, 9), max_size=14))
-@settings(max_examples=300, deadline=None)
-def test_patience(a, b):
-    blocks = lines.patience(a, b)
-    for i, j, n in blocks:
-        assert n > 0 and a[i : i + n] == b[j : j + n]
-    for (i, j, n), (k, m, _) in zip(blocks, blocks[1:]):
-        assert i + n <= k and j + n <= m and (i + n, j + n) != (k, m)
-    length, pairs = longest_run(a, b)
-    run = lines.anchors(a, b, 0, len(a), 0, len(b))
-    assert len(run) == length and set(run) <= set(pairs)
-    assert run == sorted(run) and [j for _, j in run] == sorted(j for _, j in run)
-    if a and b and a[0] != b[0] and a[-1] != b[-1]:  # the anchors are then part of the alignment
-        assert set(run) <= {(i + k, j + k) for i, j, n in blocks for k in range(n)}
-    if a == b:
-        assert blocks == ([(0, 0, len(a))] if a else [])
-
-
-def test_anchors_keep_order_and_gaps_are_aligned_again():
-    assert lines.patience([1, 2, 3, 4, 9, 9, 5], [0, 2, 3, 9, 9, 5, 7]) == [(1, 1, 2), (4, 3, 3)]
-    assert lines.patience([1, 2], [2, 1]) in ([(0, 1, 1)], [(1, 0, 1)])
+def plain_keys(ls, least=lines.LEAST_CHARS):
+    """All shortest blocks of enough characters with the number of their occurrence, by trying every block."""
+    size, count, out = [len(x) for x in ls], {}, {}
+    for i in range(len(ls)):
+        for j in range(i + 1, len(ls) + 1):
+            long = sum(size[i:j]) >= least
+            if long and ((ls[i] and sum(size[i : j - 1]) < least) or (ls[j - 1] and sum(size[i + 1 : j]) < least)):
+                block = tuple(ls[i:j])
+                count[block] = count.get(block, 0) + 1
+                out[block, count[block]] = (i, j)
+            if long and sum(size[i + 1 : j]) >= least:
+                break
+    return out
 
 
 def brute(rows, least=lines.LEAST_CHARS):
-    """First holders by a plain dictionary; pairs aligned one after another."""
-    told = [(d, [x.strip(lines.BLANKS) for x in t.split("\n")]) for d, t in rows if d is not None and t is not None]
+    """Every document against every earlier one, aligned again until no common block is left."""
+    told = [(d, plain_keys([x.strip(lines.BLANKS) for x in t.split("\n")], least)) for d, t in rows if d is not None and t is not None]
     first = {}
-    for d, ls in told:
-        for x in filter(None, ls):
-            first[x] = min(d, first.get(x, d))
+    for d, keys in told:
+        for k in keys:
+            first[k] = min(d, first.get(k, d))
     out = []
     for d, t in rows:
         gone, by = set(), set()
-        mine = [x.strip(lines.BLANKS) for x in (t or "").split("\n")]
         if d is not None and t is not None:
-            for e in {first[x] for x in filter(None, mine)} - {d}:
-                for f, theirs in told:
-                    if f == e:
-                        for _, j, n in lines.patience(theirs, mine):
-                            if sum(map(len, mine[j : j + n])) >= least:
-                                gone |= set(range(j, j + n))
-                                by.add(e)
+            mine = plain_keys([x.strip(lines.BLANKS) for x in t.split("\n")], least)
+            for e, theirs in told:
+                if e < d:
+                    for k in mine.keys() & theirs.keys():
+                        gone |= set(range(*mine[k]))
+                        by.add(first[k])
         kept = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t
         out.append((str(d), 0 if t is None else t.count("\n") + 1, len(gone), tuple(sorted(by)), kept))
     return sorted(out, key=str)
 
 
+@given(st.lists(st.integers(0, 30), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_shortest_blocks(sizes):
+    total = lambda i, j: sum(sizes[i:j])
+    places = [(i, j) for i in range(len(sizes)) for j in range(i + 1, len(sizes) + 1) if total(i, j) >= 25]
+    want = {(i, j) for i, j in places if (sizes[i] and total(i, j - 1) < 25) or (sizes[j - 1] and total(i + 1, j) < 25)}
+    got = lines.runs(sizes, 25)
+    assert set(got) == want and len(got) == len(want) <= 2 * len(sizes)
+    for i, j in places:  # every line that counts of any long enough block lies in a run inside it
+        inside = {n for a, b in want if i <= a and b <= j for n in range(a, b)}
+        assert {n for n in range(i, j) if sizes[n]} <= inside
+
+
+@given(st.permutations(range(9)), st.integers(0, 9))
+@settings(max_examples=200, deadline=None)
+def test_alignment_is_the_longest_sequence_in_order(order, n):
+    shared = [(place, 2 * i, 2 * i + 1) for i, place in enumerate(order[:n])]
+    inside, outside = lines.aligned(shared)
+    assert sorted(inside + outside) == [(a, b) for _, a, b in sorted(shared, key=lambda r: r[1])]
+    kept = [place for place, a, b in shared if (a, b) in inside]
+    best = [0] * n
+    for i in range(n):
+        best[i] = 1 + max((best[j] for j in range(i) if order[j] < order[i]), default=0)
+    assert kept == sorted(kept) and len(kept) == max(best, default=0)
+
+
+def test_a_line_that_stands_twice_in_its_first_holder(docs_of):
+    got = {r[0]: r for r in found(docs_of((1, f"{A}\nx\n{A}"), (2, f"{A}\ny"), (3, f"z\n{A}")))}
+    assert [got[d][2:] for d in "123"] == [(0, (), f"{A}\nx\n{A}"), (1, (1,), "y"), (1, (1,), "z")]
+
+
+def test_blocks_in_another_order(docs_of):
+    frame = docs_of((1, f"{B}\n{A}"), (2, f"{A}\n{B}"), (3, f"{A}\n{B}\nown"))
+    got = {r[0]: r for r in found(frame)}
+    assert (got["2"][2], got["3"][2], got["3"][4]) == (2, 2, "own")
+    assert sorted((r["doc"], r["moved"]) for r in lines.repeated_lines(frame).collect()) == [(2, 1), (3, 1)]
+
+
+def test_short_lines_go_where_together_they_are_long_enough(docs_of):
+    verse = "rose is red\nviolet blue\nsugar is sweet\nso are you"
+    rows = [(1, "rose is red"), (2, "violet blue\nother"), (3, "one more\n" + verse), (4, verse + "\nthe end"), (5, "violet blue\nrose is red\nxx")]
+    got = {r[0]: r for r in found(docs_of(*rows))}
+    assert got["4"][2:] == (4, (3,), "the end") and got["5"][2] == 0
+    assert found(docs_of(*rows)) == brute(rows)
+
+
 def found(frame):
     rows = lines.deduplicate(frame).select("doc_id", "dedup.*").collect()
     return sorted(((str(r["doc_id"]), r["n_lines"], r["n_removed"], tuple(sorted(r["partners"])), r["text"]) for r in rows), key=str)
@@ -90,8 +117,8 @@ def test_blocks_go_from_the_later_document_only(docs_of):
 
 def test_a_line_that_all_share_makes_one_pair_each(docs_of):
     rows = [(i, f"{A}\nown line number {i} that stays as it is") for i in range(300)]
-    told = lines.sequences(docs_of(*rows), "doc_id", "text")
-    assert lines.partners(told).count() == 299
+    told = lines.repeated_lines(docs_of(*rows)).collect()
+    assert len(told) == 299 and all(r["partners"] == [0] for r in told)
     assert found(docs_of(*rows)) == brute(rows)
 
 
