@@ -39,6 +39,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The frame written with a number for every row, which stays the same however often it is read, and that column's name."""
+    name = unused(df, "_row")
+    return written(df.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about ``most`` bytes of the given column, one row at least."""
     for batch in batches:

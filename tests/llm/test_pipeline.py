@@ -68,3 +68,19 @@ def test_each_stage_takes_odd_rows_and_empty_tables(spark, docs_of, stage):
         assert all(r["n_chars"] is None or r["n_chars"] == len(r["text"]) for r in kept)
     if name == "SimHash near-dedup":
         assert sum(r["text"] in (None, "") for r in kept) == 1
+        assert sorted(r["text"] for r in kept if r["doc_id"] == 5) == ["the same id with other words that are in english too"]
+
+
+def test_near_dedup_judges_rows_not_ids(spark, docs_of):
+    near = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    rows = [(7, "one text of its own"), (7, "quite another text under that id"), (7, "one text of its own"), (None, "one text of its own"), (None, "a third"), (3, "a third")]
+    kept = [(r["doc_id"], r["text"]) for r in near(spark, docs_of(*rows, clashing=True), SF).collect()]
+    assert sorted(kept, key=str) == [(3, "a third"), (7, "one text of its own"), (7, "quite another text under that id")]
+
+
+def test_decontamination_judges_rows_not_ids(spark, docs_of, small):
+    clean = dict(corpus_pipeline.STAGES)["benchmark decontamination"]
+    item = small("benchmark").orderBy("item_id").first()["text"]
+    rows = [(7, "a text that has nothing to do with it"), (7, "see " + item), (None, item), (None, "a text that has nothing to do with it")]
+    kept = [(r["doc_id"], r["text"]) for r in clean(spark, docs_of(*rows, clashing=True), SF).collect()]
+    assert sorted(kept, key=str) == [(7, rows[0][1]), (None, rows[0][1])]
