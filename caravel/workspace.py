@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -47,18 +46,9 @@ def cluster_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="caravel-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the warehouse where that is not set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
 
 def _file_system(spark: SparkSession, path: str):

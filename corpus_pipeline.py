@@ -2,7 +2,7 @@
 
 A stage takes (spark, docs, sf_dir) and returns a frame; its result is written as Parquet in the shared
 folder and read again before the next stage starts, so a lost executor never costs more than one stage.
-All but the last return the columns of ``documents``. Rows without an id stay unless their own text decides.
+All but the last return the columns of ``documents``. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -10,13 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm import decontaminate, language, lines, shingles
-from caravel.llm.frames import table, unused, written
+from caravel.llm import decontaminate, language, lines, simhash
+from caravel.llm.frames import numbered, table, unused, written
 from caravel.llm.queries import token_digests
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the language models reject; without labelled text there are no models, and all stay."""
+    """Drop documents that the language models reject; without labelled text there are no models, and all stay.
+
+    Null, empty and letterless texts are rejected. Rows are judged by their text alone, so repeated rows and shared ids make no
+    difference, and long texts are read as a whole.
+    """
     model = language.train(docs)
     if not model.languages:
         return docs
@@ -25,7 +29,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete blocks of lines that an earlier document has; documents left with nothing of what they had go."""
+    """Delete blocks of lines that an earlier document has; documents left with nothing of what they had go.
+
+    Null and empty texts and rows without an id stay as they are; rows that share an id lose what smaller ids have.
+    """
     name = unused(docs, "_dedup")
     text, cut = F.col(f"{name}.text"), F.col(f"{name}.n_removed") > 0
     emptied = cut & (F.trim(text, F.lit(lines.BLANKS + "\n")) == "")
@@ -35,20 +42,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at a similarity of 0.8 or more the one with the smallest id stays."""
-    found = shingles.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of each group of documents whose SimHash fingerprints link, the one with the smallest id stays.
+
+    Shingle length and bit distance are those of the operator's contract, its defaults. Rows are judged one by one: of repeated
+    rows one stays, rows that share an id stay apart where their texts are, and a row without an id stays only if no
+    other of its group has one. Texts without words, null and empty ones too, are one group.
+    """
+    rows, number = numbered(docs, "near-dedup")
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.col(number).alias("number"))
+    found = simhash.near_duplicates(rows.select(row.alias("row"), "text"), key="row")
+    gone = found.where("row <> component_id").select(F.col("row.number").alias(number))
+    return rows.join(gone, number, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    gone = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Drop documents that hold a benchmark item; each row is judged by its own text, whatever its id."""
+    rows, number = numbered(docs, "decontamination")
+    gone = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), key=number).select(number).distinct()
+    return rows.join(gone, number, "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of the kept documents, as digests and counts."""
+    """Byte-level BPE ids of the kept documents, as digests and counts; a null text has no ids, repeated rows are encoded one by one."""
     return token_digests(docs)
 
 
