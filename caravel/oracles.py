@@ -378,6 +378,13 @@ ORACLES: dict[str, str] = {
            SELECT order_id, 'total_amount', 'n/a', 'not a decimal(12,2)'
            FROM raw_orders WHERE total_amount > 450000""",
     ),
+    "csv_line_breaks": _with(
+        ["raw_orders"],
+        """SELECT order_id,
+                  CASE WHEN digit IN ('0', '3', '6') THEN customer_id || chr(10) || '"of", the' || chr(10) || chr(10) || 'north' ELSE customer_id END AS customer_id,
+                  order_date, CASE WHEN digit IN ('3', '7') THEN '"' || status || '"' || chr(10) ELSE status END AS status, total_amount
+           FROM (SELECT *, coalesce(right(trim(order_id), 1), '0') AS digit FROM raw_orders)""",
+    ),
     "json_scan": _with(
         ["raw_products", "raw_events"],
         """SELECT 'array' AS layout, CAST(count(*) AS BIGINT) AS documents, CAST(count(DISTINCT product_id) AS BIGINT) AS keys FROM raw_products

@@ -161,6 +161,18 @@ def csv_validate(shop: Shop) -> DataFrame:
     return formats.csv_faults(formats.read_csv_text(shop.spark, path, "orders", keep_broken=True), "orders")
 
 
+def csv_line_breaks(shop: Shop) -> DataFrame:
+    """Orders whose customer and status hold line breaks, quotes and commas, landed as delimited text and read by byte ranges."""
+    lake = shop.lake("csv-line-breaks")
+    digit = F.coalesce(F.right(F.trim("order_id"), F.lit(1)), F.lit("0"))
+    broken = shop.raw_orders.withColumns({
+        "customer_id": F.when(digit.isin("0", "3", "6"), F.concat("customer_id", F.lit('\n"of", the\n\nnorth'))).otherwise(F.col("customer_id")),
+        "status": F.when(digit.isin("3", "7"), F.concat(F.lit('"'), "status", F.lit('"\n'))).otherwise(F.col("status")),
+    })
+    path = lake.landing(landing.put_csv(lake, broken, "j1/orders.csv"))
+    return formats.typed_csv(formats.read_csv_text(shop.spark, path, "orders", multi_line=True), "orders")
+
+
 def json_scan(shop: Shop) -> DataFrame:
     """Documents and distinct keys found in the array files and in the line-delimited files."""
     lake = shop.lake("json-scan")
@@ -486,6 +498,7 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     # files and loads
     "csv_scan": csv_scan,
     "csv_validate": csv_validate,
+    "csv_line_breaks": csv_line_breaks,
     "json_scan": json_scan,
     "ingest_orders": _loaded("orders"),
     "ingest_order_items": _loaded("order_items"),

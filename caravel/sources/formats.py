@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caravel import schemas
 from caravel.functions.text import blank_to_null, strict_cast, tolerant_cast
+from caravel.sources import ranges
 
 # The delimited format (header skipped, optional quotes, doubled quote inside quotes).
 CSV_FORMAT = {
@@ -25,10 +26,6 @@ CSV_FORMAT = {
 BROKEN = "_broken_line"
 
 
-# The longest string of a JVM.
-MOST_STRING_BYTES = (1 << 31) - 16
-
-
 def read_csv_text(
     spark: SparkSession, path: str, table: str, multi_line: bool = False, keep_broken: bool = False
 ) -> DataFrame:
@@ -39,14 +36,19 @@ def read_csv_text(
 
     A line break inside quotes leaves lines with an odd number of quotes, the last of them too short. They
     stop the job; ``keep_broken`` shows them in a column of their own instead, and ``multi_line`` reads
-    such records whole, at the price of one task per file.
+    such records whole: byte ranges in parallel, at the price of moving the text once.
     """
     columns = schemas.names(schemas.RAW[table])
+    if multi_line:
+        text = schemas.ddl(dict.fromkeys(columns, "string"))
+        options = {k: v for k, v in CSV_FORMAT.items() if k not in ("header", "enforceSchema")}
+        parsed = ranges.csv_records(spark, path).select(F.from_csv("record", text, options).alias("r"))
+        return parsed.select(*[blank_to_null(F.col(f"r.{c}")).alias(c) for c in columns], *([F.lit(None).cast("string").alias(BROKEN)] if keep_broken else []))
     # Only a line that is parsed whole can be found broken.
-    options = CSV_FORMAT | {"columnNameOfCorruptRecord": BROKEN, "columnPruning": "false", "multiLine": str(multi_line).lower()}
+    options = CSV_FORMAT | {"columnNameOfCorruptRecord": BROKEN, "columnPruning": "false"}
     text = spark.read.options(**options).schema(schemas.ddl(dict.fromkeys([*columns, BROKEN], "string"))).csv(path)
     odd = F.length(F.col(BROKEN)) - F.length(F.replace(F.col(BROKEN), F.lit('"'), F.lit("")))
-    line = F.when(odd % 2 == 1, F.col(BROKEN)) if not multi_line else F.lit(None).cast("string")
+    line = F.when(odd % 2 == 1, F.col(BROKEN))
     fields = [blank_to_null(F.col(c)).alias(c) for c in columns]
     if keep_broken:
         return text.select(*fields, line.alias(BROKEN))
@@ -87,24 +89,13 @@ def read_json_lines(spark: SparkSession, path: str, **options: str) -> DataFrame
     return spark.read.options(singleVariantColumn="data", mode="FAILFAST", **options).json(path)
 
 
-def _refuse_large_files(spark: SparkSession, path: str) -> None:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    large = found.where(F.col("length") > MOST_STRING_BYTES).select("path", "length").first()
-    if large is not None:
-        raise ValueError(f"{large['path']} has {large['length']} bytes: a JSON array file of more than 2 GB must land as several files")
-
-
 def read_json_array(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Files that each hold one JSON array: one row per element, as VARIANT ``data``.
 
-    Such a file cannot be split, so each is one task; a large catalogue lands as many files.
-    Elements are separated while parsing the text, so only one element has to fit a VARIANT.
-    A file is one string while it is parsed: one above the most that a string can hold is refused
-    before its task starts.
+    A file of any size and layout is read by byte ranges in parallel; only one element has to fit a VARIANT and a string.
+    A file that is no array stops the job.
     """
-    _refuse_large_files(spark, path)
-    whole = spark.read.options(**options).text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", "array<variant>", {"mode": "FAILFAST"})).alias("data"))
+    return ranges.json_elements(spark, path, **options)
 
 
 def read_json_external(spark: SparkSession, folders: str, name_pattern: str = "*.json") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -48,7 +49,7 @@ def cluster_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or the warehouse where that is not set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return named.rstrip("/")
+    return re.sub("^file:/(?!/)", "file:///", named.rstrip("/"))
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -180,12 +180,3 @@ def test_a_line_break_inside_quotes_is_reported_never_loaded_wrong(lake, spark):
             formats.read_csv_text(spark, folder, "orders").collect()
         whole = formats.read_csv_text(spark, folder, "orders", multi_line=True).collect()
         assert [r.order_id for r in whole] == ["O0", "O1"] and "\n" in (whole[1].customer_id + whole[1].total_amount)
-
-
-def test_a_json_array_file_that_is_too_large_is_refused(lake, spark, monkeypatch):
-    landing.put_json_arrays(lake, spark.sql("""SELECT '{"product_id":"P1"}' AS value"""), "j1/products.json")
-    path = lake.landing("j1/products.json")
-    assert formats.read_json_array(spark, path).count() == 1
-    monkeypatch.setattr(formats, "MOST_STRING_BYTES", 5)
-    with pytest.raises(ValueError, match="several files"):
-        formats.read_json_array(spark, path)
