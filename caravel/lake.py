@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caravel import schemas
-from caravel.workspace import path_exists
+from caravel.workspace import names_in, path_exists
 
 
 def now() -> Column:
@@ -32,6 +32,15 @@ def error_text(error: BaseException) -> str:
     return f"{type(error).__name__}: {message}" if message else type(error).__name__
 
 
+@dataclass(frozen=True)
+class LogPointer:
+    """What readers of a merged log follow: the number of the merge, its folders, and the log's files that are in them."""
+
+    number: int
+    folders: list[str]
+    files: list[str]
+
+
 @dataclass(frozen=True)
 class Lake:
     """RAW, STAGING and MARTS as Parquet folders below ``root``."""
@@ -70,9 +79,32 @@ class Lake:
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet(path)
 
+    def merged_log(self, name: str, *more: str) -> str:
+        return "/".join([f"{self.root}/logs_merged/{name}", *more])
+
+    def log_pointer(self, name: str) -> LogPointer:
+        """The newest published merge of a log; a merge that did not finish is not seen."""
+        folder = self.merged_log(name, "pointers")
+        for number in reversed(names_in(self.spark, folder)):
+            if path_exists(self.spark, f"{folder}/{number}/_SUCCESS"):
+                rows = self.spark.read.schema("kind string, name string").parquet(f"{folder}/{number}").collect()
+                named = {kind: [r["name"] for r in rows if r["kind"] == kind] for kind in ("folder", "file")}
+                return LogPointer(int(number), named["folder"], named["file"])
+        return LogPointer(0, [], [])
+
+    def log_tail(self, name: str, pointer: LogPointer) -> DataFrame:
+        """Rows of a log that no merge holds yet, with the name of their file."""
+        rows = self.spark.read.schema(schemas.ddl(schemas.LOGS[name])).option("ignoreMissingFiles", True).parquet(self.log_path(name))
+        told = rows.select("*", F.col("_metadata.file_name").alias("_file"))
+        return told.where(~F.col("_file").isin(pointer.files)) if pointer.files else told
+
     def log(self, name: str) -> DataFrame:
-        """A log: one short row per load, run, batch or refresh."""
-        return self.read_or_empty(self.log_path(name), schemas.ddl(schemas.LOGS[name]))
+        """A log: one short row per load, run, batch or refresh, from the merges that the pointer names and the files since then."""
+        ddl, pointer = schemas.ddl(schemas.LOGS[name]), self.log_pointer(name)
+        if not pointer.number:
+            return self.read_or_empty(self.log_path(name), ddl)
+        merged = self.spark.read.schema(ddl).parquet(*[self.merged_log(name, f) for f in pointer.folders])
+        return merged.unionByName(self.log_tail(name, pointer).drop("_file"))
 
     def append_log(self, name: str, **values: Any) -> None:
         """Add one row to a log; columns not given stay NULL."""
@@ -85,21 +117,36 @@ class Lake:
         newest = self.log("batches").where(F.col("table_name") == table).agg(F.max("src_batch"))
         return newest.first()[0]
 
+    def finished_batches(self, table: str) -> Column:
+        """Condition on the folder column of a fed table: the batch is logged, so its rows are whole.
+
+        Batches of a generation are logged one after the other, so a bound for each generation, one per start of the
+        feed, names them all; what a failed or running batch wrote lies beyond it.
+        """
+        named = self.log("batches").where((F.col("table_name") == table) & F.col("src_batch").isNotNull())
+        bounds = named.groupBy("generation").agg(F.min("src_batch"), F.max("src_batch")).collect()
+        known = F.lit(False)
+        for _, low, high in bounds:
+            known = known | F.col("_src_batch").between(low, high)
+        return known
+
     def staged(self, table: str, first: date | None = None, last: date | None = None) -> DataFrame:
         """A STAGING table without its load stamp and folder columns.
 
         Orders and events lie in month folders: with a first or last day only the months of the period are
-        listed and read, and the rows are cut to the period.
+        listed and read, and the rows are cut to the period. Only batches that the log names are read.
         """
         columns, path = schemas.STAGING[table], self.staging(table)
         if table in schemas.REFERENCE:
             name = self.current_load(table)
             path = f"{path}/_load={name}"
+            return self.read_or_empty(path, schemas.ddl(columns)).select(*columns)
         layout = schemas.BY_MONTH.get(table)
+        folders = {"_src_batch": "string"} | ({layout[0]: "string"} if layout else {})
+        rows = self.read_or_empty(path, schemas.ddl(columns, folders)).where(self.finished_batches(table))
         if layout is None:
-            return self.read_or_empty(path, schemas.ddl(columns)).select(*columns)
+            return rows.select(*columns)
         folder, day = layout
-        rows = self.read_or_empty(path, schemas.ddl(columns, {folder: "string"}))
         if first is not None:
             rows = rows.where((F.col(folder) >= f"{first:%Y-%m}") & (F.col(day) >= F.lit(first)))
         if last is not None:

@@ -396,6 +396,7 @@ ORACLES: dict[str, str] = {
     "ingest_products": _ATTRIBUTES,
     "ingest_idempotent": _RAW_ORDERS,
     "load_history": _load_history(),
+    "load_history_merged": _load_history(),
     "landing_files": _with(
         ["raw_orders", "raw_items", "raw_customers", "raw_products", "raw_events"],
         " UNION ALL ".join(
@@ -524,6 +525,7 @@ ORACLES: dict[str, str] = {
         FROM ({_latest("o.order_date IS NOT NULL")})""",
     # change feeds
     "inc_orders": _STG_ORDERS,
+    "inc_orders_merged": _STG_ORDERS,
     "inc_order_items": _STG_ITEMS,
     "inc_web_events": _STG_EVENTS,
     "backfill_equals_incremental": _with(

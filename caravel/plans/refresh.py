@@ -23,7 +23,7 @@ MONTH = "order_month"
 def _staged_orders(lake: Lake) -> DataFrame:
     """STAGING orders with the folder columns: month and source batch."""
     columns = schemas.ddl(schemas.STAGING["orders"], {MONTH: "string", "_src_batch": "string"})
-    return lake.read_or_empty(lake.staging("orders"), columns)
+    return lake.read_or_empty(lake.staging("orders"), columns).where(lake.finished_batches("orders"))
 
 
 def _last(lake: Lake, mart: str) -> tuple[int, str]:

@@ -21,7 +21,7 @@ from caravel.operators import profile
 from caravel.operators.joins import first_keys, without_match
 from caravel.plans import catalogue, marts, policy, quality, refresh, report, staging
 from caravel.plans.report import ReportFilters
-from caravel.sources import formats, landing, loads, versions
+from caravel.sources import formats, landing, loads, merging, versions
 from caravel.streaming import feeds, runs
 from caravel.workspace import scratch_folder
 
@@ -232,6 +232,15 @@ def load_history(shop: Shop) -> DataFrame:
     return loads.history(lake, since=lake.log("commits").agg(F.min("committed_at")).first()[0]).drop("committed_at")
 
 
+def load_history_merged(shop: Shop) -> DataFrame:
+    """The load history from merged logs: merged after each delivery, what feeds have not seen still apart."""
+    lake = shop.lake("load-history-merged")
+    for batch in ("j1", "j2"):
+        _deliver(shop, lake, batch)
+        merging.merge_logs(lake, fan=2)
+    return loads.history(lake, since=lake.log("commits").agg(F.min("committed_at")).first()[0]).drop("committed_at")
+
+
 def landing_files(shop: Shop) -> DataFrame:
     lake = shop.lake("landing-files")
     for table in FILE_KINDS:
@@ -336,6 +345,17 @@ def pending_changes(shop: Shop) -> DataFrame:
     return feeds.pending_changes(lake)
 
 
+def inc_orders_merged(shop: Shop) -> DataFrame:
+    """STAGING orders from two deliveries, the logs merged after each run of the feed."""
+    lake = shop.lake("inc-orders-merged")
+    for batch in ("j1", "j2"):
+        _append_batch(shop, lake, "orders", batch)
+        feeds.consume(lake, "orders")
+        merging.merge_logs(lake, fan=2)
+    feeds.consume(lake, "orders")
+    return lake.staged("orders")
+
+
 def _two_runs(shop: Shop, label: str, between: Callable[[Lake], object] | None = None) -> Lake:
     """Both deliveries, each followed by an ordered run."""
     lake = shop.lake(label)
@@ -506,6 +526,7 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "ingest_products": ingest_products,
     "ingest_idempotent": ingest_idempotent,
     "load_history": load_history,
+    "load_history_merged": load_history_merged,
     "reload_after_replace": reload_after_replace,
     "audit_files": audit_files,
     "landing_files": landing_files,
@@ -575,6 +596,7 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "latest_orders_display": lambda s: report.display_orders(report.latest_orders(s.orders, s.customers, EVERYTHING)),
     "latest_orders": lambda s: report.latest_orders(s.orders, s.customers, EVERYTHING),
     # change feeds
+    "inc_orders_merged": inc_orders_merged,
     "inc_orders": _incremental("orders"),
     "inc_order_items": _incremental("order_items"),
     "inc_web_events": _incremental("web_events"),

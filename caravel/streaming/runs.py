@@ -59,7 +59,7 @@ def run_loads(lake: Lake, max_files: int | None = None) -> int:
 
     A load without new rows is skipped, and what depends on it still looks at its own input.  After
     a failure the loads that depend on the failed one are cancelled, the others still run, and the
-    first error is raised at the end.
+    first error is raised at the end. Logs that have gathered many files are merged after a run without errors.
     """
     run_id = lake.log("runs").agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0] + 1
     errors: list[Exception] = []
@@ -84,6 +84,9 @@ def run_loads(lake: Lake, max_files: int | None = None) -> int:
             )
     if errors:
         raise errors[0]
+    from caravel.sources import merging  # it looks at the feeds, too
+
+    merging.merge_logs(lake, merging.FAN)
     return run_id
 
 

@@ -63,6 +63,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(where)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none where there is no such folder."""
+    file_system, where = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in file_system.listStatus(where)) if file_system.exists(where) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; nothing happens where there is none."""
+    file_system, where = _file_system(spark, path)
+    file_system.delete(where, True)
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared folder, removed when the application ends."""
     path = f"{shared_folder(spark)}/caravel/{label}-{uuid.uuid4().hex[:12]}"

@@ -81,6 +81,8 @@ def test_a_batch_written_twice_counts_once(lake, rows):
     frame = staging.stamped(staging.orders(rows(ORDERS, raw_order("O1"), raw_order("O2", None))))
     path = f"{lake.staging('orders')}/_src_batch={feeds.batch_name(0, 0)}"
     assert [feeds.write_batch("orders", frame, path) for _ in range(2)] == [2, 2]
+    assert ids(lake) == []  # not logged yet
+    lake.append_log("batches", table_name="orders", src_batch=feeds.batch_name(0, 0), generation=0)
     assert ids(lake) == ["O1", "O2"]
 
 
