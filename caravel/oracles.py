@@ -551,7 +551,7 @@ ORACLES: dict[str, str] = {
     "refresh_history": """
         WITH arrived AS (SELECT count(*) FILTER (o_orderkey % 5 <> 2) > 0 AS first, count(*) FILTER (o_orderkey % 5 = 2) > 0 AS second FROM orders)
         SELECT mart, unnest([CASE WHEN first THEN 'FULL' ELSE 'NO_DATA' END,
-                             CASE WHEN NOT second THEN 'NO_DATA' WHEN mart = 'daily_revenue' THEN 'INCREMENTAL' ELSE 'FULL' END,
+                             CASE WHEN NOT second THEN 'NO_DATA' WHEN first THEN 'INCREMENTAL' ELSE 'FULL' END,
                              'NO_DATA']) AS action, 'SUCCEEDED' AS state
         FROM (VALUES ('daily_revenue'), ('top_products'), ('customer_cohorts')) AS m(mart), arrived""",
     # recovery

@@ -85,12 +85,17 @@ def customer_cohorts(customers: DataFrame, orders: DataFrame) -> DataFrame:
     and a customer with very many orders is no heavier than any other.  Every (customer, cohort,
     month) then occurs once and active customers are a plain count.  Cohort size counts customer rows.
     """
+    active = orders.groupBy("customer_id").agg(F.collect_set(month_start(F.col("order_date"))).alias("_months"))
+    return retention(customers, active)
+
+
+def retention(customers: DataFrame, active: DataFrame) -> DataFrame:
+    """Cohorts from customers and their months with orders (``_months``), every customer and month once."""
     signed = customers.where(F.col("signup_date").isNotNull()).select(
         "customer_id", month_start(F.col("signup_date")).alias("cohort_month")
     )
     size = signed.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
     member = signed.groupBy("customer_id").agg(F.collect_set("cohort_month").alias("_cohorts"))
-    active = orders.groupBy("customer_id").agg(F.collect_set(month_start(F.col("order_date"))).alias("_months"))
     both = member.join(active, "customer_id").select(F.explode("_cohorts").alias("cohort_month"), "_months")
     seen = both.select("cohort_month", F.explode("_months").alias("_month"))
     offset = months_apart(F.col("cohort_month"), F.col("_month")).alias("months_since_signup")

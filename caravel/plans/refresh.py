@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel import schemas
 from caravel.lake import Lake, now
-from caravel.plans import marts
+from caravel.plans import marts, states
 
 DAILY, TOP, COHORTS = "daily_revenue", "top_products", "customer_cohorts"
 MARTS = (DAILY, TOP, COHORTS)
@@ -26,6 +28,62 @@ def _staged_orders(lake: Lake) -> DataFrame:
     return lake.read_or_empty(lake.staging("orders"), columns).where(lake.finished_batches("orders"))
 
 
+def _staged_items(lake: Lake) -> DataFrame:
+    columns = schemas.ddl(schemas.STAGING["order_items"], {"_src_batch": "string"})
+    return lake.read_or_empty(lake.staging("order_items"), columns).where(lake.finished_batches("order_items"))
+
+
+def _batches(position: str) -> dict[str, str]:
+    """Newest batch of each table that a position names."""
+    return dict(part.split("=") for part in position.split(";") if part)
+
+
+def _between(rows: DataFrame, table: str, seen: dict[str, str], now: dict[str, str]) -> DataFrame:
+    """Rows of the batches after one position and up to another."""
+    return rows.where((F.col("_src_batch") > seen.get(table, "")) & (F.col("_src_batch") <= now.get(table, "")))
+
+
+def _state(lake: Lake, mart: str, number: int, part: str = "state") -> str:
+    return lake.mart(f"{mart}_{part}", number)
+
+
+def _keep(lake: Lake, mart: str, number: int, rows: DataFrame, part: str = "state") -> DataFrame:
+    """Write a state beside the mart of the same number, and read it."""
+    rows.write.mode("overwrite").parquet(_state(lake, mart, number, part))
+    return lake.spark.read.schema(rows.schema).parquet(_state(lake, mart, number, part))
+
+
+def _top_products(lake: Lake, number: int, seen: dict[str, str] | None, now: dict[str, str]) -> DataFrame:
+    """Top products from the sales by day; with a position seen, from the state before and the rows since."""
+    nothing: dict[str, str] = {}
+    orders, items = (_between(rows(lake), table, nothing, now) for rows, table in ((_staged_orders, "orders"), (_staged_items, "order_items")))
+    fresh = orders if seen is None else _between(orders, "orders", seen, now)
+    latest = fresh.agg(F.max("order_date").alias("day"))
+    if seen is not None:
+        latest = latest.unionByName(lake.spark.read.parquet(_state(lake, TOP, number - 1, "newest"))).agg(F.max("day").alias("day"))
+    newest = _keep(lake, TOP, number, latest, "newest").first()["day"]
+    first = None if newest is None else newest - timedelta(days=states.DAYS)
+    # The month bounds what is listed; without any dated order there is no window and nothing in it.
+    recent = orders.where(F.lit(False)) if first is None else orders.where((F.col(MONTH) >= f"{first:%Y-%m}") & (F.col("order_date") >= F.lit(first)))
+    if seen is None or first is None:
+        sales = states.day_sales(items, recent)
+    else:
+        before = lake.spark.read.parquet(_state(lake, TOP, number - 1))
+        old = recent.where(F.col("_src_batch") <= seen.get("orders", ""))
+        sales = states.updated_sales(
+            before, first, _between(recent, "orders", seen, now), items, old, _between(items, "order_items", seen, now)
+        )
+    return states.top_products(_keep(lake, TOP, number, sales))
+
+
+def _cohorts(lake: Lake, number: int, seen: dict[str, str] | None, now: dict[str, str]) -> DataFrame:
+    """Cohorts from the months of every customer; orders before the position seen are not read."""
+    active = states.active_months(_between(_staged_orders(lake), "orders", seen or {}, now))
+    if seen is not None:
+        active = states.merged_months(lake.spark.read.parquet(_state(lake, COHORTS, number - 1)), active)
+    return states.customer_cohorts(lake.staged("customers"), _keep(lake, COHORTS, number, active))
+
+
 def _last(lake: Lake, mart: str) -> tuple[int, str]:
     """Folder number of the mart's current contents and the input position they reflect."""
     done = lake.log("refreshes").where((F.col("mart") == mart) & (F.col("state") == "SUCCEEDED"))
@@ -40,12 +98,21 @@ def _position(lake: Lake, mart: str) -> str:
     return named.agg(F.array_join(F.array_sort(F.collect_list("p")), ";")).first()[0]
 
 
-def _define(lake: Lake, mart: str) -> DataFrame:
+BY_STATE = {TOP: _top_products, COHORTS: _cohorts}
+
+
+def _define(lake: Lake, mart: str, number: int, position: str) -> DataFrame:
+    """The mart from all rows up to a position."""
     if mart == DAILY:
         return marts.daily_revenue(lake.staged("orders"))
-    if mart == TOP:
-        return marts.top_products(lake.staged("order_items"), lake.staged("orders"))
-    return marts.customer_cohorts(lake.staged("customers"), lake.staged("orders"))
+    return BY_STATE[mart](lake, number, None, _batches(position))
+
+
+def _update(lake: Lake, mart: str, number: int, seen: str, position: str) -> DataFrame:
+    """The mart from what it was at a position and the rows since."""
+    if mart == DAILY:
+        return _daily_updated(lake, number - 1, seen.partition("=")[2])
+    return BY_STATE[mart](lake, number, _batches(seen), _batches(position))
 
 
 def _touched_days(lake: Lake, after: str) -> DataFrame:
@@ -90,10 +157,10 @@ def refresh(lake: Lake, mart: str, full: bool = False) -> str:
     if number and position == seen and not full:
         _record(lake, mart, number, NO_DATA, position, started)
         return NO_DATA
-    if number and mart == DAILY and not full:
-        action, rows = INCREMENTAL, _daily_updated(lake, number, seen.partition("=")[2])
+    if number and not full:
+        action, rows = INCREMENTAL, _update(lake, mart, number + 1, seen, position)
     else:
-        action, rows = FULL, _define(lake, mart)
+        action, rows = FULL, _define(lake, mart, number + 1, position)
     rows.write.mode("overwrite").parquet(lake.mart(mart, number + 1))
     _record(lake, mart, number + 1, action, position, started)
     return action

@@ -1,0 +1,90 @@
+"""Marts kept up from their states equal the marts computed from everything, after each delivery."""
+
+from __future__ import annotations
+
+import random
+from datetime import date, timedelta
+
+import pytest
+from conftest import values
+
+from caravel.lake import now
+from caravel.plans import marts, refresh, states
+from caravel.streaming import feeds
+
+ORDERS = "order_id string, customer_id string, order_ts timestamp_ntz, order_date date, status string, total_amount decimal(12,2), _loaded_at timestamp_ntz"
+ITEMS = (
+    "order_id string, product_id string, quantity bigint, unit_price decimal(12,2), line_amount decimal(14,2), "
+    "product_name string, category string, brand string, _loaded_at timestamp_ntz"
+)
+
+
+def order(key, customer, day):
+    return (key, customer, None if day is None else f"{day} 10:00:00", day, "paid", "1.00", None)
+
+
+def line(key, product, amount):
+    return (key, product, 2, amount, amount, f"name {product}", "c", "b", None)
+
+
+def arrive(lake, rows, table, epoch, *found):
+    """A batch as a feed leaves it: its rows, then its entry in the log."""
+    name = feeds.batch_name(0, epoch)
+    frame = rows(ORDERS if table == "orders" else ITEMS, *found)
+    feeds.write_batch(table, frame, f"{lake.staging(table)}/_src_batch={name}")
+    lake.append_log("batches", table_name=table, src_batch=name, written_at=now(), generation=0, through_version=epoch + 1)
+
+
+def customers(lake, rows):
+    frame = rows("customer_id string, signup_date date", *[(f"C{i}", f"2025-{1 + i % 12:02d}-03") for i in range(6)], ("C1", "2025-02-01"), ("C2", None))
+    frame = frame.selectExpr("customer_id", "'e' AS email", "'f' AS first_name", "'l' AS last_name", "'x' AS city", "signup_date")
+    frame.write.mode("overwrite").parquet(f"{lake.staging('customers')}/_load=v00000001")
+    lake.append_log("batches", table_name="customers", src_batch="v00000001", written_at=now(), through_version=1)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_states_follow_every_delivery(lake, rows, seed):
+    draw = random.Random(seed)
+    customers(lake, rows)
+    for turn in range(3):
+        start = date(2026, 1, 5) + timedelta(days=20 * turn)
+        day = lambda: draw.choice([None, *[str(start + timedelta(days=draw.randint(-25, 15))) for _ in range(9)]])
+        keys = [None, *[f"O{draw.randint(10 * turn - 10, 10 * turn + 14)}" for _ in range(14)]]  # repeated, late and still unknown orders
+        arrive(lake, rows, "orders", turn, *[order(k, draw.choice([None, "C0", "C1", "C3", "C9"]), day()) for k in keys])
+        if turn != 1:  # a delivery without lines
+            more = [None, *[f"O{draw.randint(10 * turn - 15, 10 * turn + 25)}" for _ in range(30)]]
+            arrive(lake, rows, "order_items", turn, *[line(k, draw.choice("pqrst"), f"{draw.randint(1, 9)}.50") for k in more])
+        how = [refresh.refresh(lake, mart) for mart in (refresh.TOP, refresh.COHORTS)]
+        assert how == [refresh.INCREMENTAL if turn else refresh.FULL] * 2
+        whole = marts.top_products(lake.staged("order_items"), lake.staged("orders"))
+        assert values(refresh.read(lake, refresh.TOP)) == values(whole) and refresh.read(lake, refresh.TOP).dtypes == whole.dtypes
+        whole = marts.customer_cohorts(lake.staged("customers"), lake.staged("orders"))
+        assert values(refresh.read(lake, refresh.COHORTS)) == values(whole) and refresh.read(lake, refresh.COHORTS).dtypes == whole.dtypes
+    assert refresh.refresh(lake, refresh.TOP) == refresh.NO_DATA
+
+
+def test_cohorts_read_new_orders_only(lake, rows):
+    customers(lake, rows)
+    arrive(lake, rows, "orders", 0, order("O1", "C1", "2026-01-05"))
+    refresh.refresh(lake, refresh.COHORTS)
+    arrive(lake, rows, "orders", 1, order("O2", "C1", "2026-02-05"))
+    fresh = refresh._between(refresh._staged_orders(lake), "orders", {"orders": feeds.batch_name(0, 0)}, {"orders": feeds.batch_name(0, 1)})
+    plan = states.active_months(fresh)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and feeds.batch_name(0, 0) in plan
+    assert [r.order_id for r in fresh.collect()] == ["O2"]
+
+
+def test_months_are_bits(rows):
+    found = states.active_months(rows(ORDERS, *[order("O", "C1", d) for d in ("2026-01-31", "2026-12-01", "2026-12-09", "2025-06-01", None)], order("O", None, "2026-01-01")))
+    assert values(found) == [("C1", 2025, 1 << 5), ("C1", 2026, 1 | 1 << 11)]
+
+
+def test_marts_without_any_order(lake, rows):
+    customers(lake, rows)
+    arrive(lake, rows, "orders", 0, order("O1", "C1", None))
+    assert [refresh.refresh(lake, m) for m in (refresh.TOP, refresh.COHORTS)] == [refresh.FULL] * 2
+    assert refresh.read(lake, refresh.TOP).isEmpty() and refresh.read(lake, refresh.COHORTS).isEmpty()
+    arrive(lake, rows, "order_items", 0, line("O1", "p", "1.00"), line("O2", "p", "1.00"))
+    arrive(lake, rows, "orders", 1, order("O2", "C1", "2026-01-01"))
+    assert [refresh.refresh(lake, m) for m in (refresh.TOP, refresh.COHORTS)] == [refresh.INCREMENTAL] * 2
+    assert refresh.read(lake, refresh.TOP).count() == 1
