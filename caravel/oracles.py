@@ -548,6 +548,20 @@ ORACLES: dict[str, str] = {
     "refresh_daily_incremental": _with(["per_day"], "SELECT * FROM per_day"),
     "refresh_marts": _with(["best_sellers"], "SELECT * FROM best_sellers"),
     "refresh_cohorts": _with(["retention"], "SELECT * FROM retention"),
+    "refresh_unique_customers": _with(
+        ["stg_orders"],
+        """SELECT order_date, CAST(count(DISTINCT customer_id) AS BIGINT) AS unique_customers FROM stg_orders
+           WHERE order_date IS NOT NULL AND customer_id IS NOT NULL GROUP BY order_date""",
+    ),
+    "unique_customers_by_period": _with(
+        ["stg_orders"],
+        """SELECT strftime(order_date, '%Y-%m') AS period, CAST(count(DISTINCT customer_id) AS BIGINT) AS unique_customers
+           FROM stg_orders WHERE order_date IS NOT NULL AND customer_id IS NOT NULL GROUP BY 1
+           UNION ALL SELECT strftime(order_date, '%Y'), count(DISTINCT customer_id)
+           FROM stg_orders WHERE order_date IS NOT NULL AND customer_id IS NOT NULL GROUP BY 1
+           UNION ALL SELECT 'chosen', count(DISTINCT customer_id)
+           FROM stg_orders WHERE order_date BETWEEN DATE '1996-03-01' AND DATE '2000-10-15'""",
+    ),
     "refresh_history": """
         WITH arrived AS (SELECT count(*) FILTER (o_orderkey % 5 <> 2) > 0 AS first, count(*) FILTER (o_orderkey % 5 = 2) > 0 AS second FROM orders)
         SELECT mart, unnest([CASE WHEN first THEN 'FULL' ELSE 'NO_DATA' END,
@@ -559,6 +573,14 @@ ORACLES: dict[str, str] = {
     "as_of_before_delete": _RAW_ORDERS,
     "as_of_offset": _RAW_ORDERS,
     "as_of_seconds_ago": _RAW_ORDERS,
+    "reconcile_orders": _with(
+        ["raw_orders", "first_ids"],
+        f"""SELECT {RAW_ORDER_COLUMNS}, CAST(sum(l) AS BIGINT) AS copies_left, CAST(sum(r) AS BIGINT) AS copies_right FROM (
+                SELECT {RAW_ORDER_COLUMNS}, 1 AS l,
+                       CASE WHEN order_id IN (SELECT order_id FROM first_ids WHERE order_id IS NOT NULL) THEN 0 ELSE 1 END AS r FROM raw_orders
+                UNION ALL SELECT {RAW_ORDER_COLUMNS}, 0, 1 FROM raw_orders WHERE second_batch)
+            GROUP BY {RAW_ORDER_COLUMNS} HAVING sum(l) <> sum(r)""",
+    ),
     "restore_missing": _with(
         ["raw_orders", "first_ids"],
         f"SELECT DISTINCT {RAW_ORDER_COLUMNS} FROM raw_orders WHERE order_id IN (SELECT order_id FROM first_ids)",

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel import schemas
 from caravel.lake import Lake, now
-from caravel.plans import marts, states
+from caravel.plans import marts, states, uniques
 
 DAILY, TOP, COHORTS = "daily_revenue", "top_products", "customer_cohorts"
 MARTS = (DAILY, TOP, COHORTS)
+UNIQUES = "unique_customers"  # kept up where it is asked for, not by refresh_all
 
 # STAGING tables each mart is computed from.
-INPUTS = {DAILY: ("orders",), TOP: ("order_items", "orders"), COHORTS: ("customers", "orders")}
+INPUTS = {DAILY: ("orders",), TOP: ("order_items", "orders"), COHORTS: ("customers", "orders"), UNIQUES: ("orders",)}
 
 FULL, INCREMENTAL, NO_DATA = "FULL", "INCREMENTAL", "NO_DATA"
 
@@ -84,6 +85,39 @@ def _cohorts(lake: Lake, number: int, seen: dict[str, str] | None, now: dict[str
     return states.customer_cohorts(lake.staged("customers"), _keep(lake, COHORTS, number, active))
 
 
+def _parts(lake: Lake, part: str, ddl: str, first: int, last: int) -> DataFrame:
+    """What the refreshes from one to another have added to the numbers or states of unique customers."""
+    rows = lake.read_or_empty(f"{lake.root}/marts/{UNIQUES}_{part}", f"{ddl}, _refresh int")
+    return rows.where(F.col("_refresh").between(first, last)).drop("_refresh")
+
+
+def _first_part(lake: Lake) -> int:
+    """The last full refresh: numbers and states begin with it."""
+    full = (F.col("mart") == UNIQUES) & (F.col("action") == FULL) & (F.col("state") == "SUCCEEDED")
+    return lake.log("refreshes").where(full).agg(F.max("refresh")).first()[0] or 0
+
+
+def _uniques(lake: Lake, number: int, seen: dict[str, str] | None, now: dict[str, str]) -> DataFrame:
+    """Unique customers by day. A delivery adds the numbers of new customers and states of its own; only its days are counted again."""
+    first = number if seen is None else _first_part(lake)
+    fresh = _between(_staged_orders(lake), "orders", seen or {}, now)
+    _keep(lake, UNIQUES, number, uniques.new_numbers(_parts(lake, "ids", uniques.IDS, first, number - 1), fresh), "ids")
+    added = _keep(lake, UNIQUES, number, uniques.day_states(fresh, _parts(lake, "ids", uniques.IDS, first, number)))
+    if seen is None:
+        return uniques.unique(added, "order_date")
+    days = added.select("order_date").distinct()
+    touched = _parts(lake, "state", uniques.STATE, first, number).join(days, "order_date", "left_semi")
+    kept = lake.spark.read.parquet(lake.mart(UNIQUES, number - 1)).join(days, "order_date", "left_anti")
+    return kept.unionByName(uniques.unique(touched, "order_date"))
+
+
+def customer_states(lake: Lake, first: date | None = None, last: date | None = None) -> DataFrame:
+    """States by day of unique customers as of the last refresh, for ``uniques.unique`` over any period."""
+    rows = _parts(lake, "state", uniques.STATE, _first_part(lake), _last(lake, UNIQUES)[0])
+    rows = rows if first is None else rows.where(F.col("order_date") >= F.lit(first))
+    return rows if last is None else rows.where(F.col("order_date") <= F.lit(last))
+
+
 def _last(lake: Lake, mart: str) -> tuple[int, str]:
     """Folder number of the mart's current contents and the input position they reflect."""
     done = lake.log("refreshes").where((F.col("mart") == mart) & (F.col("state") == "SUCCEEDED"))
@@ -98,7 +132,7 @@ def _position(lake: Lake, mart: str) -> str:
     return named.agg(F.array_join(F.array_sort(F.collect_list("p")), ";")).first()[0]
 
 
-BY_STATE = {TOP: _top_products, COHORTS: _cohorts}
+BY_STATE = {TOP: _top_products, COHORTS: _cohorts, UNIQUES: _uniques}
 
 
 def _define(lake: Lake, mart: str, number: int, position: str) -> DataFrame:

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from caravel import fixtures as fx
 from caravel import schemas
 from caravel.lake import Lake
-from caravel.operators import profile
+from caravel.operators import profile, reconcile
 from caravel.operators.joins import first_keys, without_match
-from caravel.plans import catalogue, marts, policy, quality, refresh, report, staging
+from caravel.plans import catalogue, marts, policy, quality, refresh, report, staging, uniques
 from caravel.plans.report import ReportFilters
 from caravel.sources import formats, landing, loads, merging, versions
 from caravel.streaming import feeds, runs
@@ -447,6 +447,13 @@ def recovery_counts(shop: Shop) -> DataFrame:
     return profile.tagged_counts({s: versions.as_of(lake, "orders", v) for s, v in stages.items()}, "stage")
 
 
+def reconcile_orders(shop: Shop) -> DataFrame:
+    """Orders before a delete against those after it, to which the second delivery was added once more."""
+    lake, removal = _with_first_rows_removed(shop, "reconcile")
+    _append_batch(shop, lake, "orders", "j2")
+    return reconcile.differences(versions.before(lake, "orders", removal), versions.as_of(lake, "orders"))
+
+
 def snapshot_copy(shop: Shop) -> DataFrame:
     lake, removal = _with_first_rows_removed(shop, "snapshot")
     copy = versions.snapshot(lake, "orders", f"{lake.root}/snapshots/orders", removal - 1)
@@ -499,6 +506,19 @@ def _refreshed(mart: str, fed: tuple[str, ...]) -> Callable[[Shop], DataFrame]:
     return build
 
 
+def unique_customers_by_period(shop: Shop) -> DataFrame:
+    """Customers of every month, year and of a period that cuts months, from the states by day of two deliveries."""
+    lake = shop.lake("unique-customers")
+    for batch in ("j1", "j2"):
+        _append_batch(shop, lake, "orders", batch)
+        feeds.consume(lake, "orders")
+        refresh.refresh(lake, refresh.UNIQUES)
+    days = refresh.customer_states(lake)
+    grains = [uniques.unique(days.withColumn("period", F.date_format("order_date", f)), "period") for f in ("yyyy-MM", "yyyy")]
+    chosen = uniques.unique(refresh.customer_states(lake, CHOSEN.date_from, CHOSEN.date_to))
+    return reduce(DataFrame.unionByName, [*grains, chosen.select(F.lit("chosen").alias("period"), "unique_customers")])
+
+
 def refresh_history(shop: Shop) -> DataFrame:
     """A full build, an update after the second delivery, and a refresh that finds nothing new."""
     lake = _two_runs(shop, "refresh-history", refresh.refresh_all)
@@ -611,6 +631,8 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "refresh_daily_incremental": _refreshed(refresh.DAILY, ("orders",)),
     "refresh_marts": _refreshed(refresh.TOP, ("orders", "order_items")),
     "refresh_cohorts": _refreshed(refresh.COHORTS, ("orders",)),
+    "refresh_unique_customers": _refreshed(refresh.UNIQUES, ("orders",)),
+    "unique_customers_by_period": unique_customers_by_period,
     "refresh_history": refresh_history,
     # recovery
     "delete_first_n": delete_first_n,
@@ -620,6 +642,7 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "restore_missing": restore_missing,
     "recovery_counts": recovery_counts,
     "snapshot_copy": snapshot_copy,
+    "reconcile_orders": reconcile_orders,
     # policies
     "customers_masked": lambda s: policy.customers_view(s.customers, may_see_email=False),
     "orders_for_region": lambda s: policy.orders_for_cities(s.orders, s.customers, CITIES),

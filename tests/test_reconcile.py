@@ -1,0 +1,68 @@
+"""Reconciliation finds every planted difference and compares only the rows of buckets that differ."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import pytest
+from conftest import values
+
+from caravel.operators import reconcile
+
+ROW = "id bigint, name string, amount decimal(12,2), day date, share double"
+
+
+def frame(spark, rows):
+    texts = [tuple(None if v is None else str(v) for v in r) for r in rows]
+    names = [f.split() for f in ROW.split(", ")]
+    return spark.createDataFrame(texts, ", ".join(f"{n} string" for n, _ in names)).selectExpr(*[f"cast({n} AS {k}) AS {n}" for n, k in names])
+
+
+@pytest.mark.parametrize("n, levels", [(60, (4, 3)), (20_000, (64, 64))])
+def test_planted_differences(spark, n, levels):
+    draw = random.Random(n)
+    # A third of the rows are copies of one row; NULLs stand in different columns.
+    left = [(1, "hot", "1.00", None, 0.0) if i % 3 == 0 else (draw.choice([None, i]), draw.choice([None, "a", ""]), f"{i}.50", "2026-01-01", i / 7) for i in range(n)]
+    right = list(left)
+    draw.shuffle(right)
+    right.remove((1, "hot", "1.00", None, 0.0))  # one copy less
+    right.remove(next(r for r in right if r[1] == "a"))  # a row lost
+    right += [(None, "x", "9.99", None, None), (None, None, "9.99", None, None), right[5], right[5]]  # rows and copies added
+    at = next(i for i, r in enumerate(right) if r[1] == "")
+    right[at] = (right[at][0], None, *right[at][2:])  # an empty text became NULL
+    l, r = frame(spark, left).repartition(3), frame(spark, right).repartition(4)
+    a, b = Counter(tuple(x) for x in l.collect()), Counter(tuple(x) for x in r.collect())
+    want = sorted(((*k, a[k], b[k]) for k in a.keys() | b.keys() if a[k] != b[k]), key=str)
+    found = reconcile.differences(l, r.select(*reversed(r.columns)), levels)
+    assert sorted((tuple(x) for x in found.collect()), key=str) == want and len(want) >= 6
+    assert not reconcile.same(l, r, levels[0])
+    if n > 1000:
+        apart = reconcile.suspects(l, r, levels).where("name IS NULL OR name <> 'hot'").count()
+        assert apart < n / 20
+
+
+def test_equal_tables_leave_no_rows_to_compare(spark):
+    rows = frame(spark, [(i % 5, "a", "1.00", None, None) for i in range(200)])
+    other = rows.repartition(7).orderBy("id")
+    assert reconcile.same(rows, other)
+    assert reconcile.suspects(rows, other).isEmpty() and reconcile.differences(rows, other).isEmpty()
+
+
+def test_shifted_nulls_are_not_equal(spark):
+    a, b = spark.createDataFrame([("x", None)], "p string, q string"), spark.createDataFrame([(None, "x")], "p string, q string")
+    assert values(reconcile.differences(a, b)) == [("x", None, 1, 0), (None, "x", 0, 1)]
+
+
+def test_empty_tables_and_other_columns(spark):
+    none = frame(spark, [])
+    some = frame(spark, [(1, "a", "1.00", None, None)] * 2)
+    assert reconcile.same(none, none) and values(reconcile.differences(none, some))[0][-2:] == (0, 2)
+    with pytest.raises(ValueError):
+        reconcile.same(none, none.drop("day"))
+
+
+def test_suspects_are_picked_without_a_shuffle_of_rows(spark):
+    rows = frame(spark, [(i, "a", "1.00", None, None) for i in range(500)])
+    plan = reconcile.suspects(rows, rows.limit(499))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
