@@ -32,9 +32,10 @@ def token_digests(docs: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the archives of all pages hold, read back through the capture index."""
-    folder, directory = warc.archive(spark, table(spark, sf_dir, "pages"))
-    records = warc.read_archives(directory, folder)
+    """What the archives of all pages hold: the URL of every page is looked up in the capture index and its records are read."""
+    pages = table(spark, sf_dir, "pages")
+    folder, directory = warc.archive(spark, pages)
+    records = warc.lookup(directory, folder, pages)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

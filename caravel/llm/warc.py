@@ -36,6 +36,7 @@ from caravel.workspace import scratch_folder
 LEAST_REVISIT = 0
 BLOCK_LINES = 1000
 BLOCKS_PER_TASK = 16
+TASK_BYTES = 32 << 20  # compressed records that a reading task gets
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_DATE = "2024-01-01T00:00:00Z"  # a fixed value: pages carry no capture time
@@ -116,7 +117,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
                     member = record(page_id, url, payload, digest(payload), len(payload), refers_to, refers_to is not None)
                     out = out or store.open_output_stream(f"{base}/{name}", compression=None)
                     out.write(member)
-                    rows.append((url_key(url), page_id, name, at, len(member)))
+                    rows.append((clean(url_key(url)), page_id, name, at, len(member)))
                     at += len(member)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
@@ -149,7 +150,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         try:
             for batch in batches:
                 for key, *place in zip(*(c.to_pylist() for c in batch.columns)):
-                    held.append("\t".join([clean(key), *("" if x is None else str(x) for x in place)]))
+                    held.append("\t".join([key, *("" if x is None else str(x) for x in place)]))
                     if len(held) == block_lines:
                         yield block(held)
                         held = []
@@ -234,39 +235,77 @@ def read_archives(directory: DataFrame, folder: str, read_bytes: int = 4 << 20)
     return blocks.repartition(tasks, "file", "offset").mapInArrow(run, RECORDS)
 
 
-def lookup(directory: DataFrame, folder: str, urls: DataFrame, url: str = "url") -> DataFrame:
-    """Records of the given URLs: bisect to the index file, in its directory to the block, in the block to the capture.
+def find_captures(directory: DataFrame, folder: str, urls: DataFrame, url: str = "url") -> DataFrame:
+    """Captures of the given URLs: bisect to the index files, in a file's directory to the blocks, in a block to the lines.
 
-    Only the first key of each index file goes to every task, one per partition of the index. Repeated
-    URLs are looked up once, null URLs as the empty one.
+    Only the first key of each index file goes to every task, one per partition of the index. Blocks in which no key
+    can lie are not read. Repeated URLs are looked up once, null URLs as the empty one.
     """
-    key_of = F.udf(lambda u: clean(url_key(u)), "string")
-    keys = pick(urls, url=url).select(key_of("url").alias("key")).distinct()
+
+    @F.pandas_udf("string")
+    def key_of(some: pd.Series) -> pd.Series:
+        return some.map(lambda u: clean(url_key(u)))
+
+    keys = pick(urls, url=url).select(F.coalesce("url", F.lit("")).alias("url")).distinct().select(key_of("url").alias("key")).distinct()
     firsts = directory.groupBy("file").agg(F.min("first_key").alias("first_key")).collect()
     files = sorted((r["first_key"], r["file"]) for r in firsts)
+    starts = [first for first, _ in files]
 
-    @F.udf("array<string>")
-    def may_hold(key):
-        starts = [first for first, _ in files]
-        return [name for _, name in files[max(bisect.bisect_left(starts, key) - 1, 0) : bisect.bisect_right(starts, key)]]
+    @F.pandas_udf("array<string>")
+    def may_hold(some: pd.Series) -> pd.Series:
+        return some.map(lambda k: [name for _, name in files[_span(starts, k)]])
 
     def run(wanted: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         store, base = pafs.FileSystem.from_uri(folder)
-        blocks = blocks.sort_values("first_key", kind="stable")
-        starts, by_block = blocks["first_key"].tolist(), {}
+        blocks = blocks.sort_values(["first_key", "offset"], kind="stable")
+        heads, by_block = blocks["first_key"].tolist(), {}
         for key in wanted["key"]:
-            for i in range(max(bisect.bisect_left(starts, key) - 1, 0), bisect.bisect_right(starts, key)):
+            span = _span(heads, key)
+            for i in range(span.start, span.stop):
                 by_block.setdefault(i, []).append(key)
         found = []
         for i, some in sorted(by_block.items()):
             lines = block_lines(store, base, *blocks.iloc[i][["file", "offset", "length"]])
             names = [line[0] for line in lines]
-            hits = [lines[j] for key in some for j in range(bisect.bisect_left(names, key), bisect.bisect_right(names, key))]
-            found += [_row(*one) for one in read_records(store, base, hits)]
-        return _record_rows(found).to_pandas()
+            found += [lines[j] for key in some for j in range(bisect.bisect_left(names, key), bisect.bisect_right(names, key))]
+        columns = list(zip(*found)) or [()] * 5
+        kinds = ("object", "Int64", "object", "int64", "int64")
+        return pd.DataFrame({f.split()[0]: pd.Series(c, dtype=k) for f, c, k in zip(CAPTURES.split(", "), columns, kinds)})
 
     routed = keys.select("key", F.explode(may_hold("key")).alias("file"))
-    return routed.groupBy("file").cogroup(directory.groupBy("file")).applyInPandas(run, RECORDS)
+    return routed.groupBy("file").cogroup(directory.groupBy("file")).applyInPandas(run, CAPTURES)
+
+
+def _span(starts: list[str], key: str) -> slice:
+    """Which of the parts with these first keys, in order, can hold a key: those that start with it and the one before."""
+    return slice(max(bisect.bisect_left(starts, key) - 1, 0), bisect.bisect_right(starts, key))
+
+
+def read_captures(captures: DataFrame, folder: str, read_bytes: int = 4 << 20) -> DataFrame:
+    """The records of captures, by range reads in order of their place; about ``TASK_BYTES`` of an archive per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            found, held = [], 0
+            for one in read_records(store, base, list(zip(*(c.to_pylist() for c in batch.columns)))):
+                found.append(_row(*one))
+                held += len(one[2])
+                if held > read_bytes:
+                    yield _record_rows(found)
+                    found, held = [], 0
+            yield _record_rows(found)
+
+    placed = written(captures, "places")
+    total = placed.agg(F.sum("length")).first()[0] or 0
+    tasks = max(captures.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES)
+    ordered = placed.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(run, RECORDS)
+
+
+def lookup(directory: DataFrame, folder: str, urls: DataFrame, url: str = "url") -> DataFrame:
+    """Records of the given URLs, found by bisection and read by ranges."""
+    return read_captures(find_captures(directory, folder, urls, url), folder)
 
 
 def pages_of(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

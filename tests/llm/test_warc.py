@@ -47,6 +47,7 @@ def test_round_trip(spark, least):
     frame = spark.createDataFrame(ROWS, PAGES).selectExpr("*", "'x' AS payload", "1 AS refers_to", "2 AS sha1").repartition(3)
     folder, directory = warc.archive(spark, frame, least=least)
     assert held(warc.read_archives(directory, folder)) == expected(ROWS, least)
+    assert held(warc.lookup(directory, folder, frame)) == expected(ROWS, least)
 
 
 def test_lookup_reads_the_captures_of_a_url_only(spark, monkeypatch):
@@ -61,6 +62,38 @@ def test_lookup_reads_the_captures_of_a_url_only(spark, monkeypatch):
     assert found == sorted((i, html) for i, url, html in rows if url in wanted)
 
 
+def test_lookup_opens_the_blocks_that_can_hold_a_key_only(spark):
+    rows = [(i, f"http://h{i % 50:02d}.example.com/p{i}", "x") for i in range(600)] + [(1000 + i, "http://hot.example.org/", f"{i}") for i in range(300)]
+    folder = f"file://{warc.scratch_folder(spark, 'warc')}"
+    captures = warc.write_archives(warc.pages_of(spark.createDataFrame(rows, PAGES).repartition(3)), folder)
+    directory = warc.write_index(captures, folder, block_lines=10)
+    blocks = directory.orderBy("first_key", "file", "offset").collect()
+    # All blocks are spoilt but those that bisection leads to: one that starts before the key and those that start with it.
+    asked = {"http://h07.example.com/p7": "com,example,h07)/p7", "http://hot.example.org/": "org,example,hot)/"}
+    for file in {r["file"] for r in blocks}:
+        path = f"{folder.removeprefix('file://')}/{file}"
+        mine = [r for r in blocks if r["file"] == file]
+        data = bytearray(open(path, "rb").read())
+        for i, r in enumerate(mine):
+            later = [x["first_key"] for x in mine[i + 1 : i + 2]]
+            if not any(r["first_key"] <= k and (not later or k <= later[0]) for k in asked.values()):
+                data[r["offset"] : r["offset"] + r["length"]] = bytes(r["length"])
+        open(path, "wb").write(data)
+    found = warc.lookup(directory, folder, spark.createDataFrame([(u,) for u in asked], "url string"))
+    assert sorted(r["page_id"] for r in found.collect()) == [7, *range(1000, 1300)]
+    with pytest.raises(Exception):
+        warc.lookup(directory, folder, spark.createDataFrame([("http://h30.example.com/p30",)], "url string")).collect()
+
+
+def test_urls_with_blanks_keep_their_order(spark):
+    """A blank sorts before, its escape after some signs; the index is sorted by what it stores."""
+    rows = [(i, f"http://a.com/x{mark}y{i % 9}", str(i)) for i, mark in enumerate([" ", "!", "#", "$", "%", "&", "\t", "  "] * 12)]
+    frame = spark.createDataFrame(rows, PAGES)
+    folder = f"file://{warc.scratch_folder(spark, 'warc')}"
+    directory = warc.write_index(warc.write_archives(warc.pages_of(frame), folder), folder, block_lines=3)
+    assert held(warc.lookup(directory, folder, frame)) == expected(rows)
+
+
 def test_keys_sort_by_host_from_the_right():
     keys = [warc.url_key(u) for u in ("http://www.b.com/x", "http://b.com", "https://m.b.com:81/a?z=1", "ftp://a.org/", "plain", None)]
     assert keys == ["com,b,www)/x", "com,b)/", "com,b,m:81)/a?z=1", "org,a)/", "plain", ""]
