@@ -18,7 +18,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from caravel.llm.frames import pick, slices
+from caravel.llm.frames import pick, slices, tidy
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECE_CHARS = 200_000
@@ -63,6 +63,7 @@ def encode(
     rows = pick(df, key=key, text=text)
     kind = rows.schema["key"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoder(path, pattern)
         for part in slices(batches, 1):
@@ -86,6 +87,7 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | Non
     rows = pick(df, key=key, ids=ids)
     kind = rows.schema["key"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoder(path, public_tokenizers.PATTERN)
         for part in slices(batches, 1):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caravel.llm.frames import written
+from caravel.llm.frames import tidy, written
 
 BATCH_EDGES = 1 << 18
 
@@ -37,6 +37,7 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+@tidy
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the edges of each batch by a star per component: no more rows, and the same reachability."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caravel.llm.frames import pick, slices
+from caravel.llm.frames import pick, slices, tidy
 
 ORDER = 4
 PER_LANGUAGE = 2000
@@ -210,6 +210,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     found = [ord(r["c"]) for r in points.orderBy(F.desc("n"), "c").limit((1 << 16) - FIRST_LETTER).collect() if len(r["c"]) == 1 and r["c"].isalpha()]
     alphabet = np.array(sorted(found), np.int64)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = symbol_table(alphabet)
         for part in slices(batches, 0, SLICE_BYTES):
@@ -236,6 +237,7 @@ def calibrate(model: LanguageModels, held: DataFrame) -> None:
     spread_model = held.sparkSession.sparkContext.broadcast(model)
     width = len(model.languages)
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0, SLICE_BYTES):
             entropy, letters = spread_model.value.entropies(part.column(0).to_pylist())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from caravel.llm.frames import pick, slices, written
+from caravel.llm.frames import pick, slices, tidy, written
 
 LEAST_CHARS = 25
 BLANKS = " \t\r\x0b\x0c"
@@ -75,6 +75,7 @@ def postings(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     rows = rows.select("doc", F.xxhash64("text").alias("mark"), "text")
     kind = rows.schema["doc"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
             row, keys, places = [], [], []
@@ -132,6 +133,7 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least
     told = F.struct(F.col("holder.doc").alias("by"), "holders", F.col("holder.first").alias("place"), "first", "last")
     pairs = met.groupBy("doc", "mark").agg(F.collect_list(told).alias("shared"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, moved, partners = [], [], []

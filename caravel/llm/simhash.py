@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel.llm.components import connected_components, roots
-from caravel.llm.frames import pick, slices, written
+from caravel.llm.frames import pick, slices, tidy, written
 
 SEED = 42
 TALLY_CHUNK = 1 << 15
@@ -55,6 +55,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     rows = pick(df, key=key, text=text)
     kind = rows.schema["key"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             found = [fingerprint(t, shingle) for t in part.column(1).to_pylist()]
@@ -112,6 +113,7 @@ def links(different: DataFrame, bits: int = 2) -> DataFrame:
         .select("part", "members")
     )
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             found = []
