@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caravel import schemas
+from caravel.operators import late
 from caravel.workspace import names_in, path_exists
 
 
@@ -130,23 +131,45 @@ class Lake:
             known = known | F.col("_src_batch").between(low, high)
         return known
 
+    def labels(self) -> DataFrame:
+        """Labels of products that came after lines of theirs, with the folder column."""
+        rows = self.read_or_empty(self.staging("labels"), schemas.ddl(schemas.LABELS, {"_src_batch": "string"}))
+        return rows.where(self.finished_batches("labels"))
+
+    def staged_lines(self) -> DataFrame:
+        """STAGING lines of the logged batches as they were written, with the folder columns."""
+        folders = schemas.LATE | {"_src_batch": "string"}
+        rows = self.read_or_empty(self.staging("order_items"), schemas.ddl(schemas.STAGING["order_items"], folders))
+        return rows.where(self.finished_batches("order_items"))
+
+    def completed_lines(self, labels: DataFrame | None = None) -> DataFrame:
+        """STAGING lines with batch and the details of products that came later (by default, all that the log names)."""
+        rows = self.staged_lines()
+        if not self.has_batch("labels"):
+            return rows.drop("_late")
+        other, late_rows = rows.where("coalesce(_late, 0) = 0").drop("_late"), rows.where("_late = 1").drop("_late")
+        return other.unionByName(late.completed(late_rows, self.labels() if labels is None else labels))
+
+    def has_batch(self, table: str) -> bool:
+        return not self.log("batches").where((F.col("table_name") == table) & F.col("src_batch").isNotNull()).isEmpty()
+
     def staged(self, table: str, first: date | None = None, last: date | None = None) -> DataFrame:
         """A STAGING table without its load stamp and folder columns.
 
         Orders and events lie in month folders: with a first or last day only the months of the period are
         listed and read, and the rows are cut to the period. Only batches that the log names are read.
+        Lines that came before their product have its details as soon as these are labels.
         """
         columns, path = schemas.STAGING[table], self.staging(table)
         if table in schemas.REFERENCE:
             name = self.current_load(table)
             path = f"{path}/_load={name}"
             return self.read_or_empty(path, schemas.ddl(columns)).select(*columns)
-        layout = schemas.BY_MONTH.get(table)
-        folders = {"_src_batch": "string"} | ({layout[0]: "string"} if layout else {})
+        if table not in schemas.BY_MONTH:
+            return self.completed_lines().select(*columns)
+        folder, day = schemas.BY_MONTH[table]
+        folders = {"_src_batch": "string", folder: "string"}
         rows = self.read_or_empty(path, schemas.ddl(columns, folders)).where(self.finished_batches(table))
-        if layout is None:
-            return rows.select(*columns)
-        folder, day = layout
         if first is not None:
             rows = rows.where((F.col(folder) >= f"{first:%Y-%m}") & (F.col(day) >= F.lit(first)))
         if last is not None:

@@ -527,6 +527,7 @@ ORACLES: dict[str, str] = {
     "inc_orders": _STG_ORDERS,
     "inc_orders_merged": _STG_ORDERS,
     "inc_order_items": _STG_ITEMS,
+    "inc_late_products": _STG_ITEMS,
     "inc_web_events": _STG_EVENTS,
     "backfill_equals_incremental": _with(
         ["stg_orders"],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caravel import schemas
 from caravel.lake import Lake, now
+from caravel.operators import late
 from caravel.plans import marts, states, uniques
 
 DAILY, TOP, COHORTS = "daily_revenue", "top_products", "customer_cohorts"
@@ -16,7 +17,7 @@ MARTS = (DAILY, TOP, COHORTS)
 UNIQUES = "unique_customers"  # kept up where it is asked for, not by refresh_all
 
 # STAGING tables each mart is computed from.
-INPUTS = {DAILY: ("orders",), TOP: ("order_items", "orders"), COHORTS: ("customers", "orders"), UNIQUES: ("orders",)}
+INPUTS = {DAILY: ("orders",), TOP: ("labels", "order_items", "orders"), COHORTS: ("customers", "orders"), UNIQUES: ("orders",)}
 
 FULL, INCREMENTAL, NO_DATA = "FULL", "INCREMENTAL", "NO_DATA"
 
@@ -29,11 +30,6 @@ def _staged_orders(lake: Lake) -> DataFrame:
     return lake.read_or_empty(lake.staging("orders"), columns).where(lake.finished_batches("orders"))
 
 
-def _staged_items(lake: Lake) -> DataFrame:
-    columns = schemas.ddl(schemas.STAGING["order_items"], {"_src_batch": "string"})
-    return lake.read_or_empty(lake.staging("order_items"), columns).where(lake.finished_batches("order_items"))
-
-
 def _batches(position: str) -> dict[str, str]:
     """Newest batch of each table that a position names."""
     return dict(part.split("=") for part in position.split(";") if part)
@@ -57,7 +53,8 @@ def _keep(lake: Lake, mart: str, number: int, rows: DataFrame, part: str = "stat
 def _top_products(lake: Lake, number: int, seen: dict[str, str] | None, now: dict[str, str]) -> DataFrame:
     """Top products from the sales by day; with a position seen, from the state before and the rows since."""
     nothing: dict[str, str] = {}
-    orders, items = (_between(rows(lake), table, nothing, now) for rows, table in ((_staged_orders, "orders"), (_staged_items, "order_items")))
+    orders = _between(_staged_orders(lake), "orders", nothing, now)
+    items = _between(lake.completed_lines(_between(lake.labels(), "labels", nothing, now)), "order_items", nothing, now)
     fresh = orders if seen is None else _between(orders, "orders", seen, now)
     latest = fresh.agg(F.max("order_date").alias("day"))
     if seen is not None:
@@ -70,6 +67,10 @@ def _top_products(lake: Lake, number: int, seen: dict[str, str] | None, now: dic
         sales = states.day_sales(items, recent)
     else:
         before = lake.spark.read.parquet(_state(lake, TOP, number - 1))
+        if seen.get("labels") != now.get("labels"):
+            # Of a product that came several times, the first label holds for what the state has in.
+            came = _between(lake.labels(), "labels", seen, now).where(F.col("_after") < seen.get("order_items", ""))
+            before = late.relabelled(before, came)
         old = recent.where(F.col("_src_batch") <= seen.get("orders", ""))
         sales = states.updated_sales(
             before, first, _between(recent, "orders", seen, now), items, old, _between(items, "order_items", seen, now)
@@ -127,7 +128,8 @@ def _last(lake: Lake, mart: str) -> tuple[int, str]:
 
 def _position(lake: Lake, mart: str) -> str:
     """Newest complete batch of each table the mart reads, from the log the loads keep."""
-    newest = lake.log("batches").where(F.col("table_name").isin(*INPUTS[mart])).groupBy("table_name")
+    named = F.col("table_name").isin(*INPUTS[mart]) & F.col("src_batch").isNotNull()
+    newest = lake.log("batches").where(named).groupBy("table_name")
     named = newest.agg(F.max("src_batch").alias("b")).select(F.concat_ws("=", "table_name", "b").alias("p"))
     return named.agg(F.array_join(F.array_sort(F.collect_list("p")), ";")).first()[0]
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from caravel import fixtures as fx
 from caravel import schemas
+from caravel.functions import documents as doc
 from caravel.lake import Lake
 from caravel.operators import profile, reconcile
 from caravel.operators.joins import first_keys, without_match
@@ -315,6 +316,18 @@ def _incremental(feed: str) -> Callable[[Shop], DataFrame]:
     return build
 
 
+def inc_late_products(shop: Shop) -> DataFrame:
+    """STAGING lines of two deliveries; half of the products come after the first one's lines."""
+    lake = shop.lake("inc-late-products")
+    later = F.coalesce(F.substring(doc.text_at(F.col("data"), "product_id"), -1, 1).isin(*"02468"), F.lit(False))
+    for batch, products in (("j1", shop.raw_products.where(~later)), ("j2", shop.raw_products.where(later))):
+        versions.append(lake, "products", products, f"{batch}/products")
+        runs.refresh_products(lake)
+        _append_batch(shop, lake, "order_items", batch)
+        feeds.consume(lake, "order_items")
+    return lake.staged("order_items")
+
+
 def stg_web_events(shop: Shop) -> DataFrame:
     """From the RAW table as stored: documents are built once and only read here."""
     lake = shop.lake("stg-events")

@@ -93,6 +93,19 @@ REFERENCE = ("products", "customers")
 # STAGING tables laid out by month: the folder column and the day it follows from.
 BY_MONTH = {"orders": ("order_month", "order_date"), "web_events": ("event_month", "event_date")}
 
+# STAGING lines are laid out by whether their product has still to come.
+LATE = {"_late": "int"}
+
+# What the catalogue says of products whose lines were there first, for the lines of batches after one and up to another.
+LABELS = {
+    "product_id": "string",
+    "product_name": "string",
+    "category": "string",
+    "brand": "string",
+    "_after": "string",
+    "_through": "string",
+}
+
 STAMP = {"stg_loaded_at": "timestamp_ntz"}
 
 LOGS = {
@@ -110,7 +123,8 @@ LOGS = {
     },
     # one row per (re)start of a change feed
     "feeds": {"feed": "string", "generation": "int", "start_version": "int", "created_at": "timestamp_ntz"},
-    # one row per micro-batch of a feed (without src_batch when its commits brought no new rows) and per load of a reference table
+    # one row per micro-batch of a feed (without src_batch when its commits brought no new rows), per load of a reference table
+    # and per look for late products (without src_batch when none had come; through_batch is the last batch of lines it covers)
     "batches": {
         "table_name": "string",
         "src_batch": "string",
@@ -118,6 +132,7 @@ LOGS = {
         "written_at": "timestamp_ntz",
         "generation": "int",
         "through_version": "int",
+        "through_batch": "string",
     },
     # one row per job of an ordered run
     "runs": {

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from caravel import schemas
 from caravel.functions.calendar import month_label
 from caravel.lake import Lake, now
+from caravel.operators import late
 from caravel.plans import staging
 from caravel.sources import versions
 from caravel.workspace import path_exists
@@ -127,10 +128,37 @@ def write_batch(feed: str, staged: DataFrame, path: str) -> int:
         by_month = by_month.sortWithinPartitions(folder, day).observe(counted, n)
         by_month.write.mode("overwrite").partitionBy(folder).parquet(path)
     else:
-        staged.observe(counted, n).write.mode("overwrite").parquet(path)
+        staged.withColumn("_late", late.is_late()).observe(counted, n).write.mode("overwrite").partitionBy("_late").parquet(path)
     return counted.get["n"]
 
 
+def label_late_lines(lake: Lake) -> int:
+    """Write labels for lines in STAGING whose product has come since; returns how many.
+
+    Nothing is done if neither the catalogue nor the lines have changed since the last look. A look that failed is
+    made again under its number, over what it left.
+    """
+    entries = lake.log("batches").where(F.col("table_name").isin("order_items", "labels", "products"))
+    last = {r["table_name"]: r for r in entries.groupBy("table_name").agg(
+        F.max("src_batch").alias("batch"), F.max("through_version").alias("version"), F.max("through_batch").alias("through"),
+    ).collect()}
+    if "products" not in last or "order_items" not in last or last["order_items"]["batch"] is None:
+        return 0
+    version, through, before = last["products"]["version"], last["order_items"]["batch"], last.get("labels")
+    if before and (before["version"], before["through"]) == (version, through):
+        return 0
+    number = int(before["batch"][1:]) + 1 if before and before["batch"] else 1
+    found = late.new_labels(lake.staged_lines().where("_late = 1"), lake.labels(), lake.staged("products"), through)
+    counted, name = Observation(), f"t{number:08d}"
+    found.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{lake.staging('labels')}/_src_batch={name}")
+    n = counted.get["n"]
+    lake.append_log(
+        "batches", table_name="labels", src_batch=name if n else None, row_count=n, written_at=now(), through_version=version,
+        through_batch=through,
+    )
+    return n
+
+
 def transform(lake: Lake, feed: str, rows: DataFrame) -> DataFrame:
     if feed == "orders":
         return staging.orders(rows)

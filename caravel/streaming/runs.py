@@ -35,7 +35,9 @@ def _refresh_reference(lake: Lake, table: str, build: Callable[[DataFrame], Data
 
 
 def refresh_products(lake: Lake) -> None:
+    """Replace the products, and label lines that were there before theirs."""
     _refresh_reference(lake, "products", staging.products)
+    feeds.label_late_lines(lake)
 
 
 def refresh_customers(lake: Lake) -> None:
