@@ -475,6 +475,7 @@ ORACLES: dict[str, str] = {
            WHERE NOT EXISTS (SELECT 1 FROM raw_orders o WHERE o.order_id = i.order_id)""",
     ),
     "quality_report": _quality(),
+    "quality_kept_up": _quality(),
     # marts
     "dt_daily_revenue": _with(["per_day"], "SELECT * FROM per_day"),
     "dt_top_products": _with(["best_sellers"], "SELECT * FROM best_sellers"),

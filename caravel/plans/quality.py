@@ -11,7 +11,16 @@ from caravel.functions import documents as doc
 from caravel.operators.joins import without_match
 
 
-def _as_rows(one_row: DataFrame, shares: dict[str, str]) -> DataFrame:
+# Checks on each RAW table.
+CHECKS = {
+    "orders": ("orders_repeated_id", "orders_without_id", "orders_without_date"),
+    "order_items": ("items_bad_quantity", "items_bad_price", "items_without_order"),
+    "products": ("products_repeated_id", "products_without_id"),
+    "web_events": ("events_without_id",),
+}
+
+
+def as_rows(one_row: DataFrame, shares: dict[str, str]) -> DataFrame:
     """Turn the columns of a one-row aggregate (but for ``_rows``) into check rows."""
     checks = [
         F.struct(
@@ -33,6 +42,28 @@ def _extra_copies(key: str | Column) -> Column:
     return F.count(key) - F.count_distinct(F.col(key) if isinstance(key, str) else key)
 
 
+def keyed(table: str, raw: DataFrame) -> DataFrame:
+    """A RAW table with its id as a column."""
+    ids = {"products": "product_id", "web_events": "event_id"}
+    return raw.select(doc.text_at(F.col("data"), ids[table]).alias(ids[table])) if table in ids else raw
+
+
+def row_counts(table: str) -> list[Column]:
+    """Counts of a RAW table that add up over any split of its rows, the number of rows as ``_rows``."""
+    if table == "orders":
+        defects = {"orders_without_id": F.col("order_id").isNull(), "orders_without_date": F.col("order_date").isNull()}
+    elif table == "order_items":
+        defects = {
+            "items_bad_quantity": ~F.coalesce(F.col("quantity") > 0, F.lit(False)),
+            "items_bad_price": ~F.coalesce(F.col("unit_price") >= 0, F.lit(False)),
+        }
+    elif table == "products":
+        defects = {"products_without_id": F.col("product_id").isNull()}
+    else:
+        defects = {"events_without_id": F.col("event_id").isNull()}
+    return [*[F.count_if(test).alias(name) for name, test in defects.items()], F.count(F.lit(1)).alias("_rows")]
+
+
 def quality_report(
     orders: DataFrame,
     items: DataFrame,
@@ -47,28 +78,14 @@ def quality_report(
     """
     shares = shares or {}
     total = F.count(F.lit(1)).alias("_rows")
-    on_orders = orders.agg(
-        _extra_copies("order_id").alias("orders_repeated_id"),
-        F.count_if(F.col("order_id").isNull()).alias("orders_without_id"),
-        F.count_if(F.col("order_date").isNull()).alias("orders_without_date"),
-        total,
-    )
-    on_items = items.agg(
-        F.count_if(~F.coalesce(F.col("quantity") > 0, F.lit(False))).alias("items_bad_quantity"),
-        F.count_if(~F.coalesce(F.col("unit_price") >= 0, F.lit(False))).alias("items_bad_price"),
-        total,
-    )
+    on_orders = orders.agg(_extra_copies("order_id").alias("orders_repeated_id"), *row_counts("orders"))
+    on_items = items.agg(*row_counts("order_items"))
     orphans = without_match(items, orders, "order_id").agg(F.count(F.lit(1)).alias("items_without_order"), total)
-    ids = products.select(doc.text_at(F.col("data"), "product_id").alias("product_id"))
-    on_products = ids.agg(
-        _extra_copies("product_id").alias("products_repeated_id"),
-        F.count_if(F.col("product_id").isNull()).alias("products_without_id"),
-        total,
-    )
-    event_ids = events.select(doc.text_at(F.col("data"), "event_id").alias("event_id"))
-    on_events = event_ids.agg(F.count_if(F.col("event_id").isNull()).alias("events_without_id"), total)
+    ids = keyed("products", products)
+    on_products = ids.agg(_extra_copies("product_id").alias("products_repeated_id"), *row_counts("products"))
+    on_events = keyed("web_events", events).agg(*row_counts("web_events"))
     parts = [on_orders, on_items, orphans, on_products, on_events]
-    return reduce(DataFrame.unionByName, [_as_rows(p, shares) for p in parts])
+    return reduce(DataFrame.unionByName, [as_rows(p, shares) for p in parts])
 
 
 def failures(report: DataFrame) -> DataFrame:

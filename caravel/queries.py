@@ -20,7 +20,7 @@ from caravel.functions import documents as doc
 from caravel.lake import Lake
 from caravel.operators import profile, reconcile
 from caravel.operators.joins import first_keys, without_match
-from caravel.plans import catalogue, marts, policy, quality, refresh, report, staging, uniques
+from caravel.plans import catalogue, marts, policy, quality, quality_state, refresh, report, staging, uniques
 from caravel.plans.report import ReportFilters
 from caravel.sources import formats, landing, loads, merging, versions
 from caravel.streaming import feeds, runs
@@ -532,6 +532,17 @@ def unique_customers_by_period(shop: Shop) -> DataFrame:
     return reduce(DataFrame.unionByName, [*grains, chosen.select(F.lit("chosen").alias("period"), "unique_customers")])
 
 
+def quality_kept_up(shop: Shop) -> DataFrame:
+    """The quality report of two deliveries from its state, refreshed after each."""
+    lake = shop.lake("quality-kept-up")
+    versions.append(lake, "products", shop.raw_products, "j1/products")
+    for batch in ("j1", "j2"):
+        for feed in feeds.FEEDS:
+            _append_batch(shop, lake, feed, batch)
+        quality_state.refresh(lake)
+    return quality_state.report(lake, {"orders_without_id": "0.02"})
+
+
 def refresh_history(shop: Shop) -> DataFrame:
     """A full build, an update after the second delivery, and a refresh that finds nothing new."""
     lake = _two_runs(shop, "refresh-history", refresh.refresh_all)
@@ -597,6 +608,7 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "quality_report": lambda s: quality.quality_report(
         s.raw_orders, s.raw_items, s.raw_products, s.raw_events, {"orders_without_id": "0.02"}
     ),
+    "quality_kept_up": quality_kept_up,
     # marts
     "dt_daily_revenue": lambda s: marts.daily_revenue(s.orders),
     "dt_top_products": lambda s: s.best_sellers,
@@ -632,6 +644,7 @@ _BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "inc_orders_merged": inc_orders_merged,
     "inc_orders": _incremental("orders"),
     "inc_order_items": _incremental("order_items"),
+    "inc_late_products": inc_late_products,
     "inc_web_events": _incremental("web_events"),
     "backfill_equals_incremental": backfill_equals_incremental,
     "pending_changes": pending_changes,
