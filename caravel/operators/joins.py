@@ -17,6 +17,23 @@ def split_join(rows: DataFrame, others: DataFrame, key: str, how: str = "inner")
     return rows.select("*", mark).join(others.select("*", mark), ["_mark", key], how).drop("_mark")
 
 
+# Bits of the filter of `possible_matches`: this many words of 64, at most one row each.
+FILTER_WORDS = 1 << 20
+
+
+def possible_matches(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among the keys of ``others``; put before a join that drops most rows, so that those do not shuffle.
+
+    Keys of ``others`` set one bit each by their hash, and the words that hold a bit go to every task. No match is
+    missed, whatever the numbers; a few rows without one pass, more of them the more keys there are, and the join decides on these.
+    """
+    place = F.xxhash64(key)
+    word, bit = place.bitwiseAND(F.lit(FILTER_WORDS - 1)), F.shiftrightunsigned(place, 58).cast("int")
+    words = others.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_bits"))
+    set_bit = (word == F.col("_word")) & (F.getbit("_bits", bit) == 1)
+    return rows.join(F.broadcast(words), set_bit, "left_semi")
+
+
 def with_copies(rows: DataFrame, key: str) -> DataFrame:
     """One row per key with its number of copies.
 

@@ -56,18 +56,26 @@ def orders(raw: DataFrame) -> DataFrame:
     )
 
 
-def valid_lines(raw: DataFrame) -> DataFrame:
-    """Order lines with a positive quantity and a price, and their amount."""
+def _kept_lines(raw: DataFrame) -> DataFrame:
+    """Order lines with a positive quantity and a price."""
     kept = raw.where((F.col("quantity") > 0) & (F.col("unit_price") >= 0))
     return kept.select(
         key_text(F.col("order_id")).alias("order_id"),
         key_text(F.col("product_id")).alias("product_id"),
         "quantity",
         "unit_price",
-        line_amount(F.col("quantity"), F.col("unit_price")).alias("line_amount"),
     )
 
 
+def _with_amount(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("line_amount", line_amount(F.col("quantity"), F.col("unit_price")))
+
+
+def valid_lines(raw: DataFrame) -> DataFrame:
+    """Order lines with a positive quantity and a price, and their amount."""
+    return _with_amount(_kept_lines(raw))
+
+
 def with_product(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Add name, category and brand where the product is known.
 
@@ -79,7 +87,8 @@ def with_product(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def order_items(raw: DataFrame, catalogue: DataFrame) -> DataFrame:
-    return with_product(valid_lines(raw), catalogue).select(*schemas.STAGING["order_items"])
+    # Amounts follow from the line, so they need not shuffle with it.
+    return _with_amount(with_product(_kept_lines(raw), catalogue)).select(*schemas.STAGING["order_items"])
 
 
 def web_events(raw: DataFrame) -> DataFrame:

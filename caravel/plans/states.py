@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravel.functions.money import rounded_money
-from caravel.operators.joins import split_join
+from caravel.operators.joins import possible_matches, split_join
 from caravel.operators.ranking import rank_at_most
 from caravel.plans import marts
 
@@ -22,9 +22,12 @@ MONEY = "decimal(38,2)"
 
 
 def day_sales(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """Units and revenue per day and product; an order that is there several times counts its lines as often."""
+    """Units and revenue per day and product; an order that is there several times counts its lines as often.
+
+    The orders are those of a window, so most lines have none of them and are left out before lines shuffle.
+    """
     copies = orders.groupBy("order_id", "order_date").agg(F.count(F.lit(1)).alias("copies"))
-    lines = split_join(items, copies, "order_id")
+    lines = split_join(possible_matches(items, orders, "order_id"), copies, "order_id")
     alike = lines.groupBy("order_date", *marts.PRODUCT_KEYS, "copies").agg(F.sum("quantity").alias("_units"), F.sum("line_amount").alias("_sum"))
     return _added(alike.withColumns({"units_sold": F.col("_units") * F.col("copies"), "revenue": (F.col("_sum") * F.col("copies")).cast(MONEY)}))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from conftest import SMALL
 
+from caravel.operators import joins
+from caravel.plans import states
 from caravel.queries import QUERIES
 from caravel.workspace import cluster_conf
 
@@ -94,3 +96,30 @@ def test_cluster_settings_follow_the_size_of_the_shuffle():
     small, large = cluster_conf(1 << 30, 64), cluster_conf(20 << 40, 4000)
     assert small["spark.sql.shuffle.partitions"] == "64"
     assert int(large["spark.sql.shuffle.partitions"]) == 20 * 4096
+
+
+def test_lines_without_an_order_of_the_window_do_not_shuffle(no_broadcast):
+    items = no_broadcast.range(20000).selectExpr(
+        "concat('O', id) AS order_id", "'p' AS product_id", "'n' AS product_name", "'c' AS category", "'b' AS brand",
+        "id AS quantity", "CAST(1 AS DECIMAL(14,2)) AS line_amount",
+    )
+    orders = no_broadcast.range(100).selectExpr("concat('O', id * 7) AS order_id", "DATE '2026-01-01' AS order_date")
+    sales = states.day_sales(items, orders)
+    assert [r["units_sold"] for r in sales.collect()] == [sum(range(0, 700, 7))]
+    node = sales._jdf.queryExecution().executedPlan()
+    plan = node.toString().split("== Initial Plan ==")[0]
+    lines = plan[plan.index("SortMergeJoin"):]
+    assert "BroadcastHashJoin" in lines and "LeftSemi" in lines
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_filter_before_a_join_misses_no_match(spark, monkeypatch, words):
+    monkeypatch.setattr(joins, "FILTER_WORDS", words)
+    rows = spark.range(20000).selectExpr("CASE WHEN id > 0 THEN concat('O', id) END AS k", "id")
+    others = spark.range(0, 40000, 97).selectExpr("CASE WHEN id > 0 THEN concat('O', id) END AS k")
+    passed = joins.possible_matches(rows, others.unionByName(others), "k")
+    assert passed.columns == ["k", "id"]
+    found = [r["id"] for r in passed.collect()]
+    assert len(found) == len(set(found)) and set(found) >= set(range(97, 20000, 97))
+    assert words == 1 or len(found) < 230
+    assert joins.possible_matches(rows, others.limit(0), "k").isEmpty()
