@@ -6,7 +6,7 @@ import pytest
 from conftest import SMALL
 
 from caravel.operators import joins
-from caravel.plans import states
+from caravel.plans import staging, states
 from caravel.queries import QUERIES
 from caravel.workspace import cluster_conf
 
@@ -123,3 +123,12 @@ def test_filter_before_a_join_misses_no_match(spark, monkeypatch, words):
     assert len(found) == len(set(found)) and set(found) >= set(range(97, 20000, 97))
     assert words == 1 or len(found) < 230
     assert joins.possible_matches(rows, others.limit(0), "k").isEmpty()
+
+
+def test_amounts_of_lines_do_not_shuffle_with_them(no_broadcast):
+    raw = no_broadcast.sql("SELECT 'O1' AS order_id, concat('P', id) AS product_id, id + 1 AS quantity, CAST(2 AS DECIMAL(12,2)) AS unit_price FROM range(9)")
+    catalogue = no_broadcast.sql("SELECT concat('P', id) AS product_id, 'n' AS name, 'c' AS category, 'b' AS brand FROM range(8)")
+    frame = staging.order_items(raw, catalogue)
+    assert sum(r["line_amount"] for r in frame.collect()) == 90
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "line_amount" in plan and "line_amount" not in plan[plan.index("Join"):]
