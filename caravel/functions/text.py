@@ -29,15 +29,15 @@ def strict_cast(text: Column, name: str, to_type: str) -> Column:
 
     A NULL input stays NULL; only a value that cannot be read as ``to_type`` raises.
     """
-    typed = tolerant_cast(text, to_type)
     complaint = F.concat(F.lit(f"cannot read {name} as {to_type}: "), text)
-    return F.when(text.isNotNull() & typed.isNull(), F.raise_error(complaint).cast(to_type)).otherwise(typed)
+    return F.coalesce(tolerant_cast(text, to_type), F.when(text.isNotNull(), F.raise_error(complaint).cast(to_type)))
 
 
 def tolerant_cast(text: Column, to_type: str) -> Column:
     """Cast that gives NULL on a bad value.  Whole numbers round half up, as a decimal load does."""
     if to_type == "bigint":
-        return text.try_cast("decimal(38,0)").try_cast("bigint")
+        # Most texts are plain digits, which need no decimal in between; any other text is none to the first cast.
+        return F.coalesce(text.try_cast("bigint"), text.try_cast("decimal(38,0)").try_cast("bigint"))
     return text.try_cast(to_type)
 
 

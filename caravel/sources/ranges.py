@@ -12,6 +12,8 @@ The first pass moves numbers only, the second the text once by range and once by
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,18 +58,18 @@ def records(parts: DataFrame, ends: Column, depth: str, separator: str) -> DataF
     """Columns file, first (of its file), finished, last_depth and text: pieces put together up to those that end a record."""
     before = Window.partitionBy(*RANGE).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     cut = parts.withColumn("ends", ends.cast("int")).withColumn("n", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-    in_order = F.array_sort(F.collect_list(F.struct("at", "value")))
+    in_order = F.sort_array(F.collect_list(F.struct("at", "value")))
     grouped = cut.groupBy(*RANGE, "n").agg(
-        F.array_join(F.transform(in_order, lambda p: p["value"]), separator).alias("text"),
+        F.array_join(in_order["value"], separator).alias("text"),
         F.max("ends").alias("finished"), F.max_by(depth, "at").alias("last_depth"),
     )
     crossing = (F.col("n") == 0) | (F.col("finished") == 0)
     inner = grouped.where(~crossing).select("file", F.lit(False).alias("first"), F.lit(True).alias("finished"), "last_depth", "text")
     order = Window.partitionBy("file").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, -1)
     edges = grouped.where(crossing).withColumn("id", F.coalesce(F.sum("finished").over(order), F.lit(0)))
-    in_order = F.array_sort(F.collect_list(F.struct("block", "n", "text")))
+    in_order = F.sort_array(F.collect_list(F.struct("block", "n", "text")))
     joined = edges.groupBy("file", "id").agg(
-        F.array_join(F.transform(in_order, lambda p: p["text"]), separator).alias("text"),
+        F.array_join(in_order["text"], separator).alias("text"),
         F.max("finished").alias("finished"), F.max_by("last_depth", F.struct("block", "n")).alias("last_depth"),
     )
     whole = joined.select("file", (F.col("id") == 0).alias("first"), (F.col("finished") == 1).alias("finished"), "last_depth", "text")
@@ -100,6 +102,12 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.regexp_replace("text", r"\r$", "").alias("record")).where(F.trim("record") != "")
 
 
+def _count(text: Column, *signs: str) -> Column:
+    """How many of the signs a text holds."""
+    lengths = [F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit(""))) for sign in signs]
+    return reduce(lambda a, b: a + b, lengths)
+
+
 def json_elements(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Column data (VARIANT): the elements of files that each hold one JSON array, whatever their layout.
 
@@ -108,14 +116,14 @@ def json_elements(spark: SparkSession, path: str, **options: str) -> DataFrame:
     else around its elements stops the job.
     """
     told = pieces(spark, path, "}", **options)
-    parts = F.split(F.regexp_replace("value", r"\\.", ""), '"')
+    plain = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"\\.", "")).otherwise(F.col("value"))
+    parts = F.split(plain, '"')
     told = told.withColumn("parts", parts).withColumn("flips", (F.size("parts") - 1) % 2).withColumn("fixed", F.lit(None).cast("int"))
 
     def net(odd: int) -> Column:
         """Brackets opened less closed outside strings, the brace at the end included."""
         outside = F.array_join(F.filter("parts", lambda _, i: i % 2 == odd), "")
-        opened, closed = (F.length(F.regexp_replace(outside, signs, "")) for signs in (r"[^\[{]", r"[^\]]"))
-        return opened - closed - F.when(F.col("flips") == odd, 1).otherwise(0)
+        return _count(outside, "[", "{") - _count(outside, "]") - F.when(F.col("flips") == odd, 1).otherwise(0)
 
     told = told.withColumn("d0", net(0)).withColumn("d1", net(1)).drop("parts")
     told = with_state(told, RANGE, "at")
@@ -141,5 +149,8 @@ def json_elements(spark: SparkSession, path: str, **options: str) -> DataFrame:
     # Behind a comma there is a value: an empty list of values is one only in an empty array, or when the array ends.
     empty = (body.rlike(r"^\s*+$")) & ~(F.col("first") | whole.rlike(r"^\s*+\]\s*+$"))
     stop = F.raise_error(F.concat(F.lit("not one whole JSON array: "), F.col("file"))).cast("string")
-    checked = F.when(fits & ~empty, F.concat(F.lit("["), body, F.lit("]"))).otherwise(stop)
+    # Nearly every element stands between a comma and a brace and needs none of these patterns.
+    plain = ~F.col("first") & F.col("finished") & F.startswith("text", F.lit(","))
+    checked = F.when(plain, F.concat(F.lit("["), F.substring("text", 2, 2**31 - 1), F.lit("}]")))
+    checked = checked.when(fits & ~empty, F.concat(F.lit("["), body, F.lit("]"))).otherwise(stop)
     return found.select(F.explode(F.from_json(checked, "array<variant>", {"mode": "FAILFAST"})).alias("data"))

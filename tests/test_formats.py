@@ -6,7 +6,9 @@ from pathlib import Path
 
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
+from caravel.functions.text import strict_cast, tolerant_cast
 from caravel.sources import formats, landing, loads, versions
 
 HEADER = "order_id,customer_id,order_date,status,total_amount\n"
@@ -180,3 +182,21 @@ def test_a_line_break_inside_quotes_is_reported_never_loaded_wrong(lake, spark):
             formats.read_csv_text(spark, folder, "orders").collect()
         whole = formats.read_csv_text(spark, folder, "orders", multi_line=True).collect()
         assert [r.order_id for r in whole] == ["O0", "O1"] and "\n" in (whole[1].customer_id + whole[1].total_amount)
+
+
+def test_a_text_is_cast_once_and_plain_digits_without_a_decimal(spark):
+    texts = ["1", "-7", " 12 ", "12.5", "-2.5", "1e3", "9223372036854775807", "9223372036854775808", "abc", "", ".5", "5.", "1L", "0x1", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = frame.select(tolerant_cast(F.col("t"), "bigint").alias("new"), F.col("t").try_cast("decimal(38,0)").try_cast("bigint").alias("old"))
+    assert [r["new"] for r in both.collect()] == [r["old"] for r in both.collect()]
+    assert [r["new"] for r in both.collect()][:5] == [1, -7, 12, 13, -3]
+    plan = frame.select(strict_cast(F.col("t"), "t", "decimal(12,2)").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cast(t#") == 1
+
+
+def test_patterns_are_kept_for_elements_at_the_edges_of_an_array(spark, lake):
+    """An element between a comma and a brace is taken as it is; one that begins otherwise is still checked."""
+    name = write(lake, "docs.json", '[{"a":"}],{[\\\\"},{"b":{"c":[1]}} ,1,\n{"d":"\\""}\n]')
+    found = formats.read_json_array(spark, lake.landing(name))
+    assert sorted(r[0] for r in found.selectExpr("to_json(data)").collect()) == ["1", '{"a":"}],{[\\\\"}', '{"b":{"c":[1]}}', '{"d":"\\""}']
+    assert "array_sort(" not in found._jdf.queryExecution().optimizedPlan().toString()
