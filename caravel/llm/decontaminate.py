@@ -38,25 +38,28 @@ UNITS = (
 
 # Every pattern starts with what is rare in a text, so that most places are passed over after one character.
 BLANKS = r"[<> \t\n\x0B\f\r]+"  # the placeholders' own signs count as blanks
+# Runs of them that are more than one blank alone; most of a text's blanks stay as they are and cost no match.
+UNEVEN = r"[<>\t\n\x0B\f\r][<> \t\n\x0B\f\r]*| [<> \t\n\x0B\f\r]+"
 NUMBER = r"[0-9]+(?:[.,:/-][0-9]+)*"
 # A capital after a blank and a word that does not end a sentence starts a name, unless the word is all capitals.
 NAME = r"\p{Lu}(?<=[^.!?:; ] \p{Lu})(?!\p{Lu})[\p{L}'’-]*"
 OPENING, CLOSING = r"[\"'(\[{«„“‘]+", r"[.,!?:;\"')\]}»“”’…]+"  # what may stand around a word without being part of it
 PLAIN = r"^[^0-9]*\p{L}[^0-9]*$"
 SIGNS = r"[!-/:;=?@\[-`{-~«»“”‘’„–—…]+"
+SIGN_LIST = "!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~«»“”‘’„–—…"  # the same, one by one
 NUM, UNIT, PERSON = "<0>", "<1>", "<2>"  # digits, so that no later pass takes a placeholder for a word
 
 
 def word_text(text: Column) -> Column:
     """The text with single blanks between words."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), UNEVEN, " "))
 
 
 def template_text(words: Column) -> Column:
     """Words turned into template tokens one for one, blanks kept."""
     units = "|".join(sorted((u.replace("$", r"\$") for u in UNITS), key=len, reverse=True))
     out = F.lower(F.regexp_replace(F.regexp_replace(words, NUMBER, NUM), NAME, PERSON))
-    return F.regexp_replace(F.regexp_replace(out, rf"({NUM} ?)(?:{units})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"), SIGNS, "")
+    return F.translate(F.regexp_replace(out, rf"({NUM} ?)(?:{units})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}"), SIGN_LIST, "")
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -142,7 +145,7 @@ def plain_words(df: DataFrame) -> DataFrame:
     """Columns key (id and hash of the words) and tokens: lower-case words without the punctuation around them."""
     plain = F.concat(F.lit(" "), word_text(F.col("text")), F.lit(" "))
     plain = F.regexp_replace(F.regexp_replace(plain, f" {OPENING}", " "), f"{CLOSING}(?= )", "")
-    cut = df.where("key is not null").select("key", F.lower(F.trim(F.regexp_replace(plain, " +", " "))).alias("plain")).where("plain <> ''")
+    cut = df.where("key is not null").select("key", F.lower(F.trim(F.regexp_replace(plain, "  +", " "))).alias("plain")).where("plain <> ''")
     return cut.select(F.struct("key", F.xxhash64("plain").alias("mark")).alias("key"), F.split("plain", " ").alias("tokens"))
 
 

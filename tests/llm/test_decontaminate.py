@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from caravel.llm import decontaminate as d
 from caravel.llm import queries
@@ -152,3 +154,14 @@ def test_query_equals_brute_force(spark, small):
                     want.add((r["doc_id"], item))
     got = {(r["doc_id"], r["item_id"]) for r in queries.op7_decontamination(spark, "/root/testdata/sf0.001").collect()}
     assert got == want and len(want) >= 3
+
+
+def test_patterns_pass_over_what_stays_and_give_the_same_texts(spark):
+    assert not re.search(d.UNEVEN, "a b") and set(d.SIGN_LIST) == {c for c in map(chr, range(0x3000)) if re.fullmatch(d.SIGNS, c)}
+    draw = random.Random(7)
+    signs = ["a", "b ", " ", "  ", "<", "> ", "\t", "\n", "\x0b", "\r\n", ".", ",", "(", "\\", "’", "…", "7", "ß", "Ω", "\u00a0", "😀", "12 km", "X"]
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 30))) for _ in range(2000)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    old = F.trim(F.regexp_replace("text", d.BLANKS, " "))
+    assert frame.where(~d.word_text(F.col("text")).eqNullSafe(old)).isEmpty()
+    assert frame.where(~F.translate("text", d.SIGN_LIST, "").eqNullSafe(F.regexp_replace("text", d.SIGNS, ""))).isEmpty()
