@@ -8,6 +8,7 @@ from conftest import SMALL
 from caravel.operators import joins
 from caravel.plans import staging, states
 from caravel.queries import QUERIES
+from caravel.streaming import feeds
 from caravel.workspace import cluster_conf
 
 NAMES = [
@@ -132,3 +133,19 @@ def test_amounts_of_lines_do_not_shuffle_with_them(no_broadcast):
     assert sum(r["line_amount"] for r in frame.collect()) == 90
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "line_amount" in plan and "line_amount" not in plan[plan.index("Join"):]
+
+
+def test_lines_are_not_sorted_to_be_written_by_folder(spark, lake, monkeypatch):
+    """Spark sorts the lines of a task by folder, unless it may keep more files open than there are folders."""
+    key, open_files = "spark.sql.maxConcurrentOutputFileWriters", []
+    lines = spark.range(9).selectExpr(
+        "'O1' AS order_id", "concat('P', id) AS product_id", "id AS quantity", "CAST(1 AS DECIMAL(12,2)) AS unit_price",
+        "CAST(1 AS DECIMAL(14,2)) AS line_amount", "CASE WHEN id % 3 > 0 THEN 'n' END AS product_name",
+        "CAST(NULL AS STRING) AS category", "CAST(NULL AS STRING) AS brand",
+    )
+    writer, path = type(lines.write), f"{lake.staging('order_items')}/_src_batch=b"
+    real, before = writer.parquet, spark.conf.get(key)
+    monkeypatch.setattr(writer, "parquet", lambda self, *args: (open_files.append(spark.conf.get(key)), real(self, *args))[1])
+    assert feeds.write_batch("order_items", lines, path) == 9
+    assert (open_files, spark.conf.get(key)) == (["3"], before)
+    assert [spark.read.parquet(f"{path}/_late={n}").count() for n in (0, 1)] == [6, 3]
