@@ -1,224 +1,240 @@
-"""Near-duplicate vectors by a forest of random-projection trees.
-
-Equal vectors are one class. Every tree splits its nodes along random directions at the quartiles; a vector
-within ``spill`` of a boundary goes to both sides. The upper levels take their quartiles from a sample of
-``SAMPLE`` classes at most (expected, chosen by hash), and one pass takes every vector down to where the sample
-ends; a node that still holds more than ``leaf`` classes is split further at quartiles that Spark
-aggregates from all its rows. Nodes of at most ``leaf`` classes are compared in full: candidates in
-single, links in double precision. A node that splitting cannot make smaller, because it holds a dense
-group, is compared block against block instead, so no vector loses a partner. A pair that shares
-several leaves counts in the first of them only; leaves therefore return a number of links and a
-spanning star per vector, never pairs.
+"""Near-duplicate vectors by a forest of projection trees over cells that fit in a task's memory.
+
+Equal vectors are one class. A node of a tree splits by pivots, some of its vectors: a vector goes to the pivot it
+projects on furthest and to those whose boundary it is near to (``cells.margins``). Trees are fitted on a sample of
+``SAMPLE`` classes at most (expected, chosen by hash) until a cell is expected to hold at most ``leaf`` classes. The
+margin is as wide as ``COPIES`` copies of each vector allow and ``spill`` deviations of linked vectors at least.
+Vectors travel packed by cell, in as many turns as keep the copies under way within ``AT_ONCE`` per vector; the shuffle
+files of a turn go with it. A cell that splitting cannot make smaller, because it holds a dense group, is
+compared block against block, so no vector loses a partner. Within a cell vectors are split again and compared in
+memory (``cells.Cell``): candidates in single, links in double precision. A pair that shares several cells counts
+in the first of them only; cells therefore return a number of links and a label per vector, never pairs.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do rows without
 an id. Vectors of different lengths are never compared. Rows with the same id and vector are one vector,
-each with a row in the result; an id with several vectors has the links of all of them.
+each with a row in the result; an id with several vectors has the links of all of them. Vectors are equal if two
+64-bit hashes are.
 """
 
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravel.llm.components import connected_components, roots
-from caravel.llm.frames import pick, written
+from caravel.llm.cells import Cell, apart, held, margins, units_of
+from caravel.llm.components import connected_components
+from caravel.llm.frames import give_back, pick, tidy, written
 
-TREES, LEAF, SPILL, SEED = 5, 4096, 0.5, 7
-SAMPLE, LEAST_SAMPLED = 1 << 14, 64
-FAN_OUT = 4
-DENSE = 3.0  # a node whose quartiles lie within so many margins is not split further
-MOST_SHRINK = 0.75  # nor one that holds more than this part of its parent
-ROWS, PAIRS = 512, 1 << 18
+TREES, LEAF, SPILL, SEED = 1, 1 << 18, 0.8, 7
+SAMPLE, SAMPLED = 1 << 16, 16  # classes of the sample, and how many of them a pivot stands for at least
+COPIES, WIDEST = 4.6, 2.0
+AT_ONCE, TURN_BYTES = 2.0, 1 << 29  # copies of each vector in a turn, and bytes that need no second turn
+BROADCAST = 1 << 18  # classes of several keys that are sent to every task
+SAMPLE_BYTES, CELL_BYTES = 1 << 25, 1 << 26  # long vectors make the sample and the cells smaller
+FINER, AT_LEAST, SMALL = 6, 32, 1024  # pivots for each leaf-full of classes, pivots where classes are few, classes for each of those
+MOST_SHRINK = 0.75  # a node with a child that holds more than this part of it is not split
+
+PACKED = "cell int, low int, high int, size int, keys binary, counts binary, lengths binary, homes binary, flat binary"
 
 
 def usable(vector: str) -> Column:
     """Finite components, at least one of them other than zero."""
     parts = F.col(vector)
-    finite = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(parts.isNotNull() & finite & F.exists(parts, lambda x: x != 0), F.lit(False))
-
-
-def unit(column: pa.Array) -> np.ndarray:
-    """Rows of a list column, all of one length, as unit vectors in double precision."""
-    flat = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
-    flat = flat / np.abs(flat).max(axis=1, keepdims=True)  # no overflow of the squares
-    return flat / np.sqrt(np.einsum("ij,ij->i", flat, flat))[:, None]
-
-
-def direction(node: int, size: int) -> np.ndarray:
-    found = np.random.default_rng([SEED, node, size]).standard_normal(size)
-    return found / np.linalg.norm(found)
-
-
-def _project(batches):
-    """Position of each vector along the direction of its node."""
-    for batch in batches:
-        nodes, sizes = batch.column(0).to_numpy(), pa.compute.list_value_length(batch.column(2)).to_numpy()
-        place = np.zeros(len(nodes))
-        order = np.lexsort((sizes, nodes))
-        cuts = np.flatnonzero((np.diff(nodes[order]) != 0) | (np.diff(sizes[order]) != 0)) + 1
-        for rows in np.split(order, cuts) if len(order) else []:
-            place[rows] = unit(batch.column(2).take(pa.array(rows))) @ direction(int(nodes[rows[0]]), int(sizes[rows[0]]))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "place"])
-
-
-def margin(least: float, spill: float, size: int) -> float:
-    """Overlap of both sides: the distance of linked vectors is sqrt(2 - 2 least) at most, along a random direction that over sqrt(size)."""
-    return spill * math.sqrt(max(2 - 2 * least, 0) / size)
+    whole = ~F.array_contains(parts, F.lit(float("nan")))  # null if a component is
+    low, high = F.array_min(parts), F.array_max(parts)
+    return F.coalesce(whole & (high < float("inf")) & (low > -float("inf")) & ((low != 0) | (high != 0)), F.lit(False))
+
+
+@dataclass
+class Forest:
+    """Nodes as (pivots, margins, children); a child or root below 0 is the cell -1 - child. Classes expected in each cell, and its blocks."""
+
+    roots: list[int] = field(default_factory=list)
+    nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    expected: list[float] = field(default_factory=list)
+    blocks: list[int] = field(default_factory=list)
+    first: int = 0  # number of the first cell
+
+    def descend(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cells, ordered by both; a row for each cell that a vector is held in."""
+        rows, cells = [], []
+        todo = [(root, np.arange(len(vectors))) for root in self.roots]
+        while todo:
+            at, members = todo.pop()
+            if at < 0:
+                rows.append(members)
+                cells.append(np.full(len(members), self.first - 1 - at))
+                continue
+            pivots, within, children = self.nodes[at]
+            child, row = np.nonzero(held(vectors[members], pivots, within)[1].T)
+            ends = np.searchsorted(child, np.arange(len(children) + 1))
+            todo += [(int(c), members[row[a:b]]) for c, a, b in zip(children, ends, ends[1:]) if b > a]
+        row, cell = (np.concatenate(x) for x in (rows, cells))
+        order = np.lexsort((cell, row))
+        return row[order], cell[order]
+
+
+def fit(sample: np.ndarray, total: float, least: float, trees: int, leaf: int, spill: float, first: int = 0) -> Forest:
+    """A forest for ``total`` classes, from unit vectors of some of them."""
+
+    def grow(forest: Forest, rows: np.ndarray, expected: float, spill: float, random: np.random.Generator, top: bool = False) -> int:
+        """The node or cell of these rows of the sample."""
+        wanted = min(max(math.ceil(FINER * expected / leaf), min(AT_LEAST, int(expected / SMALL))), len(rows) // SAMPLED)
+        if wanted > 1 and (top or expected > leaf):
+            pivots = apart(sample[random.permutation(rows)[: 2 * wanted]], least, wanted)
+            if len(pivots) > 1:
+                within = margins(pivots, least, spill)
+                there = np.concatenate([held(sample[rows[at : at + 4096]], pivots, within)[1] for at in range(0, len(rows), 4096)])
+                if there.sum(axis=0).max() <= MOST_SHRINK * len(rows):
+                    each = [rows[there[:, k]] for k in range(len(pivots))]
+                    children = [grow(forest, part, expected * len(part) / len(rows), spill, random) for part in each]
+                    forest.nodes.append((pivots, within, np.array(children)))
+                    return len(forest.nodes) - 1
+        forest.expected.append(expected)
+        forest.blocks.append(max(1, math.ceil(expected / leaf)))
+        return -len(forest.blocks)
+
+    for wider in np.linspace(WIDEST, 1, 11):
+        forest = Forest(first=first)
+        for tree in range(trees):
+            random = np.random.default_rng([SEED, tree, sample.shape[1]])
+            forest.roots.append(grow(forest, np.arange(len(sample)), total, spill * wider, random, True))
+        if sum(forest.expected) <= COPIES * trees * total:
+            break
+    return forest
 
 
-def sides(place: np.ndarray, cuts: np.ndarray, overlap: float) -> list[np.ndarray]:
-    """For each child the rows that fall into it or within the overlap of its boundaries."""
-    low, high = np.append(-np.inf, cuts), np.append(cuts, np.inf)
-    return [np.flatnonzero((place >= a - overlap) & (place <= b + overlap)) for a, b in zip(low, high)]
+def _lists(column: pa.Array, of: np.ndarray, size: int) -> np.ndarray:
+    """Rows of a list column, all of one length."""
+    return np.asarray(column.take(pa.array(of)).flatten()).reshape(-1, size)
 
 
-def fit(sample: np.ndarray, scale: float, least: float, trees: int, leaf: int, spill: float) -> dict[int, np.ndarray]:
-    """Quartiles of the nodes worth splitting, from unit vectors that each stand for ``scale`` classes."""
-    cuts_of, size = {}, sample.shape[1]
-    overlap = margin(least, spill, size)
-    todo = [(64 + t, np.arange(len(sample))) for t in range(trees)]
-    while todo:
-        node, rows = todo.pop()
-        if len(rows) < LEAST_SAMPLED or len(rows) * scale <= leaf:
-            continue
-        place = sample[rows] @ direction(node, size)
-        cuts = np.quantile(place, [i / FAN_OUT for i in range(1, FAN_OUT)])
-        children = sides(place, cuts, overlap)
-        if cuts[-1] - cuts[0] < DENSE * overlap or max(map(len, children)) > MOST_SHRINK * len(rows):
-            continue
-        cuts_of[node] = cuts
-        todo += [(node * FAN_OUT + i, rows[held]) for i, held in enumerate(children)]
-    return cuts_of
+def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(blocks)).astype(np.int64)
 
 
-def _descend(cuts_of: dict[int, dict[int, np.ndarray]], least: float, trees: int, spill: float):
-    """Take every vector down all trees as far as they are fitted: rows (node, rep, v, above)."""
+def _pack(forests: dict[int, Forest], turn: int, turns: int):
+    """Rows (key, count, v) packed by cell and pair of blocks, those of one turn."""
 
+    @tidy
     def run(batches):
         for batch in batches:
-            sizes = pa.compute.list_value_length(batch.column(1)).to_numpy()
-            for size in np.unique(sizes):
-                of_size = np.flatnonzero(sizes == size)
-                vectors, fitted = unit(batch.column(1).take(pa.array(of_size))), cuts_of.get(int(size), {})
-                found, todo = [], [(64 + t, np.arange(len(of_size))) for t in range(trees)]
-                while todo:
-                    node, rows = todo.pop()
-                    if node in fitted:
-                        held = sides(vectors[rows] @ direction(node, int(size)), fitted[node], margin(least, spill, int(size)))
-                        todo += [(node * FAN_OUT + i, rows[h]) for i, h in enumerate(held)]
-                    elif len(rows):
-                        found.append((np.full(len(rows), node), of_size[rows]))
-                nodes, rows = (np.concatenate(x) for x in zip(*found))
-                part = batch.take(pa.array(rows))
-                above = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), *part.columns, above], names=["node", "rep", "v", "above"])
+            lengths = pa.compute.list_value_length(batch.column(2)).to_numpy()
+            for size in np.unique(lengths).tolist():
+                of_size = np.flatnonzero(lengths == size)
+                keys, counts = (batch.column(i).to_numpy()[of_size] for i in (0, 1))
+                flat = _lists(batch.column(2), of_size, size)
+                forest = forests[size]
+                row, cell = forest.descend(units_of(flat).astype(np.float32))
+                held_in = np.bincount(row, minlength=len(keys)).astype(np.int32)
+                starts = np.cumsum(held_in) - held_in
+                order = np.argsort(cell, kind="stable")
+                ends = np.append(np.flatnonzero(np.diff(cell[order])) + 1, len(order))
+                out = []
+                for start, end in zip(np.append(0, ends[:-1]), ends):
+                    members, at = row[order[start:end]], int(cell[order[start]])
+                    blocks = forest.blocks[at - forest.first]
+                    mine = _block(keys[members], blocks)
+                    for low in range(blocks):
+                        for high in range(low, blocks):
+                            if (at + low + high) % turns != turn:
+                                continue
+                            some = members[(mine == low) | (mine == high)] if blocks > 1 else members
+                            if not len(some):
+                                continue
+                            n = held_in[some]
+                            homes = cell[np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                            out.append((at, low, high, size, *(x.tobytes() for x in (keys[some], counts[some], n, homes.astype(np.int32), flat[some]))))
+                if not out:
+                    continue
+                kinds = [pa.int32()] * 4 + [pa.binary()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=[c.split()[0] for c in PACKED.split(", ")])
 
     return run
 
 
-def leaves(classes: DataFrame, least: float, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE) -> DataFrame:
-    """Columns node, rep and blocks: the leaves of the forest, spilled vectors in several of them."""
-    vectors = classes.select("rep", F.col("embedding").alias("v"))
-    kind = dict(vectors.dtypes)["v"]
-    count = max(classes.count(), 1)
-    chosen = vectors.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < min(1, sample / count) * (1 << 30)).orderBy("rep").toArrow().combine_chunks()
-    sizes = pa.compute.list_value_length(chosen["v"]).to_numpy()
-    cuts_of = {}
-    for size in np.unique(sizes).tolist():
-        some = chosen["v"].combine_chunks().take(pa.array(np.flatnonzero(sizes == size)))
-        cuts_of[size] = fit(unit(some.chunk(0) if isinstance(some, pa.ChunkedArray) else some), max(1, count / sample), least, trees, leaf, spill)
-    row = f"node bigint, rep bigint, v {kind}, above bigint"
-    rows = written(vectors.mapInArrow(_descend(cuts_of, least, trees, spill), row), "descended")
-    done = []
-    while True:
-        counts = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.max("above").alias("parent")), "counts")
-        known = rows.join(counts, "node")
-        stuck = F.coalesce(F.col("n") > F.col("parent") * MOST_SHRINK, F.lit(False))
-        final = (F.col("n") <= leaf) | stuck
-        leaf_rows = ("node", "rep", F.ceil(F.col("n") / leaf).cast("int").alias("blocks"))
-        done.append(known.where(final).select(*leaf_rows))
-        if counts.where(~final).isEmpty():
-            break
-        placed = known.where(~final).select("node", "rep", "v", F.col("n").alias("above")).mapInArrow(_project, row + ", place double")
-        placed = written(placed.withColumn("overlap", F.lit(spill * math.sqrt(max(2 - 2 * least, 0))) / F.sqrt(F.size("v"))), "placed")
-        quartiles = [i / FAN_OUT for i in range(1, FAN_OUT)]
-        cuts = placed.groupBy("node").agg(F.percentile_approx("place", quartiles, 1000).alias("cuts"), F.max("overlap").alias("widest"))
-        cuts = written(cuts.withColumn("dense", F.element_at("cuts", -1) - F.element_at("cuts", 1) < DENSE * F.col("widest")), "cuts")
-        cut = placed.join(cuts, "node")
-        done.append(cut.where("dense").withColumn("n", F.col("above")).select(*leaf_rows))
-        if cuts.where("not dense").isEmpty():
-            break
-        children = []
-        for side in range(FAN_OUT):
-            above = F.col("place") >= F.element_at("cuts", side) - F.col("overlap") if side else F.lit(True)
-            below = F.col("place") <= F.element_at("cuts", side + 1) + F.col("overlap") if side < FAN_OUT - 1 else F.lit(True)
-            children.append(F.when(above & below, F.col("node") * FAN_OUT + side))
-        split = cut.where("not dense").select(F.explode(F.array_compact(F.array(*children))).alias("node"), "rep", "v", "above")
-        rows = written(split, "split")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
+def _compare(least: float, kind: type, blocks_of: dict[int, int]):
+    """Links among the members of a cell, or of two blocks of a large one."""
+
+    def run(key, packed):
+        cell, low, high = (k.as_py() for k in key)
+        size = packed["size"][0].as_py()
+        keys, count, lengths, homes, flat = (
+            np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in packed[name]])
+            for name, kind in (("keys", np.int64), ("counts", np.int64), ("lengths", np.int32), ("homes", np.int32), ("flat", kind))
+        )
+        packed, flat = None, flat.reshape(-1, size)
+        padded = np.full((len(keys), lengths.max()), np.iinfo(np.int32).max, np.int32)
+        padded[np.arange(padded.shape[1]) < lengths[:, None]] = homes
+        again = _again(keys, flat)
+        if again.any():
+            keys, count, padded, flat = (x[~again] for x in (keys, count, padded, flat))
+        block = _block(keys, blocks_of[cell]) if low != high else None
+        found = Cell(flat, count, padded, cell, least, block).search()
+        linked = found.degree > 0
+        table = pa.table({"rep": keys[linked], "root": keys[found.label[linked]], "n": found.degree[linked]})
+        found = flat = padded = None
+        give_back()
+        return table
 
-def _compare(least: float):
-    """Compare the members of a leaf, or of two blocks of a large one."""
+    return run
 
-    def run(key, members):
-        node, low, high = (k.as_py() for k in key)
-        members = members.combine_chunks()
-        size = pa.compute.list_value_length(members["v"]).to_numpy()
-        found = [one for s in np.unique(size) for one in _same_size(members.filter(pa.array(size == s)), node, low, high, least)]
-        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table({"rep": columns[0], "root": columns[1], "n": columns[2]})
 
-    return run
+def _again(keys: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Members whose key and vector an earlier one has."""
+    out = np.zeros(len(keys), bool)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    if same.any():
+        some = np.sort(order[np.append(same, False) | np.append(False, same)])
+        whole = np.column_stack([keys[some].view(np.uint8).reshape(len(some), -1), np.ascontiguousarray(flat[some] + 0).view(np.uint8)])
+        out[some] = True
+        out[some[np.unique(whole, axis=0, return_index=True)[1]]] = False
+    return out
 
 
-def _same_size(members: pa.Table, node: int, low: int, high: int, least: float):
-    members = members.combine_chunks()
-    vectors = unit(members["v"].chunk(0))
-    rep, count, block = (members[c].to_numpy() for c in ("rep", "count", "block"))
-    homes = members["homes"].chunk(0)
-    lengths = pa.compute.list_value_length(homes).to_numpy()
-    home = np.full((len(rep), lengths.max()), np.iinfo(np.int64).max)  # sorted, padded at the end
-    home[np.arange(home.shape[1]) < lengths[:, None]] = np.asarray(homes.flatten())
-    degree = np.zeros(len(rep), np.int64)
-    left, right = [], []
-    rough = vectors.astype(np.float32)
-    slack = 4 * np.finfo(np.float32).eps * (vectors.shape[1] + 8)
-    for at in range(0, len(rep), ROWS):
-        i, j = np.nonzero(rough[at : at + ROWS] @ rough[at:].T >= least - slack)
-        i, j = i + at, j + at
-        wanted = (i < j) & ((block[i] != block[j]) if low != high else True)
-        i, j = i[wanted], j[wanted]
-        for cut in range(0, len(i), PAIRS):
-            a, b = i[cut : cut + PAIRS], j[cut : cut + PAIRS]
-            exact = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= least
-            a, b = a[exact], b[exact]
-            seen = np.zeros(len(a), bool)
-            for k in range(home.shape[1]):
-                mine = home[a, k]
-                if (early := mine < node).any():
-                    seen[early] |= (home[b[early]] == mine[early, None]).any(axis=1)
-            a, b = a[~seen], b[~seen]
-            np.add.at(degree, a, count[b])
-            np.add.at(degree, b, count[a])
-            if len(a):
-                star = roots(rep[a], rep[b])
-                left.append(star[0])
-                right.append(star[1])
-    if left:
-        nodes, root = roots(np.concatenate(left), np.concatenate(right))
-        root_of = dict(zip(nodes.tolist(), root.tolist()))
-        linked = degree > 0
-        yield rep[linked], np.array([root_of[r] for r in rep[linked].tolist()], np.int64), degree[linked]
+@contextmanager
+def _tidy_shuffles(spark: SparkSession):
+    """Shuffle files go when the query that wrote them ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _forests(good: DataFrame, classes: DataFrame, width: int, least: float, trees: int, leaf: int, spill: float, sample: int) -> tuple[dict[int, Forest], dict[int, int]]:
+    """A forest for each length of vectors, and the number of classes of that length."""
+    totals = {r["size"]: r["n"] for r in classes.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect()}
+    part = min(1, sample / max(1, sum(totals.values())), SAMPLE_BYTES / max(1, sum(width * size * n for size, n in totals.items())))
+    few = classes.where(F.pmod("mark", F.lit(1 << 30)) < int(part * (1 << 30))).select("mark", "second", F.col("rep").alias("key"))
+    chosen = good.join(F.broadcast(few), ["mark", "second", "key"]).dropDuplicates(["mark", "second"]).orderBy("mark", "second")
+    vectors = chosen.select("embedding").toArrow().combine_chunks()["embedding"].combine_chunks()
+    vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+    lengths = pa.compute.list_value_length(vectors).to_numpy()
+    forests, first = {}, 0
+    for size, total in totals.items():
+        some = _lists(vectors, np.flatnonzero(lengths == size), size)
+        forests[size] = fit(units_of(some).astype(np.float32), total, least, trees, max(1, min(leaf, CELL_BYTES // (width * size))), spill, first)
+        first += len(forests[size].blocks)
+    return forests, totals
+
+
+def _turns(forests: dict[int, Forest], totals: dict[int, int], width: int) -> int:
+    """Turns for vectors with components of some width, keys, counts and cells beside them."""
+    once = sum(totals[size] * (width * size + 32) for size in forests)
+    moved = sum((width * size + 32) * e * b for size, forest in forests.items() for e, b in zip(forest.expected, forest.blocks))
+    return max(1, math.ceil(moved / max(TURN_BYTES, AT_ONCE * once)))
 
 
 def near_duplicates(
@@ -229,27 +245,33 @@ def near_duplicates(
     rows = pick(df, key=key, embedding=vector)
     if dict(rows.dtypes)["embedding"] != "array<float>":
         rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    kind = np.float32 if dict(rows.dtypes)["embedding"] == "array<float>" else np.float64
+    width = np.dtype(kind).itemsize
     rows = rows.withColumn("usable", usable("embedding") & F.col("key").isNotNull())
-    good = rows.where("usable").select(F.col("key").cast("bigint").alias("key"), "embedding")
-    classes = written(
-        good.distinct().groupBy("embedding").agg(F.min("key").alias("rep"), F.count("*").alias("count")).withColumn("mark", F.xxhash64("embedding")),
-        "classes",
-    )
-    placed = written(leaves(classes, least, trees, leaf, spill, sample), "leaves")
-    homes = placed.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("homes"))
-    vectors = classes.join(homes, "rep").select("rep", "count", "homes", F.col("embedding").alias("v"))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("block", mine.cast("int")).withColumn("other", other)
-    groups = dealt.join(vectors, "rep").groupBy("node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    links = written(groups.applyInArrow(_compare(least), "rep bigint, root bigint, n bigint"), "links")
-    degrees = links.groupBy("rep").agg(F.sum("n").alias("linked"))
-    grouped = connected_components(links, "rep", "root").select(F.col("node").alias("rep"), "root")
-    named = classes.join(degrees, "rep", "left").join(grouped, "rep", "left").select(
-        "mark", F.col("embedding").alias("vector"),
-        (F.coalesce("linked", F.lit(0)) + F.col("count") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"),
-    )
-    named = written(named, "named")
-    marked = rows.withColumn("mark", F.when(F.col("usable"), F.xxhash64("embedding")))
-    joined = marked.join(named, (marked["mark"] == named["mark"]) & (marked["embedding"] == named["vector"]), "left")
+    mark = [F.xxhash64("embedding").alias("mark"), F.xxhash64(F.lit(SEED), "embedding").alias("second")]
+    good = rows.where("usable").select(F.col("key").cast("bigint").alias("key"), "embedding", F.size("embedding").alias("size"), *mark)
+    with _tidy_shuffles(df.sparkSession):
+        keyed = good.select("mark", "second", "size", "key").distinct()
+        classes = written(keyed.groupBy("mark", "second", "size").agg(F.min("key").alias("rep"), F.count("*").alias("count")), "classes")
+        shared = written(classes.where("count > 1").drop("size"), "shared")
+        shared = F.broadcast(shared) if shared.count() <= BROADCAST else shared
+        forests, totals = _forests(good, classes, width, least, trees, leaf, spill, sample)
+        blocks_of = {forest.first + i: n for forest in forests.values() for i, n in enumerate(forest.blocks)}
+        kept = good.join(shared, ["mark", "second"], "left").where("rep IS NULL OR rep = key")
+        kept = kept.select("key", F.coalesce("count", F.lit(1)).alias("count"), "embedding")
+        turns = _turns(forests, totals, width)
+        links = None
+        for turn in range(turns):
+            groups = kept.mapInArrow(_pack(forests, turn, turns), PACKED).groupBy("cell", "low", "high")
+            compared = groups.applyInArrow(_compare(least, kind, blocks_of), "rep bigint, root bigint, n bigint")
+            found = written(compared, "links")
+            links = found if links is None else links.unionByName(found)
+        degrees = written(links.groupBy("rep").agg(F.sum("n").alias("linked")), "degrees")
+        grouped = connected_components(links, "rep", "root").select(F.col("node").alias("rep"), "root")
+        named = classes.join(degrees, "rep", "left").join(grouped, "rep", "left").select(
+            "mark", "second", (F.coalesce("linked", F.lit(0)) + F.col("count") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")
+        )
+        named = written(named, "named")
+    marked = rows.select("key", *[F.when(F.col("usable"), m).alias(name) for m, name in zip(mark, ("mark", "second"))])
+    joined = marked.join(named, ["mark", "second"], "left")
     return joined.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", F.col("key").cast("bigint")).alias("component_id"))
